@@ -159,3 +159,54 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no components after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about `least` rows at least, from batches sorted by their first `keys` columns (integers without nulls)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        if len(held) > 1:
+            last = held[-2]
+            change[0] = any(columns[i][0] != last.column(i)[-1].as_py() for i in range(keys))
+        if (at := np.flatnonzero(change)).size:
+            held[-1] = batch.slice(0, at[-1])
+            if whole := [b for b in held if b.num_rows]:
+                yield pa.Table.from_batches(whole).combine_chunks()
+            held = [batch.slice(at[-1])]
+            rows = held[0].num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_bounds(columns: list[np.ndarray]) -> np.ndarray:
+    """Places where a group of equal rows starts, and the number of rows."""
+    n = len(columns[0])
+    change = np.zeros(n, bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(change), n)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges (a, b) reach."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            return root

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, pii, sharding
+from quern.llm import bpe, embdup, pii, sharding
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -39,8 +39,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op6_byte_bpe, op7_pii)}
+    return {f.__name__: f for f in (op1_sharding, op6_byte_bpe, op7_pii, op8_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
