@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, embdup, pii, sharding
+from quern.llm import bpe, embdup, pii, sharding, toxicity
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -18,6 +18,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    net = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +52,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op6_byte_bpe, op7_pii, op8_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
