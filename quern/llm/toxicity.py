@@ -22,7 +22,7 @@ from quern.llm.common import U64, buffers, mix, slices, span_hashes, utf8, words
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 24, 16
 #: Labelled rows of each class that the network is fitted on, at most; and the most bytes of one of their texts.
-FIT_ROWS, FIT_BYTES = 1500, 60_000
+FIT_ROWS, FIT_BYTES = 1000, 30_000
 #: Sizes: vocabulary, buckets of trigrams, word vector, trigram vector, hidden units of a direction.
 VOCABULARY, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN = 8192, 4096, 12, 8, 8
 
