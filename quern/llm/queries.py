@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, embdup, neardup, pii, quality, sharding, toxicity
+from quern.llm import bpe, embdup, neardup, pii, quality, sharding, sufarr, toxicity
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -59,8 +59,12 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufarr.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
