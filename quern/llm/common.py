@@ -210,3 +210,16 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = root[root]
         if (root == before).all():
             return root
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with the letters of ASCII and Latin-1 in lower case."""
+    out = _LOWER[data]
+    if len(data) > 1:
+        second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[second] += 32
+    return out

@@ -263,7 +263,7 @@ def classify(
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     aside = F.pmod(F.xxhash64("__id"), F.lit(FOLDS)) == 0
-    model = fit(own.join(trusted.where(~aside), "__id", "left_semi"), "__text", order)
+    model = fit(own.join(trusted.where(~aside).hint("merge"), "__id", "left_semi"), "__text", order)
     plain = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     scored = cut(perplexities(plain, model, "__id", "__text", ("__lang",), order, sent), "perplexities")
     level = F.log("perplexity") - SHORT / F.sqrt("n_bytes")

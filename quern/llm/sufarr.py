@@ -340,7 +340,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = known.mapInArrow(_find, ROWS)
     met = cut(rows.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(_meet, ROWS), "met")
     asked = met.where(F.col("kind") == FETCH).groupBy("doc").agg(F.collect_list(F.struct("at", F.col("fh").alias("mh"))).alias("asked"))
-    fetched = known.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut_out, ROWS)
+    fetched = known.join(asked.hint("merge"), "doc").select("doc", "text", "asked").mapInArrow(_cut_out, ROWS)
     fragments = cut(fetched.unionByName(met.where(F.col("kind") == FRAGMENT)).select(F.col("fh").alias("mh"), "doc", "at", "frag"), "fragments")
     hot = cut(fragments.groupBy("mh").count().where(F.col("count") > HOT).select("mh"), "hot")
     cold = fragments.join(hot, "mh", "left_anti").repartition(n, "mh").sortWithinPartitions("mh")
@@ -349,7 +349,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         strings = fragments.join(hot, "mh", "left_semi").select("doc", "at", "frag").mapInArrow(_strings, ROWS)
         gone = gone.unionByName(strings.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(_first_string, ROWS))
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("fh").alias("hi"))).alias("spans"))
-    source = docs.join(spans, "doc", "left").select("doc", "text", "spans")
+    source = docs.join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
 
     def finish(batches):
