@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, cut, group_bounds, lower_bytes, mix, slices, span_hashes, utf8, whole_runs, words
+from quern.llm.common import U64, buffers, cut, forest, group_bounds, lower_bytes, mix, slices, span_hashes, utf8, whole_runs, words
 
 #: Least similarity, and the least number of distinct words of a line that takes part.
 SIMILARITY, LEAST_WORDS = 0.8, 5
@@ -85,7 +85,21 @@ def _ceil_share(n: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-ROWS = T.StructType([T.StructField("word", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("at", T.LongType())])
+def bitmaps(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two integers: those that its words hash to. Words of one set only that differ in their bits bound what is common."""
+    bit = U64(1) << (h & U64(63))
+    upper = ((h >> U64(6)) & U64(1)).astype(bool)
+    out = []
+    for part in (np.where(upper, U64(0), bit), np.where(upper, bit, U64(0))):
+        whole = np.zeros(len(n), U64)
+        some = np.flatnonzero(n)
+        if len(some):
+            whole[some] = np.bitwise_or.reduceat(part, first[some])
+        out.append(whole)
+    return out[0], out[1]
+
+
+ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ("word", "doc", "at", "low", "high")])
 #: at packs line << 21 | distinct words (11 bits, more as the largest) << 10 | place in the order (10 bits, likewise); removed lines have no words.
 _MOST_N, _MOST_P = 2047, 1023
 
@@ -116,12 +130,16 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
                 gone, use = use[~fresh], use[fresh]
                 if len(gone):
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(doc[gone].astype(U64)).astype(np.int64)), pa.array(doc[gone]), pa.array(number[gone] << 21)], names=ROWS.names)
+                    none = pa.array(np.zeros(len(gone), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(doc[gone].astype(U64)).astype(np.int64)), pa.array(doc[gone]), pa.array(number[gone] << 21), none, none], names=ROWS.names)
+                if not len(use):
+                    continue
+                low, high = bitmaps(h, first[:-1], n)
                 p = n[use] - _ceil_share(n[use], t) + 1
                 owner = np.repeat(use, p)
                 place = np.arange(p.sum()) - np.repeat(np.append(0, np.cumsum(p))[:-1], p)
                 word = h[first[owner] + place].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(doc[owner]), pa.array(_pack(number[owner], n[owner], place))], names=ROWS.names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (word, doc[owner], _pack(number[owner], n[owner], place), low[owner].astype(np.int64), high[owner].astype(np.int64)))], names=ROWS.names)
 
     return run
 
@@ -129,13 +147,41 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
 GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("word", "doc", "line", "size", "sum")])
 
 
+def similar_pairs(word, n, place, low, high, t: float):
+    """Pairs of rows that share a word and pass the filters of length, place and bits; none that reaches t fails them."""
+    order = np.lexsort((n, word))
+    word, n, place = word[order], n[order], place[order]
+    low, high = low[order].view(U64), high[order].view(U64)
+    end = np.repeat(group_bounds([word])[1:], np.diff(group_bounds([word])))
+    # The shorter line needs only a prefix in which an equal or longer one must meet it.
+    able = place < n - _ceil_share(n, 2 * t / (1 + t)) + 1
+    able |= (n >= _MOST_N) | (place >= _MOST_P)
+    i = np.flatnonzero(able & (np.arange(len(n)) + 1 < end))
+    j = i + 1
+    found_i, found_j = [], []
+    while len(i):
+        big = (n[i] >= _MOST_N) | (place[i] >= _MOST_P) | (place[j] >= _MOST_P)
+        near = (n[i] >= t * n[j] - 1e-9) | (n[i] >= _MOST_N)
+        i, j, big = i[near], j[near], big[near]
+        need = np.ceil(t / (1 + t) * (n[i] + n[j]) - 1e-9)
+        most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
+        differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+        ok = big | ((most >= need) & (n[i] + n[j] - differ >= 2 * need))
+        found_i.append(order[i[ok]])
+        found_j.append(order[j[ok]])
+        j = j + 1
+        more = j < end[i]
+        i, j = i[more], j[more]
+    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (order[:0], order[:0])
+
+
 def _groups(t: float):
     """Members (word, doc, line, size, sum) of the groups of lines that share a word and pass the filters; removed lines with size 0.
     sum is of hashes of the members, so groups with the same members are known."""
 
     def run(batches):
         for table in whole_runs(batches, 1, 50_000):
-            word, doc, at = (table.column(i).to_numpy() for i in range(3))
+            word, doc, at, low, high = (table.column(i).to_numpy() for i in range(5))
             n, place = (at >> 10) & _MOST_N, at & _MOST_P
             gone = n == 0
             bounds = group_bounds([word])
@@ -147,29 +193,16 @@ def _groups(t: float):
             i = np.flatnonzero(many)
             if not len(i):
                 continue
-            # By length within a word: a line has a partner only if the next shorter or longer one is near enough in length.
-            i = i[np.lexsort((n[i], word[i]))]
-            w, m, p = word[i], n[i], place[i]
-            same = w[1:] == w[:-1]
-            big = (m[1:] >= _MOST_N) & (m[:-1] >= _MOST_N)
-            close = same & ((m[:-1] >= t * m[1:] - 1e-9) | big)
-            # Two alone at a word must also be able to reach the overlap with what follows it.
-            size = np.repeat(np.diff(group_bounds([w])), np.diff(group_bounds([w])))
-            need = np.ceil(t / (1 + t) * (m[1:] + m[:-1]) - 1e-9)
-            follows = np.minimum(m[1:] - p[1:], m[:-1] - p[:-1])
-            able = (follows + np.minimum(p[1:], p[:-1]) >= need) | (size[1:] > 2) | (np.maximum(m[1:], m[:-1]) >= _MOST_N) | (np.maximum(p[1:], p[:-1]) >= _MOST_P)
-            close &= able
-            ok = np.zeros(len(i), bool)
-            ok[1:] |= close
-            ok[:-1] |= close
-            i, w = i[ok], w[ok]
-            if not len(i):
+            a, b = similar_pairs(word[i], n[i], place[i], low[i], high[i], t)
+            if not len(a):
                 continue
-            # Groups split where lengths are too far apart.
-            d, line = doc[i], at[i] >> 21
-            start = np.ones(len(i), bool)
-            start[1:] = ~close[np.flatnonzero(ok)[1:] - 1] | (np.diff(np.flatnonzero(ok)) > 1)
-            g = np.append(np.flatnonzero(start), len(i))
+            # What such pairs connect at a word is a group.
+            root = forest(len(i), a, b)
+            linked = np.unique(np.concatenate([a, b]))
+            linked = linked[np.argsort(root[linked], kind="stable")]
+            g = group_bounds([root[linked]])
+            i = i[linked]
+            w, d, line = word[i], doc[i], at[i] >> 21
             member = mix(mix(d.astype(U64)) + line.astype(U64))
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(member, g[:-1])
