@@ -1 +1,11 @@
+"""The catalogue of queries by name, and the SQL of those that SQL can express."""
 
+from quern.plans import search
+
+
+def queries():
+    return dict(search.QUERIES)
+
+
+def oracle_sql():
+    return dict(search.SQL)
