@@ -1,11 +1,11 @@
 """The catalogue of queries by name, and the SQL of those that SQL can express."""
 
-from quern.plans import search
+from quern.plans import library, search
 
 
 def queries():
-    return dict(search.QUERIES)
+    return search.QUERIES | library.QUERIES
 
 
 def oracle_sql():
-    return dict(search.SQL)
+    return search.SQL | library.SQL
