@@ -25,20 +25,22 @@ COUNTERS = 1 << 18
 #: Lines of a group that are compared at once; larger groups are cut into pairs of blocks.
 BLOCK = 1024
 CHUNK_BYTES = 2 << 20
+#: Lines that a task remembers, about.
+REMEMBERED = 400_000
 
 
 def read_lines(data: np.ndarray, offs: np.ndarray):
     """(row, number) of each line, and (line, hash) of each word. Lines end with a line feed."""
     breaks = np.flatnonzero(data == 10)
-    starts, ends, _ = words(lower_bytes(data), offs)
-    h = span_hashes(lower_bytes(data), starts, ends)
+    data = lower_bytes(data)
+    starts, ends, wrow = words(data, offs)
+    h = span_hashes(data, starts, ends)
     # A row has as many lines as line feeds and one; a line starts with its row or after a line feed.
     row_of = np.searchsorted(offs, breaks, "right") - 1
     count = np.bincount(row_of, minlength=len(offs) - 1) + 1
     first = np.append(0, np.cumsum(count))
     row = np.repeat(np.arange(len(offs) - 1), count)
     number = np.arange(first[-1]) - first[row]
-    wrow = np.searchsorted(offs, starts, "right") - 1
     line = np.searchsorted(breaks, starts) + wrow
     return row, number, line, h
 
@@ -110,6 +112,7 @@ def _pack(number, n, place):
 
 def _prefixes(classes: np.ndarray, t: float, least: int):
     def run(batches):
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
         for whole in batches:
             for batch in slices(whole, 1, CHUNK_BYTES):
                 data, offs = buffers(batch.column(1))
@@ -128,7 +131,17 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 use, a, b = use[order], a[order], b[order]
                 fresh = np.ones(len(use), bool)
                 fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                gone, use = use[~fresh], use[fresh]
+                gone, use, a, b = use[~fresh], use[fresh], a[fresh], b[fresh]
+                # And those that repeat an earlier line of this task; what is forgotten is found later.
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                again = np.zeros(len(use), bool)
+                for k, (key, place) in enumerate(zip(zip(a.tolist(), b.tolist(), strict=True), zip(doc[use].tolist(), number[use].tolist(), strict=True), strict=True)):
+                    if seen.setdefault(key, place) < place:
+                        again[k] = True
+                    else:
+                        seen[key] = place
+                gone, use = np.concatenate([gone, use[again]]), use[~again]
                 if len(gone):
                     none = pa.array(np.zeros(len(gone), np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(mix(doc[gone].astype(U64)).astype(np.int64)), pa.array(doc[gone]), pa.array(number[gone] << 21), none, none], names=ROWS.names)
