@@ -190,7 +190,7 @@ def refusal_policy(spark, sf):
 
 _GATE = _TOPS + """, g AS (SELECT *, CASE WHEN query_id % 5 = 0 THEN 'ANSWERABILITY_DISABLED' WHEN n = 0 THEN 'NO_HITS' WHEN top < 0.75 THEN 'LOW_SCORE_REFUSAL' WHEN query_id % 4 = 1 THEN 'JUDGE_DEGRADED' WHEN query_id % 3 = 0 THEN 'JUDGE_ACCEPT' ELSE 'JUDGE_REFUSE' END AS decision FROM q),
 gate AS (SELECT query_id, decision, CASE decision WHEN 'ANSWERABILITY_DISABLED' THEN NOT (n = 0 OR top < 0.75) WHEN 'JUDGE_DEGRADED' THEN query_id % 8 <> 1 ELSE decision = 'JUDGE_ACCEPT' END AS answerable, decision LIKE 'JUDGE%' AS judge_invoked, decision = 'JUDGE_DEGRADED' AS degraded,
- CASE WHEN decision = 'JUDGE_DEGRADED' THEN 'TIMEOUT' END AS failure_type, printf('%.3f', coalesce(top, 0.0)) AS top_text, CASE WHEN n > 0 THEN '0.75' ELSE '0.30' END AS threshold_text FROM g)"""
+ CASE WHEN decision = 'JUDGE_DEGRADED' THEN 'TIMEOUT' END AS failure_type, printf('%.3f', floor(coalesce(top, 0.0) * 1000 + 0.5) / 1000) AS top_text, CASE WHEN n > 0 THEN '0.75' ELSE '0.30' END AS threshold_text FROM g)"""
 
 
 @query(chain(*TO_FINAL) + _GATE + " SELECT * FROM gate")
