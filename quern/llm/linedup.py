@@ -131,7 +131,10 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 use, a, b = use[order], a[order], b[order]
                 fresh = np.ones(len(use), bool)
                 fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                gone, use, a, b = use[~fresh], use[fresh], a[fresh], b[fresh]
+                # A row that repeats an id repeats its lines at the same places; these are not later.
+                lead = use[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(use) else use
+                other = ~fresh & ((doc[use] != doc[lead]) | (number[use] != number[lead]))
+                gone, use, a, b = use[other], use[fresh], a[fresh], b[fresh]
                 # And those that repeat an earlier line of this task; what is forgotten is found later.
                 if len(seen) > REMEMBERED:
                     seen.clear()
@@ -290,6 +293,7 @@ def _decide(t: float):
                 if hi - lo < 2:
                     continue
                 order = np.lexsort((line[lo:hi], doc[lo:hi])) + lo
+                order = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1]))]
                 gone = order[later_matches([np.frombuffer(raw[k], U64) for k in order], t, own[order] if i[lo] != j[lo] else None)]
                 docs.append(doc[gone])
                 lines.append(line[gone])

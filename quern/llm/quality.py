@@ -266,7 +266,7 @@ def classify(
     model = fit(own.join(trusted.where(~aside).hint("merge"), "__id", "left_semi"), "__text", order)
     plain = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
     scored = cut(perplexities(plain, model, "__id", "__text", ("__lang",), order, sent), "perplexities")
-    level = F.log("perplexity") - SHORT / F.sqrt("n_bytes")
+    level = F.log("perplexity") - SHORT / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     seen = scored.where("perplexity is not null").join(trusted, "__id", "left_semi").withColumn("__level", level)
     marked = seen.where(aside)
     if not marked.limit(1).count():
@@ -274,7 +274,7 @@ def classify(
     cuts = marked.groupBy("__lang").agg(F.percentile_approx("__level", quantile, 100_000).alias("__own"))
     overall = marked.agg(F.percentile_approx("__level", quantile, 100_000)).first()[0]
     out = scored.join(cuts.withColumnRenamed("__lang", "__l"), F.col("__lang").eqNullSafe(F.col("__l")), "left")
-    threshold = F.exp(F.coalesce(F.col("__own"), F.lit(overall).cast("double")) + MARGIN + SHORT / F.sqrt("n_bytes"))
+    threshold = F.exp(F.coalesce(F.col("__own"), F.lit(overall).cast("double")) + MARGIN + SHORT / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1))))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select(F.col("__id").alias(id_col), F.col("__lang").alias("lang"), "n_bytes", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 

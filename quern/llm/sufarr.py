@@ -193,6 +193,12 @@ def _ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[i], lo[i], np.maximum.reduceat(hi, i)
 
 
+def _elsewhere(fresh: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that follow a fresh one with the same content at another place; at the same place they are that of a row that repeats its id."""
+    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return ~fresh & ((doc != doc[first]) | (at != at[first]))
+
+
 def _find(batches):
     """Rows of each chunk of documents: fragments that only this chunk can decide are decided here."""
     for whole in batches:
@@ -208,8 +214,8 @@ def _find(batches):
             row, first, last, anchor, mh, fh, doc, at = (x[order] for x in (row, first, last, anchor, mh, fh, doc, at))
             fresh = np.ones(len(mh), bool)
             fresh[1:] = (mh[1:] != mh[:-1]) | (fh[1:] != fh[:-1])
-            if not fresh.all():
-                d, lo, hi = _ranges(doc[~fresh], at[~fresh], (at + last - first + LENGTH)[~fresh])
+            if (gone := _elsewhere(fresh, doc, at)).any():
+                d, lo, hi = _ranges(doc[gone], at[gone], (at + last - first + LENGTH)[gone])
                 yield _batch(mix(d.astype(U64)), hi, d, lo, REMOVED)
             row, first, last, anchor, mh, fh, doc, at = (x[fresh] for x in (row, first, last, anchor, mh, fh, doc, at))
             packed = (at << 16) | ((last - first) << 8) | (anchor - first)
@@ -248,7 +254,7 @@ def _meet(batches):
         # A mark may stand before singles whose hash is 0 as well: then none is the first, and all are fetched.
         lone = np.ones(len(mh), bool)
         lone[1:] = new[1:] | ~single[:-1]
-        if (gone := single & ~lone).any():
+        if (gone := single & _elsewhere(lone, doc, at)).any():
             d, a = doc[gone], at[gone]
             d, lo, hi = _ranges(d, a >> 16, (a >> 16) + ((a >> 8) & 255) + LENGTH)
             yield _batch(0, hi, d, lo, REMOVED)
@@ -277,8 +283,12 @@ def _cut_out(batches):
 def _by_suffixes(batches):
     """Repeated strings among fragments, whole anchors at a time."""
     for t in whole_runs(batches, 1, SORTED_BYTES // (LENGTH + 40)):
-        order = np.lexsort((t["at"].to_numpy(), t["doc"].to_numpy()))
-        doc, at = t["doc"].to_numpy()[order], t["at"].to_numpy()[order] >> 16
+        doc, at = t["doc"].to_numpy(), t["at"].to_numpy()
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        # Rows that repeat an id give a fragment twice.
+        once = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+        order, doc, at = order[once], doc[once], at[once] >> 16
         frag = t["frag"].combine_chunks().take(pa.array(order))
         data, offs = buffers(frag)
         n = np.diff(offs) - LENGTH + 1
@@ -286,14 +296,13 @@ def _by_suffixes(batches):
         inner = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n))[:-1], n)
         gone = repeated(data, offs[owner] + inner)
         d, lo = doc[owner[gone]], at[owner[gone]] + inner[gone]
-        # The same string of the same document twice, as rows that repeat an id give, is not earlier than itself.
         d, lo, hi = _ranges(d, lo, lo + LENGTH)
         if len(d):
             yield _batch(0, hi, d, lo, REMOVED)
 
 
 def _strings(batches):
-    """(a, b, doc, at): for each string of the fragments two hashes and its place, once a batch; others of the batch are marked by b null."""
+    """For each string of the fragments two hashes and its place, the first of a batch; the others of the batch as removed."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -309,8 +318,10 @@ def _strings(batches):
         a, b, doc, at = a[order], b[order], doc[order], at[order]
         fresh = np.ones(len(a), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        gone = _elsewhere(fresh, doc, at)
+        use = fresh | gone
         route = np.where(fresh, a, mix(doc.astype(U64)))
-        yield _batch(route.astype(np.int64), b.astype(np.int64), doc, at, np.where(fresh, SINGLE, REMOVED))
+        yield _batch(route[use].astype(np.int64), b[use].astype(np.int64), doc[use], at[use], np.where(fresh, SINGLE, REMOVED)[use])
 
 
 def _first_string(batches):
@@ -318,7 +329,7 @@ def _first_string(batches):
         kind, a, b, doc, at = (t[c].to_numpy() for c in ("kind", "mh", "fh", "doc", "at"))
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])
-        gone = ~new | (kind == REMOVED)
+        gone = _elsewhere(new, doc, at) | (kind == REMOVED)
         if gone.any():
             d, lo, hi = _ranges(doc[gone], at[gone], at[gone] + LENGTH)
             yield _batch(0, hi, d, lo, REMOVED)
