@@ -21,12 +21,12 @@ from quern.llm.common import buffers, lower_bytes, slices, span_hashes, utf8, wo
 PASSAGE, STRIDE = 64, 32
 #: Items that share a vocabulary and a latent space: what is sent to the executors is bounded by these, whatever the benchmark's size; more
 #: items are searched in further blocks. And the most dimensions of the space.
-ITEMS, RANK = 256, 256
-#: Words in more than this share of passages have no weight.
-COMMON = 0.02
+ITEMS, RANK = 256, 96
+#: Words in more than this share of passages have no weight, unless they are among the ANSWER_WORDS rarest of an item.
+COMMON = 0.002
 #: Least cosine of a candidate; least share of an item's words in the longest common subsequence; least share of its rarest words that occur.
-COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.5, 8
-CHUNK_BYTES = 2 << 20
+COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.45, 0.6, 0.5, 8
+CHUNK_BYTES = 1 << 20
 
 
 def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "subsequence", "answer")]])
     n = items.count()
     parts = []
-    block = max(1, -(-n // ITEMS))
+    block = -(-n // ITEMS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text"))
     for k in range(block):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(block)) == k) if block > 1 else items
@@ -144,8 +144,9 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
     df = np.zeros(v + 1, np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     total, df = int(df[v]), df[:v]
-    idf = np.where(df > max(1.0, COMMON * total), 0.0, np.log((1 + total) / (1 + df)) + 0.1)
-    heavy = np.flatnonzero(idf > 0)
+    idf = np.log((1 + total) / (1 + df)) + 0.1
+    rarest = [x[np.argsort(-idf[x], kind="stable")][:ANSWER_WORDS] for x in (np.unique(_term(vocabulary, e)) for e in each)]
+    heavy = np.union1d(np.flatnonzero(df <= max(1.0, COMMON * total)), np.concatenate([np.zeros(0, np.int64), *rarest]))
     rank = min(RANK, len(names), max(1, len(heavy)))
     rng = np.random.default_rng(3)
     omega = rng.normal(size=(len(heavy), min(len(heavy), rank + 16)))
@@ -159,7 +160,7 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
         n = np.diff(first_word)
         first = np.append(0, np.cumsum(-(-n // STRIDE)))
         t = _term(vocabulary, h)
-        t = np.where(t >= 0, slot[t], -1)
+        t = np.where(t >= 0, slot[t], -1) if v else t
         use = np.flatnonzero(t >= 0)
         place = use - first_word[row[use]]
         p, t, c = passage_counts(t[use], place, first[row[use]], max(1, len(heavy)))
@@ -167,13 +168,13 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
         return p, t, w, first, first_word
 
     def sketch(batches):
-        z = np.zeros(omega.shape)
+        z, thin = np.zeros(omega.shape), omega.astype(np.float32)
         for whole in batches:
             for batch in slices(whole, 0, CHUNK_BYTES):
                 h, row = _word_hashes(*buffers(batch.column(0)))
                 p, t, w, *_ = passages(h, row, batch.num_rows)
                 if len(p):
-                    _add_gram(z, p, t, w, omega)
+                    _add_gram(z, p, t, w.astype(np.float32), thin)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), pa.array(list(z), pa.list_(pa.float64()))], names=["term", "z"])
 
     z = np.zeros(omega.shape)
@@ -192,8 +193,7 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
     norms = np.linalg.norm(q, axis=1)
     q = np.where(norms[:, None] > 0, q / np.maximum(norms, 1e-300)[:, None], 0).astype(np.float32)
     space32 = space.astype(np.float32)
-    rarest = [x[np.argsort(-idf[_term(vocabulary, x)], kind="stable")] for x in (np.unique(e) for e in each)]
-    answers = [set(x[:ANSWER_WORDS].tolist()) for x in rarest]
+    answers = [set(vocabulary[x].tolist()) for x in rarest]
     lists = [e.tolist() for e in each]
 
     def search(batches):
@@ -233,7 +233,7 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
     return texts.mapInArrow(search, schema)
 
 
-def _add_gram(z: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, omega: np.ndarray, step: int = 200_000) -> None:
+def _add_gram(z: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, omega: np.ndarray, step: int = 20_000) -> None:
     """z += X'X omega for the rows of X that p numbers, in rising order."""
     at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
     ends = np.append(at[1:], len(p))
