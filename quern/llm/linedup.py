@@ -41,7 +41,8 @@ def read_lines(data: np.ndarray, offs: np.ndarray):
     first = np.append(0, np.cumsum(count))
     row = np.repeat(np.arange(len(offs) - 1), count)
     number = np.arange(first[-1]) - first[row]
-    line = np.searchsorted(breaks, starts) + wrow
+    before = np.append(0, np.append(np.searchsorted(starts, breaks), len(starts)))
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(before)) + wrow
     return row, number, line, h
 
 
@@ -160,7 +161,7 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
     return run
 
 
-GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("word", "doc", "line", "size", "sum")])
+GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "line", "head_doc", "head_line")])
 
 
 def similar_pairs(word, n, place, low, high, t: float):
@@ -192,8 +193,8 @@ def similar_pairs(word, n, place, low, high, t: float):
 
 
 def _groups(t: float):
-    """Members (word, doc, line, size, sum) of the groups of lines that share a word and pass the filters; removed lines with size 0.
-    sum is of hashes of the members, so groups with the same members are known."""
+    """Members (doc, line, head_doc, head_line) of groups of lines that share a word and pass the filters, named by their earliest line; removed lines
+    have -1 as the head's line. Near copies share many words, and their earliest line most of these, so most groups of one family have one name."""
 
     def run(batches):
         for table in whole_runs(batches, 1, 50_000):
@@ -205,7 +206,8 @@ def _groups(t: float):
             many = np.repeat(size > 1, size) & ~gone
             if gone.any():
                 i = np.flatnonzero(gone)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word[i], doc[i], at[i] >> 21, np.zeros(len(i), np.int64), np.zeros(len(i), np.int64))], names=GROUPS.names)
+                none = np.full(len(i), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i] >> 21, none, none)], names=GROUPS.names)
             i = np.flatnonzero(many)
             if not len(i):
                 continue
@@ -215,16 +217,12 @@ def _groups(t: float):
             # What such pairs connect at a word is a group.
             root = forest(len(i), a, b)
             linked = np.unique(np.concatenate([a, b]))
-            linked = linked[np.argsort(root[linked], kind="stable")]
-            g = group_bounds([root[linked]])
-            i = i[linked]
-            w, d, line = word[i], doc[i], at[i] >> 21
-            member = mix(mix(d.astype(U64)) + line.astype(U64))
-            with np.errstate(over="ignore"):
-                total = np.add.reduceat(member, g[:-1])
-            count = np.diff(g)
-            name = mix(w[g[:-1]].astype(U64) ^ mix(total)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(name, count), d, line, np.repeat(count, count), np.repeat(total, count).astype(np.int64))], names=GROUPS.names)
+            i, root = i[linked], root[linked]
+            order = np.lexsort((at[i] >> 21, doc[i], root))
+            i, root = i[order], root[order]
+            g = group_bounds([root])
+            head = np.repeat(i[g[:-1]], np.diff(g))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i] >> 21, doc[head], at[head] >> 21)], names=GROUPS.names)
 
     return run
 
@@ -284,10 +282,10 @@ def later_matches(sets: list[np.ndarray], t: float, block: np.ndarray | None = N
 
 def _decide(t: float):
     def run(batches):
-        for table in whole_runs(batches, 4, 4096):
-            key, group, i, j, own, doc, line = (table.column(k).to_numpy() for k in range(7))
-            raw = table.column(7).to_pylist()
-            bounds = group_bounds([key, group, i, j])
+        for table in whole_runs(batches, 5, 4096):
+            key, g, h, i, j, own, doc, line = (table.column(k).to_numpy() for k in range(8))
+            raw = table.column(8).to_pylist()
+            bounds = group_bounds([key, g, h, i, j])
             docs, lines = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo < 2:
@@ -319,19 +317,16 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     classes = _classes(frequency_sketch(docs))
     rows = docs.mapInArrow(_prefixes(classes, similarity, least_words), ROWS)
     members = cut(rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_groups(similarity), GROUPS), "groups")
-    equal = members.where("size = 0").select("doc", "line")
-    found = members.where("size > 0")
-    # Groups with the same members, as near copies have at all the words they share, are compared once.
-    once = found.groupBy("size", "sum").agg(F.min("word").alias("word"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    kept = cut(found.join(once, ["word", "size", "sum"], "left_semi").select("word", "doc", "line", blocks.alias("blocks")), "members")
+    equal = members.where("head_line < 0").select("doc", "line")
+    kept = cut(members.where("head_line >= 0").distinct(), "members")
+    size = kept.groupBy("head_doc", "head_line").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asked = kept.groupBy("doc").agg(F.collect_set("line").alias("asked"))
     sets = cut(docs.join(asked.hint("merge"), "doc").mapInArrow(_line_sets(classes), "doc long, line long, set binary").dropDuplicates(["doc", "line"]), "sets")
-    spread = kept.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("long"))
+    spread = kept.join(size, ["head_doc", "head_line"]).withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("long"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).join(sets, ["doc", "line"])
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    keyed = spread.select(F.xxhash64("word", i, j).alias("key"), F.col("word").alias("g"), i.alias("i"), j.alias("j"), "own", "doc", "line", "set")
-    similar = keyed.repartition(n, "key").sortWithinPartitions("key", "g", "i", "j").mapInArrow(_decide(similarity), "doc long, line long")
+    keyed = spread.select(F.xxhash64("head_doc", "head_line", i, j).alias("key"), F.col("head_doc").alias("g"), F.col("head_line").alias("h"), i.alias("i"), j.alias("j"), "own", "doc", "line", "set")
+    similar = keyed.repartition(n, "key").sortWithinPartitions("key", "g", "h", "i", "j").mapInArrow(_decide(similarity), "doc long, line long")
     return cut(equal.unionByName(similar).distinct(), "later")
 
 
