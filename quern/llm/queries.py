@@ -78,5 +78,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup)}
 
 
+#: Brute force within labels; components by the closure of links.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON n.a = c.a
+"""
+
+#: Lines that share a word of their prefixes, compared as whole sets.
+LINE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+s AS (SELECT doc_id, no, list_distinct(regexp_extract_all(lower(line), '[0-9a-z\x{80}-\x{10ffff}]+')) AS w FROM l), t AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= 5),
+d AS (SELECT word, count(*) AS df FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
+e AS (SELECT t.doc_id, t.no, t.n, u.word, row_number() OVER (PARTITION BY t.doc_id, t.no ORDER BY d.df, u.word) AS place FROM t, unnest(t.w) AS u(word) JOIN d ON d.word = u.word),
+x AS (SELECT * FROM e WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.doc_id AS da, a.no AS na, b.doc_id AS db, b.no AS nb FROM x a JOIN x b ON a.word = b.word AND (a.doc_id, a.no) < (b.doc_id, b.no) AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+g AS (SELECT DISTINCT db AS doc_id, nb AS no FROM c JOIN t p ON p.doc_id = da AND p.no = na JOIN t q ON q.doc_id = db AND q.no = nb WHERE len(list_intersect(p.w, q.w)) >= 0.8 * (p.n + q.n - len(list_intersect(p.w, q.w))) - 1e-9)
+SELECT d.doc_id, count(g.no) AS n_removed, coalesce(string_agg(CAST(g.no AS VARCHAR), ',' ORDER BY g.no), '') AS removed_lines FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against brute force."""
+    return {"op8_embedding_near_dedup": EMBEDDING_SQL, "op10_line_dedup": LINE_SQL}
