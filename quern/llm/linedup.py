@@ -257,46 +257,67 @@ def _line_sets(classes: np.ndarray):
     return run
 
 
-def later_matches(sets: list[np.ndarray], t: float, block: np.ndarray | None = None) -> np.ndarray:
-    """Which of the sets, in order, have a Jaccard similarity of at least t with an earlier one (of another block, if blocks are given)."""
-    n = np.array([len(s) for s in sets])
-    flat, at = np.concatenate(sets), np.append(0, np.cumsum(n))
-    gone = np.zeros(len(sets), bool)
-    for y in range(len(sets) - 1):
-        rest = np.flatnonzero(~gone[y + 1 :]) + y + 1
-        if not len(rest):
-            break
-        rest = rest[(n[rest] >= t * n[y] - 1e-9) & (n[y] >= t * n[rest] - 1e-9)]
-        if block is not None:
-            rest = rest[block[rest] != block[y]]
-        if not len(rest):
-            continue
-        size = n[rest]
-        i = np.repeat(at[rest] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-        mine = sets[y]
-        hit = mine[np.minimum(np.searchsorted(mine, flat[i]), len(mine) - 1)] == flat[i]
-        common = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(size))[:-1])
-        gone[rest[common >= t * (n[rest] + n[y] - common) - 1e-9]] = True
+def later_matches(bounds: np.ndarray, raw: list[bytes], own: np.ndarray | None, t: float) -> np.ndarray:
+    """Which rows have a Jaccard similarity of at least t with an earlier one of their group (of another block, where own tells blocks apart).
+
+    Rows come in order within groups, whose bounds are given; raw has their sets,
+    hashes in rising order. All groups advance together: first each row meets
+    the first of its group, which most copies match, then those that are left
+    meet the row before, the one before that, and so on.
+    """
+    n = np.array([len(x) >> 3 for x in raw])
+    flat, at = np.frombuffer(b"".join(raw), U64), np.append(0, np.cumsum(n))
+    low, high = bitmaps(flat, at[:-1], n)
+    # Row and upper bits of a hash in one rising key; the whole hash decides.
+    key = (np.repeat(np.arange(len(n)), n).astype(U64) << U64(40)) | (flat >> U64(24))
+    first = np.repeat(bounds[:-1], np.diff(bounds))
+    gone = np.zeros(len(n), bool)
+
+    def meet(i, j):
+        differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
+        near = (n[i] + n[j] - differ >= 2 * (t / (1 + t) * (n[i] + n[j]) - 1e-9)) & (n[i] >= t * n[j] - 1e-9) & (n[j] >= t * n[i] - 1e-9)
+        if own is not None:
+            near &= own[i] != own[j]
+        i, j = i[near], j[near]
+        ends = np.cumsum(n[j])
+        lo = 0
+        while lo < len(j):  # about a million words at once
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+            a, b = i[lo:hi], j[lo:hi]
+            start = np.append(0, np.cumsum(n[b]))[:-1]
+            owner = np.repeat(np.arange(len(b)), n[b])
+            word = flat[at[b][owner] + np.arange(len(owner)) - start[owner]]
+            place = np.minimum(np.searchsorted(key, (a[owner].astype(U64) << U64(40)) | (word >> U64(24))), len(flat) - 1)
+            hit = (flat[place] == word) & (place < at[a + 1][owner])
+            common = np.bincount(owner, hit, len(b))
+            gone[b[common >= t * (n[a] + n[b] - common) - 1e-9]] = True
+            lo = hi
+
+    j = np.flatnonzero(np.arange(len(n)) > first)
+    meet(first[j], j)
+    j, step = j[~gone[j]], 1
+    while len(j := j[(j - step > first[j]) & ~gone[j]]):
+        meet(j - step, j)
+        step += 1
     return gone
 
 
 def _decide(t: float):
     def run(batches):
-        for table in whole_runs(batches, 5, 4096):
+        for table in whole_runs(batches, 5, 16_384):
             key, g, h, i, j, own, doc, line = (table.column(k).to_numpy() for k in range(8))
-            raw = table.column(8).to_pylist()
             bounds = group_bounds([key, g, h, i, j])
-            docs, lines = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                order = np.lexsort((line[lo:hi], doc[lo:hi])) + lo
-                order = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1]))]
-                gone = order[later_matches([np.frombuffer(raw[k], U64) for k in order], t, own[order] if i[lo] != j[lo] else None)]
-                docs.append(doc[gone])
-                lines.append(line[gone])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(lines))], names=["doc", "line"])
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            order = np.lexsort((line, doc, group))
+            # Rows that repeat an id repeat their lines.
+            once = np.append(True, (group[order][1:] != group[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1]))
+            order = order[once]
+            raw = table.column(8).combine_chunks().take(pa.array(order)).to_pylist()
+            # Within a block all pairs count, between two blocks those across them.
+            side = np.where(i[order] == j[order], -1 - np.arange(len(order)), own[order])
+            gone = order[later_matches(group_bounds([group[order]]), raw, side, t)]
+            if len(gone):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(line[gone])], names=["doc", "line"])
 
     return run
 
