@@ -25,7 +25,9 @@ ITEMS, RANK = 256, 96
 #: Words in more than this share of passages have no weight, unless they are among the ANSWER_WORDS rarest of an item.
 COMMON = 0.002
 #: Least cosine of a candidate; least share of an item's words in the longest common subsequence; least share of its rarest words that occur.
-COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.45, 0.6, 0.5, 8
+COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.6, 0.6, 0.5, 8
+#: Weighted words that a passage shares with an item, at least.
+FEW = 3
 CHUNK_BYTES = 1 << 20
 
 
@@ -195,15 +197,23 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
     space32 = space.astype(np.float32)
     answers = [set(vocabulary[x].tolist()) for x in rarest]
     lists = [e.tolist() for e in each]
+    # A passage of an item has several of its weighted words, or all if these are fewer.
+    need = np.minimum(FEW, (tf > 0).sum(axis=1))
+    least = max(1, int(need.min(initial=FEW)))
 
     def search(batches):
         for whole in batches:
             for batch in slices(whole, 1, CHUNK_BYTES):
                 h, row = _word_hashes(*buffers(batch.column(1)))
                 p, t, w, first, first_word = passages(h, row, batch.num_rows)
+                if not len(p):
+                    continue
+                many = np.bincount(p, minlength=int(first[-1]))[p] >= least
+                p, t, w = p[many], t[many], w[many]
                 if not len(p):
                     continue
                 at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                count = np.diff(np.append(at, len(p)))
                 docs, hits, values = [], [], []
                 ids = batch.column(0).to_pylist()
                 for k in range(0, len(at), 2048):
@@ -211,7 +221,7 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
                     x = np.add.reduceat(space32[t[a:b]] * w[a:b, None].astype(np.float32), at[k : k + 2048] - a, axis=0)
                     size = np.linalg.norm(x, axis=1)
                     cosine = (x @ q.T) / np.maximum(size, 1e-12)[:, None]
-                    for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    for i, j in zip(*np.nonzero((cosine >= COSINE) & (count[k : k + 2048, None] >= need)), strict=True):
                         passage = p[at[k + i]]
                         r = int(np.searchsorted(first, passage, "right")) - 1
                         lo = first_word[r] + (passage - first[r]) * STRIDE
