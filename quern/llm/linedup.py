@@ -102,6 +102,17 @@ def bitmaps(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return out[0], out[1]
 
 
+def wide_bitmaps(h: np.ndarray, first: np.ndarray, n: np.ndarray, parts: int = 8) -> np.ndarray:
+    """64 * parts bits of each set, one row of integers a set."""
+    out = np.zeros((len(n), parts), U64)
+    some = np.flatnonzero(n)
+    bit, part = U64(1) << (h & U64(63)), ((h >> U64(6)) % U64(parts)).astype(np.int8)
+    for k in range(parts):
+        if len(some):
+            out[some, k] = np.bitwise_or.reduceat(np.where(part == k, bit, U64(0)), first[some])
+    return out
+
+
 ROWS = T.StructType([T.StructField(c, T.LongType()) for c in ("word", "doc", "at", "low", "high")])
 #: at packs line << 21 | distinct words (11 bits, more as the largest) << 10 | place in the order (10 bits, likewise); removed lines have no words.
 _MOST_N, _MOST_P = 2047, 1023
@@ -267,18 +278,20 @@ def later_matches(bounds: np.ndarray, raw: list[bytes], own: np.ndarray | None,
     """
     n = np.array([len(x) >> 3 for x in raw])
     flat, at = np.frombuffer(b"".join(raw), U64), np.append(0, np.cumsum(n))
-    low, high = bitmaps(flat, at[:-1], n)
+    bits = wide_bitmaps(flat, at[:-1], n)
     # Row and upper bits of a hash in one rising key; the whole hash decides.
     key = (np.repeat(np.arange(len(n)), n).astype(U64) << U64(40)) | (flat >> U64(24))
     first = np.repeat(bounds[:-1], np.diff(bounds))
     gone = np.zeros(len(n), bool)
 
     def meet(i, j):
-        differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
-        near = (n[i] + n[j] - differ >= 2 * (t / (1 + t) * (n[i] + n[j]) - 1e-9)) & (n[i] >= t * n[j] - 1e-9) & (n[j] >= t * n[i] - 1e-9)
+        near = (n[i] >= t * n[j] - 1e-9) & (n[j] >= t * n[i] - 1e-9)
         if own is not None:
             near &= own[i] != own[j]
         i, j = i[near], j[near]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        near = n[i] + n[j] - differ >= 2 * (t / (1 + t) * (n[i] + n[j]) - 1e-9)
+        i, j = i[near], j[near]
         ends = np.cumsum(n[j])
         lo = 0
         while lo < len(j):  # about a million words at once
