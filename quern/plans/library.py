@@ -114,10 +114,10 @@ def csv_pipe_table(spark, sf):
     return n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "\n").alias("body"))
 
 
-@query("SELECT n_nationkey, list_transform(string_split(l, '|'), lambda x: trim(x))[2:3] AS cells FROM (SELECT n_nationkey, '| ' || n_name || ' |  ' || n_regionkey || '|' AS l FROM nation)")
+@query("SELECT n_nationkey, array_to_string(list_transform(string_split(l, '|'), lambda x: trim(x))[2:3], '~') AS cells FROM (SELECT n_nationkey, '| ' || n_name || ' |  ' || n_regionkey || '|' AS l FROM nation)")
 def pipe_row_cells(spark, sf):
     line = F.concat(F.lit("| "), "n_name", F.lit(" |  "), F.col("n_regionkey").cast("string"), F.lit("|"))
-    return table(spark, sf, "nation").select("n_nationkey", tx.pipe_cells(line).alias("cells"))
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(tx.pipe_cells(line), "~").alias("cells"))
 
 
 _PAGED = "SELECT doc_id, replace(text, chr(10), chr(12)) || CASE WHEN doc_id % 3 = 0 THEN repeat(chr(12), 5) ELSE '' END AS text FROM documents"
@@ -542,10 +542,10 @@ def run_summary(spark, sf):
     return runs.select("run_id", F.round(F.get_json_object("metrics", "$.hitAt1").cast("double"), 4).alias("hit_at_1"))
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_counts(spark, sf):
     out = ev.run_once(ev.windowed_counts(ev.read_stream(spark, f"{sf}/events.parquet")), _folder(spark))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT event_id FROM events")
