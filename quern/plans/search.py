@@ -215,7 +215,7 @@ def _evidence(spark, sf):
     longest = F.element_at(F.array_sort(F.filter(F.split("text", " "), lambda x: x != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
     keyed = q.select("query_id", F.col("text").alias("passage"), F.regexp_replace(longest, r"\n", " ").alias("k"))
     keyed = keyed.select("query_id", "passage", F.explode(F.slice(F.split("k", " "), 1, 1)).alias("word"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("word")).join(F.broadcast(keyed.select("word").distinct()), "word", "left_semi")
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("word")).join(keyed.select("word").distinct(), "word", "left_semi")
     near = keyed.join(words, "word").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
     none = F.lit(None).cast("string")
     return near.select("query_id", F.col("doc_id").alias("evidence_id"), none.alias("content_hash"), F.col("doc_id").cast("string").alias("chunk_id"), none.alias("title_path"), none.alias("anchor_path"))
