@@ -109,14 +109,14 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _best_edges(sig: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of two disjoint spanning forests of the pairs that agree enough, by falling agreement."""
+def _agreeing(sig: np.ndarray, own: np.ndarray | None, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different parts (and of different blocks, where own tells blocks apart) that agree enough, by falling agreement."""
     n = len(sig)
     a, b, s = [], [], []
     for i in range(0, n, 64):
         agree = (sig[i : i + 64, None, :] == sig[None, :, :]).mean(axis=2) if n <= 256 else np.stack([(x == sig).mean(axis=1) for x in sig[i : i + 64]])
         x, y = np.nonzero(agree >= AGREE)
-        keep = y > x + i
+        keep = (y > x + i) & (part[x + i] != part[y])
         if own is not None:
             keep &= own[x + i] != own[y]
         a.append(x[keep] + i)
@@ -124,8 +124,14 @@ def _best_edges(sig: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np
         s.append(agree[x[keep], y[keep]])
     a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
     order = np.lexsort((b, a, -s))
-    a, b = a[order], b[order]
-    out = []
+    return a[order], b[order]
+
+
+def _best_edges(sig: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Edges of two disjoint spanning forests of the pairs that agree enough, by falling agreement, and whether such pairs are left."""
+    n = len(sig)
+    a, b = _agreeing(sig, own, np.arange(n))
+    out = [(a[:0], b[:0])]
     for _ in range(2):
         if not len(a):
             break
@@ -143,40 +149,114 @@ def _best_edges(sig: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np
             root = forest(n, a[picked], b[picked])
         out.append((a[picked], b[picked]))
         a, b = a[~picked], b[~picked]
-    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (a, b)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]), len(a) > 0
 
 
-def candidates(unique: DataFrame) -> DataFrame:
-    """Pairs (x, y), x < y, of representatives that share a band and whose signatures agree enough: of each bucket, or of each pair of blocks of
-    a large one, the best such pairs that connect all that such pairs connect, twice over. Their number is linear in the bucket's."""
-    spark = unique.sparkSession
+def _links_between(sig: np.ndarray, own: np.ndarray | None, part: np.ndarray, flat: np.ndarray, at: np.ndarray, t: float) -> tuple[list[int], list[int]]:
+    """Links that connect all parts which the pairs that agree enough connect, each such pair measured unless links connect it already. Row r has the cells flat[at[r] : at[r + 1]]."""
+    a, b = _agreeing(sig, own, part)
+    found: tuple[list[int], list[int]] = [], []
+    if not len(a):
+        return found
+    root, size = np.unique(part, return_inverse=True)[1], np.diff(at)
+    values, cell = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(values), bool)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    bounds = group_bounds([a])
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        x, ys = a[lo], b[lo:hi]
+        ys = ys[root[ys] != root[x]]
+        if not len(ys):
+            continue
+        mark[cell[at[x] : at[x + 1]]] = True
+        for k in range(0, len(ys), 256):
+            y = ys[k : k + 256]
+            first = np.append(0, np.cumsum(size[y]))
+            hit = mark[cell[np.arange(first[-1]) + np.repeat(at[y] - first[:-1], size[y])]]
+            common = np.add.reduceat(hit.astype(np.int64), first[:-1])
+            y = y[common >= t * (size[x] + size[y] - common)]
+            y = y[np.unique(root[y], return_index=True)[1]]
+            y = y[root[y] != root[x]]
+            found[0].extend([x] * len(y))
+            found[1].extend(y)
+            root[np.isin(root, root[y])] = root[x]
+        mark[cell[at[x] : at[x + 1]]] = False
+    return found
+
+
+def _members(unique: DataFrame) -> DataFrame:
+    """band, value, i, j, blocks, own, part, rep: the representatives of each bucket, or of each pair (i, j) of blocks of a large one; each is a part of its own."""
     at = unique.select("rep", F.posexplode("bands").alias("band", "value"))
     buckets = at.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1")
     # Buckets with the same members, as copies have in all bands, are compared once.
     once = cut(buckets.groupBy("n", "s", "lo", "hi").agg(F.min(F.struct("band", "value")).alias("b")).select("b.band", "b.value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-    members = at.join(once, ["band", "value"]).select("band", "value", "blocks", "rep").join(unique.select("rep", "sig"), "rep")
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = members.select(
-        F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "value", "own", "rep", "sig"
-    )
+    members = at.join(once, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks", "own", F.col("rep").alias("part"), "rep")
+
+
+def _apart(unique: DataFrame, left: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members, as above, of the buckets or pairs of blocks in left (band, value, i, j, blocks) that hold several classes; each class is a part."""
+    at = unique.select("rep", F.posexplode("bands").alias("band", "value"))
+    members = at.join(left, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).where("own = i or own = j")
+    members = members.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "value", "i", "j", "blocks", "own", F.coalesce("component", "rep").alias("part"), "rep")
+    members = cut(members, "apart")
+    several = members.groupBy("band", "value", "i", "j").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "value", "i", "j")
+    return members.join(several, ["band", "value", "i", "j"])
+
+
+def _keyed(members: DataFrame, values: DataFrame) -> DataFrame:
+    """The members with the values of their representatives; those of a bucket or pair of blocks come one after the other."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = members.join(values, "rep").select(F.xxhash64("band", "value", "i", "j").alias("key"), "i", "j", "band", "value", "own", "rep", "part", "blocks", *[c for c in values.columns if c != "rep"])
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "i", "j", "band", "value")
+
+
+def candidates(unique: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of representatives that share a band and whose signatures agree enough: of each bucket, or of each pair of blocks of
+    a large one, the best such pairs that connect all that such pairs connect, twice over. Their number is linear in the bucket's. Rows without
+    x and y name the buckets or pairs of blocks (band, value, i, j, blocks) that have more such pairs."""
+    names = ["x", "y", "band", "value", "i", "j", "blocks"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches):
         for t in whole_runs(batches, 5, 8192):
-            key, i, j, band, value, own, rep = (t.column(c).to_numpy() for c in range(7))
-            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), "<u2").reshape(len(rep), -1)
+            key, i, j, band, value, own, rep, _, blocks = (t.column(c).to_numpy() for c in range(9))
+            sig = np.frombuffer(b"".join(t.column(9).to_pylist()), "<u2").reshape(len(rep), -1)
             bounds = group_bounds([key, i, j, band, value])
-            xs, ys = [], []
+            xs, ys, left = [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo > 1:
-                    a, b = _best_edges(sig[lo:hi], own[lo:hi] if i[lo] != j[lo] else None)
+                    a, b, more = _best_edges(sig[lo:hi], own[lo:hi] if i[lo] != j[lo] else None)
                     xs.append(rep[lo:hi][a])
                     ys.append(rep[lo:hi][b])
+                    if more:
+                        left.append(lo)
             if xs:
                 x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *[pa.nulls(len(x), k) for k in types[2:]]], names=names)
+            if left:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(left), k) for k in types[:2]], *[pa.array(c[left], k) for c, k in zip((band, value, i, j, blocks), types[2:], strict=True)]], names=names)
+
+    return _keyed(_members(unique), unique.select("rep", "sig")).mapInArrow(run, "x long, y long, band int, value long, i int, j int, blocks int").distinct()
+
+
+def further_links(unique: DataFrame, sets: DataFrame, left: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between classes, from all pairs of the buckets or pairs of blocks in left that agree enough. A set travels once for each of these, whatever the number of pairs."""
+
+    def run(batches):
+        for t in whole_runs(batches, 5, 256):
+            key, i, j, band, value, own, rep, part = (t.column(c).to_numpy() for c in range(8))
+            sig = np.frombuffer(b"".join(t.column(9).to_pylist()), "<u2").reshape(len(rep), -1)
+            cells = t.column(10).combine_chunks()
+            at, flat = cells.offsets.to_numpy().astype(np.int64), cells.values.to_numpy()
+            bounds = group_bounds([key, i, j, band, value])
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                a, b = _links_between(sig[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, part[lo:hi], flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], similarity)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi][a]), pa.array(rep[lo:hi][b])], names=["a", "b"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "i", "j", "band", "value").mapInArrow(run, "x long, y long").distinct()
+    return _keyed(_apart(unique, left, classes), unique.select("rep", "sig").join(sets, "rep")).mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -199,7 +279,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in lower case, punctuation apart) have a weighted Jaccard similarity of at
     least `similarity`; classes are what such pairs connect, class_id is the
     smallest id in it, and the document of that id is kept. Every pair that
-    connects a class is measured exactly. Texts of one to four words have one
+    connects a class is measured exactly, and so is every pair between classes
+    that shares a band and whose signatures agree enough. Texts of one to four words have one
     shingle; a null or wordless text and a row with a null id are classes of
     their own, and are kept. Of rows that repeat an id and the words, all are
     kept or none. An empty table gives an empty table.
@@ -210,7 +291,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seen = cut(sketch(df, id_col, text_col), "sketches")
     words_ = seen.where("id is not null and key is not null")
     unique = cut(words_.groupBy("key").agg(F.min(F.struct("id", "bands", "sig")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.bands", "m.sig"), "unique")
-    pairs = cut(candidates(unique), "pairs")
+    found = cut(candidates(unique), "pairs")
+    pairs, left = found.where("x is not null").select("x", "y"), found.where("x is null").select("band", "value", "i", "j", "blocks")
     needed = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), utf8(F.lower(F.col(text_col))).alias("text")).join(needed.hint("merge"), "id", "left_semi")
     sets = cut(_sets(texts).dropDuplicates(["rep"]), "sets")
@@ -218,6 +300,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = F.size(F.array_intersect("cx", "cy"))
     near = both.select("x", "y", common.alias("c"), (F.size("cx") + F.size("cy")).alias("n")).where(F.col("c") >= similarity * (F.col("n") - F.col("c")))
     classes = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # The pairs that the forests left out matter where they lie between classes. Each document of such a pair is in a forest, so its set is there.
+    further = cut(further_links(unique, sets, left, classes, similarity), "further")
+    if further.limit(1).count():
+        classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(further))
     known = unique.select("key", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     linked = words_.select("id", "key").join(known, "key").select("id", "class_id")
     out = linked.unionByName(seen.where("id is null or key is null").select("id", F.col("id").alias("class_id")))

@@ -146,6 +146,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_family_without_its_original(spark):
+    """Edited copies of an absent text, pairs of which lie around the similarity: no link may be left out because better estimates come first."""
+    r, base, texts = random.Random(8), words(300, 21, 5000).split(), []
+    for k in range(150):
+        w = base.copy()
+        for j, at in enumerate(r.sample(range(300), 4)):
+            w[at] = f"z{k}x{j}"
+        texts.append(" ".join(w))
+    c = [cells(t) for t in texts]
+    links = [(i, j) for j in range(len(c)) for i in range(j) if 5 * (c[i] & c[j]).total() >= 4 * (c[i] | c[j]).total()]
+    out = {x.doc_id: x.class_id for x in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert out == dict(enumerate(classes(texts, links)))
+
+
 def test_darts_estimate_weighted_similarity():
     a, b = words(300, 3, 60), words(300, 3, 60).split()
     b = " ".join(b[:250] + words(50, 9, 60).split())
