@@ -144,7 +144,7 @@ packed AS (SELECT query_id, regexp_replace(string_agg(substr(part, 1, CAST(6000
 
 
 def _packed(spark, sf, s):
-    texts = s.docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".md")).alias("title"), F.substring("text", 1, 1800).alias("content"))
+    texts = s.docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".md")).alias("title"), F.col("text").alias("content"))
     return answer.pack(s.top.join(texts, "id"), s.queries)
 
 
