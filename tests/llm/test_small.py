@@ -97,6 +97,15 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts), b.limit(0)).count() == 0
 
 
+def test_benchmark_with_a_hot_item(spark):
+    """One item in more rows than a block takes."""
+    items = [(i, words(30, 500 + i, 100_000)) for i in range(40)]
+    b = spark.createDataFrame(items + [items[0]] * 1500, "item_id long, text string")
+    texts = [words(100, 1) + " " + items[0][1] + " " + words(100, 2), words(200, 3), items[7][1]]
+    out = decontam.contaminated(docs(spark, texts), b).collect()
+    assert sorted((x.doc_id, x.item_id) for x in out) == [(0, 0), (2, 7)]
+
+
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 @settings(max_examples=100, deadline=None)
 def test_longest_common_subsequence(a, b):
