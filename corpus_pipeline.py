@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; one whose lines have all gone goes, too. n_chars is that of the text that stays."""
-    kept = linedup.remove_lines(docs, linedup.later_lines(docs))
+    kept = linedup.remove_lines(docs, linedup.later_lines(docs, least_words=1))
     return kept.where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

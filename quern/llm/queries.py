@@ -69,7 +69,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    later = linedup.later_lines(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("line")).cast("array<string>"), ",").alias("removed_lines"))
+    later = linedup.later_lines(docs, least_words=1).groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_removed"), F.array_join(F.array_sort(F.collect_list("line")).cast("array<string>"), ",").alias("removed_lines"))
     out = docs.select("doc_id").join(later, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 

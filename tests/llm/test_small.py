@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity
+from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, queries, sharding, sufarr, toxicity
 from quern.llm.common import components
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -467,3 +467,16 @@ def test_lines(spark, block, monkeypatch):
         assert kept[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone))
     assert linedup.later_lines(docs(spark, ["a b c d e f"] * 3, [None, 4, 4])).count() == 0
     assert linedup.later_lines(d.limit(0)).count() == 0
+
+
+def test_query_removes_short_lines(spark, tmp_path):
+    """Lines of one to four words repeat as any others do; lines without words stay."""
+    texts = ["All rights reserved.\nyes\n\n--", "one two three four\nall RIGHTS reserved", "one two three four five\nYes!\n\n--\none two three", "日本語\n日本語。x", None, "yes yes\n日本語"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {(i, k): set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", x.lower())) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))}
+    want = {i: [] for i in range(len(texts))}
+    for b in sorted(sets):
+        if sets[b] and any(a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in sets):
+            want[b[0]].append(str(b[1]))
+    out = {x.doc_id: x.removed_lines for x in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {i: ",".join(v) for i, v in want.items()} and sum(map(len, want.values())) >= 5
