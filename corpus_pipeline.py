@@ -1,6 +1,8 @@
 """From raw documents to tokens: quality, repeated lines, near copies, benchmark leaks, byte-level BPE.
 
 Each stage works on all that the one before it kept, judged on its own input.
+Ids tell documents apart, so those with a null id cannot be judged one by one:
+no stage drops them.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose ids are (or, with left_anti, are not) in ids; joined in one way at every size."""
-    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", how).select(docs.columns)
+    """The rows of docs whose ids are (or, with left_anti, are not) in ids, and those with a null id; joined in one way at every size."""
+    known = docs.where("doc_id is not null").join(ids.select("doc_id").distinct().hint("merge"), "doc_id", how).select(docs.columns)
+    return known.union(docs.where("doc_id is null"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's trusted documents allow."""
+    """Documents whose perplexity their language's trusted documents allow, and all with a null id."""
     return _only(docs, quality.classify(docs, table(spark, sf_dir, "labels")).where("keep"))
 
 
@@ -35,12 +38,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, and all with a null id."""
     return _only(docs, neardup.near_duplicates(docs).where("kept"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark, and all with a null id."""
     return _only(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
 
 

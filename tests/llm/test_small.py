@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -480,3 +481,13 @@ def test_query_removes_short_lines(spark, tmp_path):
             want[b[0]].append(str(b[1]))
     out = {x.doc_id: x.removed_lines for x in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
     assert out == {i: ",".join(v) for i, v in want.items()} and sum(map(len, want.values())) >= 5
+
+
+# The pipeline
+
+
+def test_stages_keep_rows_with_a_null_id(spark):
+    d = docs(spark, ["a", "b", "c", "d"], [None, 1, 2, None])
+    ids = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    for how, want in (("left_semi", ["a", "b", "d"]), ("left_anti", ["a", "c", "d"])):
+        assert sorted(x.text for x in corpus_pipeline._only(d, ids, how).collect()) == want
