@@ -10,13 +10,14 @@ CONTEXT_CHARS, RERANK_THRESHOLD, COSINE_THRESHOLD, EMPTY_CONTEXT, REWRITE_CHARS
 
 
 def pack(hits: DataFrame, queries: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """(query_id, context, char_count, ids, truncated) from hits (query_id, id, score, final_rank, title, content).
+    """(query_id, context, char_count, ids, truncated) from hits (query_id, id, score, final_rank, passed, title, content).
 
-    Sections come in the order of scores. The one that crosses the budget is cut
-    and still counts; later ones don't. A query without hits has a fixed text.
+    Only hits that passed the threshold count. Sections come in the order of
+    scores. The one that crosses the budget is cut and still counts; later ones
+    don't. A query without such hits has a fixed text.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "final_rank")
-    n = hits.withColumn("i", F.row_number().over(order))
+    n = hits.where("passed").withColumn("i", F.row_number().over(order))
     part = F.concat(F.lit("【文档 "), F.col("i").cast("string"), F.lit("】"), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\n\n"))
     n = n.withColumn("part", part).withColumn("end", F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     n = n.withColumn("start", F.col("end") - F.length("part"))

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
+from quern.shared import cut
 
 #: Defaults: candidates of a channel, the constant of reciprocal ranks, hits that stay, least score, characters that a reranker sees.
 CANDIDATES, RRF_K, TOP_K, MIN_SCORE, RERANK_CHARS = 30, 60, 6, 0.30, 800
@@ -27,6 +29,44 @@ def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def vocabulary(queries: DataFrame) -> list[str]:
+    """The distinct words of a query set, in order."""
+    return sorted(r[0] for r in queries.select(F.explode(tokens("text")).alias("term")).distinct().collect())
+
+
+def index(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, length, terms, tfs): for each document its number of words and, of those in `words`, places and occurrences.
+
+    A document's words are counted where it is read, so nothing is shuffled.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        known = pa.array(words, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            length = np.diff(lists.offsets.to_numpy())
+            coded = lists.flatten().dictionary_encode()
+            place = pc.fill_null(pc.index_in(coded.dictionary, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+            row = np.repeat(np.arange(b.num_rows), length)
+            key, tf = np.unique((row << 32 | term)[term >= 0], return_counts=True)
+            at = np.append(0, np.cumsum(np.bincount(key >> 32, minlength=b.num_rows))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length.astype(np.int32)), *lists], names=["doc_id", "length", "terms", "tfs"])
+
+    return docs.select("doc_id", tokens("text").alias("terms")).mapInArrow(run, f"doc_id {id_type}, length int, terms array<int>, tfs array<int>")
+
+
+def statistics(indexed: DataFrame, words: int) -> tuple[int, float, np.ndarray]:
+    """Number of documents, mean length, and how many documents hold each of the words; one row a word comes to the driver."""
+    n, mean = indexed.agg(F.count("*"), F.avg("length")).first()
+    df = np.zeros(words, np.int64)
+    for r in indexed.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+        df[r[0]] = r[1]
+    return n, mean or 0.0, df
+
+
 def postings(docs: DataFrame, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, term, tf, length) of the index, and its one row of statistics (n, avgdl). With queries (query_id, text), of their terms only.
 
@@ -40,58 +80,118 @@ def postings(docs: DataFrame, queries: DataFrame | None = None) -> tuple[DataFra
     return each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")), stats
 
 
+def document_frequencies(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(term, df, n, avgdl) of the queries' terms."""
+    found, stats = postings(docs, queries)
+    return found.groupBy("term").agg(F.count("*").alias("df")).withColumns({c: stats.select(c).scalar() for c in ("n", "avgdl")})
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k best documents of each query by BM25 over the words they share (any of them)."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    index, stats = postings(docs, queries)
-    n, avgdl = stats.first()
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl)))
-    hits = terms.join(df, "term").join(index, "term").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 6).alias("score"))
-    return _top(hits, k, F.desc("score"), F.asc("id"))
+    """The k best documents of each query by BM25 over the words they share (any of them).
+
+    The texts are read once, into an index by document that is written down;
+    statistics and scores come from it. Queries go to the tasks in blocks of a
+    fixed number, and each batch of documents keeps its k best of each query
+    before anything is shuffled, so a word that most documents have is no hot
+    key.
+    """
+    spark, id_type, q_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    words = vocabulary(queries)
+    place = {w: i for i, w in enumerate(words)}
+    indexed = cut(index(docs, words), "index")
+    n, mean, df = statistics(indexed, len(words))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("terms")).orderBy("query_id").collect()
+    parts = []
+    for at in range(0, len(asked), QUERIES):
+        block = asked[at : at + QUERIES]
+        names = np.array([r["query_id"] for r in block])
+        pairs = np.array([(place[t], i) for i, r in enumerate(block) for t in r["terms"]], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        first, of = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1]
+
+        def run(batches, names=names, first=first, of=of):
+            many = np.diff(first)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step := max(1, (1 << 21) // len(names))):
+                    b = whole.slice(lo, step)
+                    ids, length = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+                    row = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
+                    term, tf = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+                    part = idf[term] * tf / (tf + K1 * (1 - B + B * length[row] / mean))
+                    each = many[term]
+                    owner = np.repeat(np.arange(len(term)), each)
+                    q = of[first[term][owner] + np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(each))[:-1], each)]
+                    cell = q * b.num_rows + row[owner]
+                    score = np.bincount(cell, part[owner], len(names) * b.num_rows).round(6)
+                    hit = np.flatnonzero(np.bincount(cell, minlength=len(score)))
+                    yield _best(names[hit // b.num_rows], ids[hit % b.num_rows], score[hit], k)
+
+        parts.append(indexed.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
+    return _merged(spark, parts, q_type, id_type, k)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of each query, by score and id."""
+    order = np.lexsort((ids, -score, query))
+    query = query[order]
+    new = np.append(True, query[1:] != query[:-1]) if len(query) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    keep = np.arange(len(query)) - np.repeat(at, np.diff(np.append(at, len(query)))) < k
+    order = order[keep]
+    return pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[order]), pa.array(score[order])], names=["query_id", "id", "score"])
+
+
+def _merged(spark, parts: list[DataFrame], q_type: str, id_type: str, k: int) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], f"query_id {q_type}, id {id_type}, score double, rank int")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _top(out, k, F.desc("score"), F.asc("id"))
 
 
 def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant: bool = False) -> DataFrame:
     """The k nearest vectors (id, vector) of each query (query_id, vector) by (1 + cosine) / 2, exactly; with tenant only those of the query's kb_id.
 
-    Queries go to the tasks in blocks of a fixed number; each batch of vectors
-    keeps its k best of each query before anything is shuffled.
+    Queries go to the tasks in blocks of a fixed number; vectors are scored in
+    runs that bound the scores held at once, and each run keeps its k best of
+    each query before anything is shuffled.
     """
     cols = ["query_id", "vector", *["kb_id"] * tenant]
-    rows = queries.select(*cols).where("vector is not null").orderBy("query_id").collect()
-    id_type, q_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    source = vectors.select("id", "vector", *["kb_id"] * tenant).where("vector is not null")
+    spark, id_type, q_type = vectors.sparkSession, vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked = queries.select(*cols).where("vector is not null")
+    source = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), *["kb_id"] * tenant).where("vector is not null")
+    n = asked.count()
     parts = []
-    for at in range(0, len(rows), QUERIES):
-        block = rows[at : at + QUERIES]
+    for at in range(max(1, -(-n // QUERIES)) if n else 0):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES))) == at).collect()
+        if not block:
+            continue
         q = np.array([r["vector"] for r in block], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names, kb = np.array([r["query_id"] for r in block]), np.array([r["kb_id"] for r in block]) if tenant else None
+        names, kb = np.array([r["query_id"] for r in block]), np.array([r["kb_id"] for r in block], object) if tenant else None
 
         def run(batches, q=q, names=names, kb=kb):
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round((1 + q @ x.T) / 2, 6)
-                ids = b["id"].to_numpy()
-                by_id = np.argsort(ids, kind="stable")
-                out = []
-                for i in range(len(q)):
-                    use = by_id if kb is None else by_id[b["kb_id"].to_numpy()[by_id] == kb[i]]
-                    best = use[np.argsort(-score[i, use], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": names[i], "id": ids[best], "score": score[i, best]}))
-                yield pd.concat(out)
-
-        parts.append(source.mapInPandas(run, f"query_id {q_type}, id {id_type}, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"query_id {q_type}, id {id_type}, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _top(out, k, F.desc("score"), F.asc("id"))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, step := max(1, (1 << 21) // len(names))):
+                    b = whole.slice(lo, step)
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    score = ((1 + q @ x.T) / 2).round(6)
+                    if kb is not None:
+                        score[kb[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -1
+                    # Ties of the k-th score stay until the ids decide.
+                    if b.num_rows > k:
+                        least = np.partition(score, b.num_rows - k, axis=1)[:, b.num_rows - k]
+                        i, j = np.nonzero((score >= least[:, None]) & (score >= 0))
+                    else:
+                        i, j = np.nonzero(score >= 0)
+                    yield _best(names[i], ids[j], score[i, j], k)
+
+        parts.append(source.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
+    return _merged(spark, parts, q_type, id_type, k)
 
 
 def first_ranks(channel: DataFrame) -> DataFrame:
@@ -136,7 +236,8 @@ def candidates(fused: DataFrame, limit: int = CANDIDATES) -> DataFrame:
 
 def valid(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits of documents (doc_id, is_active) that exist and are active, numbered anew as pre_rank. It comes after the cut, so fewer may remain."""
-    alive = documents.where("is_active").select(F.col("doc_id").alias("id")).distinct()
+    # Hits are few, so documents are reduced to theirs where they are read.
+    alive = documents.where("is_active").select(F.col("doc_id").alias("id")).join(hits.select("id").distinct(), "id", "left_semi").distinct()
     order = Window.partitionBy("query_id").orderBy("fused_rank")
     return hits.join(alive, "id", "left_semi").withColumn("pre_rank", F.row_number().over(order))
 
@@ -191,16 +292,16 @@ def union_candidates(vec: DataFrame, lex: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "id").agg(F.min("o").alias("o")).select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "id")).alias("rank"))
 
 
-def trace(vec: DataFrame, lex: DataFrame, fused: DataFrame, pre: DataFrame, after: DataFrame, top: DataFrame) -> DataFrame:
-    """One row (query_id, stage, id, rank) for each candidate of each stage."""
-    stage = lambda df, name, rank: df.where(F.col(rank).isNotNull()).select("query_id", F.lit(name).alias("stage"), "id", F.col(rank).cast("int").alias("rank"))
-    out = stage(vec, "vector", "rank")
-    for part in (
-        stage(lex, "bm25", "rank"), stage(union_candidates(vec, lex), "union", "rank"), stage(fused, "fused", "fused_rank"), stage(pre, "pre_rerank", "pre_rank"),
-        stage(after, "reranked", "rerank_rank"), stage(top, "final", "final_rank"),
-    ):
-        out = out.unionByName(part)
-    return out
+def trace(fused: DataFrame, after: DataFrame, top: DataFrame) -> DataFrame:
+    """One row (query_id, stage, id, rank) for each candidate of each stage. Every candidate of both channels is in fused, with its ranks there."""
+    stage = lambda name, rank: F.struct(F.lit(name).alias("stage"), F.col(rank).cast("int").alias("rank"))
+    def rows(df, *stages):
+        return df.select("query_id", "id", F.explode(F.array(*[stage(*s) for s in stages])).alias("s")).select("query_id", "s.stage", "id", "s.rank").where("rank is not null")
+
+    place = F.coalesce(F.col("vector_rank"), F.col("bm25_rank") + 1_000_000_000)
+    joined = fused.withColumn("union_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(place, "id")))
+    out = rows(joined, ("vector", "vector_rank"), ("bm25", "bm25_rank"), ("union", "union_rank"), ("fused", "fused_rank"))
+    return out.unionByName(rows(after, ("pre_rerank", "pre_rank"), ("reranked", "rerank_rank"))).unionByName(rows(top, ("final", "final_rank")))
 
 
 STAGES = ("vector", "bm25", "union", "fused", "pre_rerank", "reranked", "final")

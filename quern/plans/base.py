@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval
+from quern.shared import cut
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,15 +95,21 @@ def active(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class Search:
-    """All steps of one search mode, each from the one before."""
+    """All steps of one search mode, each from the one before.
 
-    def __init__(self, spark: SparkSession, sf: str, mode: str = "HYBRID_RERANK"):
+    The fused candidates, a few for each query, are written down: both channels
+    run once, and joins with the documents know how small the other side is.
+    With `reuse`, so are the hits that several results are made from.
+    """
+
+    def __init__(self, spark: SparkSession, sf: str, mode: str = "HYBRID_RERANK", reuse: bool = False):
         self.docs = table(spark, sf, "documents")
         self.queries = questions(spark, sf)
-        self.vec = vector_channel(spark, sf)
-        self.lex = self.vec.limit(0) if mode == "VECTOR" else lexical_channel(spark, sf)
-        self.fused = retrieval.vector_only(self.vec) if mode == "VECTOR" else retrieval.fuse(self.vec, self.lex)
+        vec = vector_channel(spark, sf)
+        self.fused = cut(retrieval.vector_only(vec) if mode == "VECTOR" else retrieval.fuse(vec, lexical_channel(spark, sf)), "fused")
         self.pre = retrieval.valid(retrieval.candidates(self.fused), active(spark, sf))
         self.after = retrieval.rerank(self.pre, self.queries, self.docs) if mode == "HYBRID_RERANK" else retrieval.no_rerank(self.pre)
+        if reuse:
+            self.after = cut(self.after, "reranked")
         self.top = retrieval.final(self.after)
-        self.trace = retrieval.trace(self.vec, self.lex, self.fused, self.pre, self.after, self.top)
+        self.trace = retrieval.trace(self.fused, self.after, self.top)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import answer, catalog, chunking, evaluation
 from quern.plans.base import DOCUMENTS, documents, questions, table
+from quern.shared import shared_dir
 from quern.sources import files
 from quern.streaming import events as ev
 
@@ -544,22 +545,11 @@ def run_summary(spark, sf):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_counts(spark, sf):
-    out = ev.run_once(ev.windowed_counts(ev.read_stream(spark, f"{sf}/events.parquet")), _folder(spark))
+    out = ev.run_once(ev.windowed_counts(ev.read_stream(spark, f"{sf}/events.parquet")), shared_dir(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedupe(spark, sf):
     s = ev.read_stream(spark, f"{sf}/events.parquet")
-    return ev.run_once(ev.first_of_each(s, "event_id").select("event_id"), _folder(spark), "append")
-
-
-def _folder(spark):
-    """The folder that driver and executors share; where none is set, as in tests, a new one."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-stream-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return ev.run_once(ev.first_of_each(s, "event_id").select("event_id"), shared_dir(spark), "append")

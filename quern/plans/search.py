@@ -56,9 +56,7 @@ def postings(spark, sf):
 
 @query(chain(LEXICAL) + " SELECT term, df, n, round(avgdl, 6) AS avgdl FROM dfs CROSS JOIN stats")
 def df_stats(spark, sf):
-    index, stats = retrieval.postings(table(spark, sf, "documents"), questions(spark, sf))
-    n, avgdl = stats.first()
-    return index.groupBy("term").agg(F.count("*").alias("df")).withColumns({"n": F.lit(n), "avgdl": F.round(F.lit(avgdl), 6)})
+    return retrieval.document_frequencies(table(spark, sf, "documents"), questions(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(chain(VECTOR) + " SELECT query_id, id, score, rank FROM vec")
@@ -121,12 +119,12 @@ trace AS (SELECT query_id, 'vector' AS stage, id, rank FROM vec UNION ALL SELECT
 
 @query(chain(*TO_FINAL) + _TRACE + " SELECT query_id, stage, id, rank FROM trace")
 def stage_trace(spark, sf):
-    return Search(spark, sf).trace
+    return Search(spark, sf, reuse=True).trace
 
 
 @query(chain(*TO_FINAL) + _TRACE + " SELECT query_id, id, " + ", ".join(f"min(rank) FILTER (stage = '{s}') AS \"{s}\"" for s in retrieval.STAGES) + " FROM trace GROUP BY query_id, id")
 def stage_ranks_pivot(spark, sf):
-    return retrieval.stage_ranks(Search(spark, sf).trace)
+    return retrieval.stage_ranks(Search(spark, sf, reuse=True).trace)
 
 
 @query(chain(*TO_FINAL) + """ SELECT query_id, id, CASE WHEN rerank_rank <> fused_rank THEN '重排调整：融合 #' || fused_rank || ' → 重排 #' || rerank_rank
@@ -136,8 +134,8 @@ def rank_change_reason(spark, sf):
     return Search(spark, sf).top.select("query_id", "id", retrieval.rank_reason().alias("reason"))
 
 
-_PACK = """, h AS (SELECT t.query_id, t.id, t.final_rank, t.score, '【文档 ' || row_number() OVER w || '】' || d.source || '.md' || chr(10) || substr(d.text, 1, 1800) || chr(10) || chr(10) AS part, row_number() OVER w AS i
-   FROM top t JOIN documents d ON d.doc_id = t.id WINDOW w AS (PARTITION BY t.query_id ORDER BY t.score DESC, t.final_rank)),
+_PACK = """, h AS (SELECT t.query_id, t.id, t.final_rank, t.score, '【文档 ' || row_number() OVER w || '】' || d.source || '.md' || chr(10) || d.text || chr(10) || chr(10) AS part, row_number() OVER w AS i
+   FROM top t JOIN documents d ON d.doc_id = t.id WHERE t.passed WINDOW w AS (PARTITION BY t.query_id ORDER BY t.score DESC, t.final_rank)),
 e AS (SELECT *, sum(length(part)) OVER (PARTITION BY query_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM h),
 c AS (SELECT *, stop - length(part) AS start FROM e),
 packed AS (SELECT query_id, regexp_replace(string_agg(substr(part, 1, CAST(6000 - start AS INT)), '' ORDER BY i) FILTER (start < 6000), '\\s+$', '') AS context, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) FILTER (start < 6000) AS ids, bool_or(stop > 6000) AS truncated FROM c GROUP BY query_id)"""
@@ -154,11 +152,11 @@ def context_pack(spark, sf):
     return p.select("query_id", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha"), "char_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "truncated")
 
 
-@query(chain(*TO_FINAL) + """, n AS (SELECT query_id, count(*) AS n, bool_or(passed) AS p, max(t) AS t FROM (SELECT query_id, passed, sum(length(part)) OVER (PARTITION BY query_id) > 6000 AS t FROM (
-  SELECT t.query_id, t.passed, '【文档 ' || row_number() OVER (PARTITION BY t.query_id ORDER BY t.score DESC, t.final_rank) || '】' || d.source || '.md' || chr(10) || substr(d.text, 1, 1800) || chr(10) || chr(10) AS part FROM top t JOIN documents d ON d.doc_id = t.id)) GROUP BY query_id)
+@query(chain(*TO_FINAL) + """, n AS (SELECT query_id, count(*) AS n, bool_or(passed) AS p, max(t) AS t FROM (SELECT query_id, passed, coalesce(sum(length(part)) FILTER (passed) OVER (PARTITION BY query_id) > 6000, false) AS t FROM (
+  SELECT t.query_id, t.passed, '【文档 ' || row_number() OVER (PARTITION BY t.query_id, t.passed ORDER BY t.score DESC, t.final_rank) || '】' || d.source || '.md' || chr(10) || d.text || chr(10) || chr(10) AS part FROM top t JOIN documents d ON d.doc_id = t.id)) GROUP BY query_id)
  SELECT b.item_id AS query_id, concat_ws(',', CASE WHEN b.item_id % 4 = 0 THEN 'RERANK_DEGRADED' END, CASE WHEN n IS NULL THEN 'NO_HITS' END, CASE WHEN NOT p THEN 'ALL_BELOW_THRESHOLD' END, CASE WHEN t THEN 'CONTEXT_TRUNCATED' END) AS issues FROM benchmark b LEFT JOIN n ON n.query_id = b.item_id""")
 def debug_issues(spark, sf):
-    s = Search(spark, sf)
+    s = Search(spark, sf, reuse=True)
     return answer.issues(s.queries, s.top, _packed(spark, sf, s), s.queries.where("query_id % 4 = 0"))
 
 
@@ -254,13 +252,13 @@ _REL = ", e AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS id FROM bench
 @query(chain(*TO_FINAL) + _TRACE + _REL + f", t AS (SELECT query_id, count(*) AS total FROM e GROUP BY 1), s AS (SELECT unnest(['vector', 'bm25', 'union', 'fused', 'reranked']) AS stage), f AS (SELECT query_id, stage, count(DISTINCT id) AS found FROM trace JOIN e USING (query_id, id) GROUP BY ALL) SELECT s.stage, count(*) AS items, count(*) FILTER (found = total) AS recalled, {_R4.format('count(*) FILTER (found = total) / count(*)')} AS recall FROM t CROSS JOIN s LEFT JOIN f ON f.query_id = t.query_id AND f.stage = s.stage GROUP BY s.stage")
 def stage_recall(spark, sf):
     rel = _evidence(spark, sf).select("query_id", F.col("evidence_id").alias("id"))
-    return evaluation.stage_recall(rel, Search(spark, sf).trace)
+    return evaluation.stage_recall(rel, Search(spark, sf, reuse=True).trace)
 
 
 @query(chain(*TO_FINAL) + _REL + " SELECT count(*) FILTER (rerank_rank < pre_rank) AS promoted, count(*) FILTER (rerank_rank IS NULL OR rerank_rank > pre_rank) AS degraded, count(*) FILTER (rerank_rank = pre_rank) AS stable FROM e JOIN reranked USING (query_id, id)")
 def rerank_effect(spark, sf):
     rel = _evidence(spark, sf).select("query_id", F.col("evidence_id").alias("id"))
-    return evaluation.rerank_effect(rel, Search(spark, sf).trace)
+    return evaluation.rerank_effect(rel, Search(spark, sf, reuse=True).trace)
 
 
 @query(chain(*TO_FUSED) + ", a AS (SELECT query_id AS seq, min(rank) AS base_rank FROM vec WHERE id % 2 = 0 GROUP BY 1), b AS (SELECT query_id AS seq, min(fused_rank) AS rank FROM fused WHERE id % 2 = 0 AND query_id % 5 <> 0 GROUP BY 1), c AS (SELECT a.seq, base_rank, rank, CASE WHEN b.seq IS NULL THEN 'unknown' WHEN rank < base_rank THEN 'better' WHEN rank > base_rank THEN 'worse' ELSE 'flat' END AS change FROM a LEFT JOIN b USING (seq)) SELECT *, CAST(CASE change WHEN 'worse' THEN 0 WHEN 'better' THEN 1 WHEN 'flat' THEN 2 ELSE 3 END AS INT) AS \"order\" FROM c")

@@ -33,14 +33,6 @@ def test_query(spark, sf, duck, name):
     assert rows(got, df.columns) == rows(want.fetchall(), want.columns)
 
 
-@pytest.mark.parametrize("name", ["context_pack", "debug_issues"])
-def test_contexts_are_of_whole_texts(spark, sf, duck, name):
-    """Only the budget cuts a text. The registered SQL takes the first 1800 characters of each."""
-    df = plans.queries()[name](spark, sf)
-    want = duck.sql(plans.oracle_sql()[name].replace("substr(d.text, 1, 1800)", "d.text"))
-    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), want.columns)
-
-
 def test_no_join_without_keys(spark, sf):
     """Plans stay free of Cartesian products."""
     for name in ("mode_hybrid_rerank", "vector_topk", "bm25_topk", "evidence_match", "stage_recall"):

@@ -53,7 +53,7 @@ def test_a_rerank_orders_by_relevance_then_place(spark):
 
 
 def test_context_is_cut_at_the_budget(spark):
-    h = spark.createDataFrame([(1, "a-c0001", 1, 0.9, "标题甲", "x" * 30), (1, "b", 2, 0.5, None, "y" * 30)], "query_id int, id string, final_rank int, score double, title string, content string")
+    h = spark.createDataFrame([(1, "a-c0001", 1, 0.9, "标题甲", "x" * 30), (1, "b", 2, 0.5, None, "y" * 30)], "query_id int, id string, final_rank int, score double, title string, content string").withColumn("passed", F.lit(True))
     q = spark.createDataFrame([(1,), (2,)], "query_id int")
     one, none = answer.pack(h, q, 40).orderBy("query_id").collect()
     assert one.truncated and one.char_count <= 40 and one.ids[0] == "a-c0001"
@@ -61,7 +61,7 @@ def test_context_is_cut_at_the_budget(spark):
 
 
 def test_context_ending_at_the_budget_is_whole(spark):
-    h = spark.createDataFrame([(1, "a", 1, 0.9, "t", "xyz")], "query_id int, id string, final_rank int, score double, title string, content string")
+    h = spark.createDataFrame([(1, "a", 1, 0.9, "t", "xyz", True), (1, "b", 2, 0.2, "u", "not passed", False)], "query_id int, id string, final_rank int, score double, title string, content string, passed boolean")
     full = len("【文档 1】t\nxyz\n\n")
     out = answer.pack(h, h.select("query_id"), full).first()
     assert out.context == "【文档 1】t\nxyz" and not out.truncated
