@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shared import cut
+
 U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64, for polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -21,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lost executors recompute nothing before this point."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(col: str | Column) -> Column:
     """Text as bytes, null as empty."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))
@@ -135,31 +118,27 @@ def words(data: np.ndarray, offs: np.ndarray, belongs: np.ndarray = WORD_BYTE) -
     return starts, ends, row
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component of an undirected graph given as rows (a, b): the smallest node that links reach.
 
-    Alternating large and small stars (Kiveris et al., 2014). Each round is
-    written to the shared folder; only a count returns to the driver. A node
-    with very many neighbours takes part through map-side minima, and the
+    Alternating large and small stars (Kiveris et al., 2014), until nothing is
+    left to do, which takes about the squared logarithm of the nodes in rounds.
+    Each is written to the shared folder; only a count returns to the driver. A
+    node with very many neighbours takes part through map-side minima, and the
     joins that hand a minimum to its neighbours are ones that AQE can split.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small, "star")
+        now = cut(small, "star")
         # Done once every node has one neighbour, and none of these has another.
-        left = after.groupBy("a").count().where("count > 1").limit(1).count() or after.alias("x").join(after.alias("y"), F.col("x.b") == F.col("y.a")).limit(1).count()
-        now = after
-        if not left:
-            break
-    else:
-        raise RuntimeError(f"no components after {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if not (now.groupBy("a").count().where("count > 1").limit(1).count() or now.alias("x").join(now.alias("y"), F.col("x.b") == F.col("y.a")).limit(1).count()):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1) -> Iterator[pa.Table]:

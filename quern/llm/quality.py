@@ -9,15 +9,17 @@ trusted text holds and one back-off weight for each context.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, cut, slices, utf8
+from quern.llm.common import U64, buffers, group_bounds, mix, slices, utf8
+from quern.shared import cut, new_path
 
 #: Bytes of an n-gram, at most 7.
 ORDER = 5
@@ -27,10 +29,10 @@ QUANTILE = 0.995
 MARGIN = 0.1
 #: One in so many trusted documents, by a hash of the id, is left out of the counts and sets the quantiles: what a model has seen is no measure of what it hasn't.
 FOLDS = 8
-#: Entries of a model that is sent to the executors as a whole, at most (about 16 bytes each); a larger one is joined in shards.
-SENT_ENTRIES = 6_000_000
-#: Bytes of a block of documents whose n-grams are joined together, about.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text, about, and most rows of a block of documents, whose n-grams are looked up together. A text is never cut.
+BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 100_000
+#: Shards of the model; and the blocks that one copy of a shard serves, so that more blocks take more tasks.
+SHARDS, SERVED = 256, 16_384
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -164,90 +166,208 @@ def log_probabilities(tables: dict[int, Lookup], keys: np.ndarray, order: int) -
     return out
 
 
-_TABLES: dict = {}
+def pack(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks (block, ids, rows) of the rows of df as they are read, dealt to buckets by block and written to the shared folder.
 
+    rows holds the block's id, kept columns and text (columns 0, 1, ...) as a
+    compressed Arrow stream. A block has about BLOCK_BYTES of text and is one row,
+    so whatever is found out about it meets it by its number; as the table is
+    bucketed, no such join shuffles the texts again.
+    """
+    spark = df.sparkSession
+    source = df.select(F.col(id_col).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep, 1)], utf8(text_col).alias("text"))
+    at = 1 + len(keep)
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(source.schema[0].dataType)), T.StructField("rows", T.BinaryType())])
 
-def _row_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    sums = np.append(0, np.cumsum(values, dtype=np.float64))
-    return sums[offs[1:]] - sums[offs[:-1]]
+    def run(batches):
+        held, size, rows, block = [], 0, 0, TaskContext.get().partitionId() << 32
 
+        def packed():
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held)
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            ids = table.column(0).combine_chunks()
+            ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=schema.names)
 
-def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), order: int = ORDER, sent: int = SENT_ENTRIES) -> DataFrame:
-    """For each row of df: its id, the columns of `keep`, n_bytes and perplexity by byte; null for a null or empty text.
-
-    A model of at most `sent` entries is broadcast, a bound that is checked; the
-    n-grams of a larger one are joined in shards, once for each block of
-    documents and distinct n-gram. Both give the same perplexities.
-    """
-    spark = df.sparkSession
-    source = df.select(F.col(id_col), *[F.col(c) for c in keep], utf8(text_col).alias("__text"))
-    text_at = 1 + len(keep)
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-
-    def result(batch, offs, logs):
-        n = np.diff(offs)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.exp(-_row_sums(logs, offs) / n)
-        return pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(n), pa.array(value, mask=n == 0)], names=schema.names)
-
-    if model.count() <= sent:
-        got = model.toArrow()
-        token = uuid.uuid4().hex
-        packed = spark.sparkContext.broadcast((got["kind"].to_numpy().astype(np.int8), got["key"].to_numpy(), got["value"].to_numpy().astype(np.float32)))
-
-        def run(batches):
-            if token not in _TABLES:
-                kind, key, value = packed.value
-                _TABLES.clear()
-                _TABLES[token] = {k: Lookup(key[kind == k], value[kind == k]) for k in (*range(-order, 0), *range(1, order + 1))}
-            for whole in batches:
-                for batch in slices(whole, text_at, 1 << 20):
-                    data, offs = buffers(batch.column(text_at))
-                    yield result(batch, offs, log_probabilities(_TABLES[token], grams(data, offs, order), order))
-
-        return source.mapInArrow(run, schema)
-
-    total = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = max(1, int(-(-total // BLOCK_BYTES)))
-    dealt = cut(source.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "blocks")
-
-    def distinct(batches):
         for whole in batches:
-            for batch in slices(whole, 1):
-                data, offs = buffers(batch.column(1))
-                keys = grams(data, offs, order)
-                block = np.repeat(batch.column(0).to_numpy(), np.diff(offs))
-                for b in np.unique(block):
-                    k = np.unique(keys[block == b])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), b, np.int32)), pa.array(k)], names=["block", "gram"])
-
-    asked = dealt.select("__block", "__text").mapInArrow(distinct, "block int, gram long").distinct()
-    value = F.lit(0.0)
-    for k in range(order, 0, -1):
-        own = model.where(F.col("kind") == k).select(F.col("key").alias(f"g{k}"), F.col("value").alias(f"p{k}"))
-        context = model.where(F.col("kind") == -k).select(F.col("key").alias(f"c{k}"), F.col("value").alias(f"w{k}"))
-        asked = asked.withColumn(f"g{k}", F.expr(f"gram & {(1 << 8 * k) - 1}")).withColumn(f"c{k}", F.expr(f"g{k} div 256"))
-        asked = asked.join(own, f"g{k}", "left").join(context, f"c{k}", "left")
-    value = F.lit(-float(np.log(256)))
-    for k in range(1, order + 1):
-        value = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(0.0)) + value)
-    logs = asked.select(F.col("block").alias("__block"), "gram", value.cast("float").alias("value"))
+            for batch in slices(whole, at, BLOCK_BYTES):
+                held.append(batch)
+                rows += batch.num_rows
+                size += len(buffers(batch.column(at))[0])
+                if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                    yield packed()
+                    held, size, rows, block = [], 0, 0, block + 1
+        if held:
+            yield packed()
+
+    # Buckets hold about as much as a split of a file does, or less.
+    known = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), known >> 27 if known < 1 << 60 else 0))
+    path = new_path(spark, "blocks")
+    name = "quern_" + path.rpartition("-")[2]
+    source.mapInArrow(run, schema).write.format("parquet").bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where they are
+    return blocks
+
+
+def unpack(rows: bytes, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a block in slices."""
+    for whole in pa.ipc.open_stream(rows):
+        yield from slices(whole, whole.num_columns - 1, most)
+
+
+def _texts(packed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the rows whose ids are in ids (one distinct column). Only the ids travel: to the numbers of their rows in a block, and these to the block."""
+    wanted = packed.select("block", F.posexplode("ids").alias("i", "id")).join(ids.toDF("id"), "id").groupBy("block").agg(F.collect_list("i").alias("wanted"))
+
+    def run(batches):
+        for batch in batches:
+            for rows, mine in zip(batch.column(0), batch.column(1), strict=True):
+                chosen, at = np.sort(mine.values.to_numpy()), 0
+                for part in unpack(rows.as_py()):
+                    use = chosen[np.searchsorted(chosen, at) : np.searchsorted(chosen, at + part.num_rows)] - at
+                    at += part.num_rows
+                    if len(use):
+                        yield pa.RecordBatch.from_arrays([part.column(part.num_columns - 1).take(pa.array(use))], names=["text"])
+
+    return packed.join(wanted.hint("shuffle_hash"), "block").select("rows", "wanted").mapInArrow(run, "text binary")
+
 
-    def scored(docs: pa.Table, values: pa.Table) -> pa.Table:
-        table = Lookup(values["gram"].to_numpy(), values["value"].to_numpy())
-        out = []
-        for whole in docs.to_batches():
-            for batch in slices(whole, text_at):
-                data, offs = buffers(batch.column(text_at))
-                out.append(result(batch, offs, table(grams(data, offs, order))[0]))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([], schema=pa.schema([]))
+def shard_of(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The shard of entries and n-grams (kind: order) by the two bytes before the last one, which every table of three bytes and more has."""
+    two = np.where(kind > 0, key >> 8, key) & 0xFFFF
+    return (mix(two.astype(U64)) % U64(SHARDS)).astype(np.int64)
 
-    return dealt.groupBy("__block").cogroup(logs.groupBy("__block")).applyInArrow(scored, schema)
+
+#: An entry of the model on its way to a shard.
+ENTRY = np.dtype([("kind", "i1"), ("key", "<i8"), ("value", "<f4")])
+DEALT = "part long, tag int, block long, payload binary"
+
+
+def _deal_model(copies: int):
+    def run(batches):
+        held, n = [], 0
+
+        def dealt():
+            kind, key, value = (np.concatenate([h[i] for h in held]) for i in range(3))
+            shard = shard_of(kind, key)
+            order = np.argsort(shard, kind="stable")
+            entries = np.empty(len(order), ENTRY)
+            entries["kind"], entries["key"], entries["value"] = kind[order], key[order], value[order]
+            bounds = group_bounds([shard[order]])
+            raw = [entries[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            shards = shard[order][bounds[:-1]]
+            for c in range(copies):
+                yield pa.RecordBatch.from_arrays([pa.array(shards * copies + c), pa.array(np.zeros(len(raw), np.int32)), pa.array(np.zeros(len(raw), np.int64)), pa.array(raw, pa.binary())], names=["part", "tag", "block", "payload"])
+
+        for b in batches:
+            held.append(tuple(b.column(i).to_numpy() for i in range(3)))
+            n += b.num_rows
+            if n > 1_000_000:
+                yield from dealt()
+                held, n = [], 0
+        if n:
+            yield from dealt()
+
+    return run
+
+
+def _deal_grams(copies: int, order: int):
+    """For each block its distinct n-grams, a row for each shard."""
+
+    def run(batches):
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.zeros(0, np.int64)
+                for part in unpack(rows.as_py()):
+                    keys = np.union1d(keys, grams(*buffers(part.column(part.num_columns - 1)), order))
+                if not len(keys):
+                    continue
+                shard = shard_of(np.full(len(keys), order), keys)
+                by = np.argsort(shard, kind="stable")
+                bounds = group_bounds([shard[by]])
+                raw = [keys[by[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                part = shard[by][bounds[:-1]] * copies + (block ^ block >> 32) % copies
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.ones(len(raw), np.int32)), pa.array(np.full(len(raw), block)), pa.array(raw, pa.binary())], names=["part", "tag", "block", "payload"])
+
+    return run
+
+
+def _resolve(small: np.ndarray, order: int):
+    """The logarithms of probabilities of the n-grams of a part, whose entries come first."""
+
+    def run(batches):
+        now, entries, tables = None, [], None
+        for batch in batches:
+            blocks, asked, logs = [], [], []
+            for part, tag, block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if part != now:
+                    now, entries, tables = part, [small], None
+                if not tag:
+                    entries.append(np.frombuffer(payload.as_buffer(), ENTRY))
+                    continue
+                if tables is None:
+                    mine = np.concatenate(entries)
+                    tables = {k: Lookup(mine["key"][mine["kind"] == k], mine["value"][mine["kind"] == k]) for k in (*range(-order, 0), *range(1, order + 1))}
+                raw = payload.as_py()
+                blocks.append(block)
+                asked.append(raw)
+                logs.append(log_probabilities(tables, np.frombuffer(raw, np.int64), order).astype(np.float32).tobytes())
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(asked, pa.binary()), pa.array(logs, pa.binary())], names=["block", "grams", "logs"])
+
+    return run
+
+
+def _perplexities(packed: DataFrame, model: DataFrame, columns: list[T.StructField], order: int) -> DataFrame:
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, packed.count() // SERVED)
+    # Tables of one and two bytes have 256, 65536, 1 and 256 entries at most, so every task gets them.
+    few = model.where("abs(kind) <= 2").toArrow()
+    small = np.empty(len(few), ENTRY)
+    small["kind"], small["key"], small["value"] = (few[c].to_numpy() for c in ("kind", "key", "value"))
+    entries = model.where("abs(kind) > 2").select(F.col("kind").cast("tinyint"), "key", F.col("value").cast("float"))
+    asked = packed.select("block", "rows").mapInArrow(_deal_grams(copies, order), DEALT)
+    dealt = entries.mapInArrow(_deal_model(copies), DEALT).unionByName(asked)
+    found = dealt.repartition(n, "part").sortWithinPartitions("part", "tag").mapInArrow(_resolve(small, order), "block long, grams binary, logs binary")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("grams", "logs")).alias("found"))
+    schema = T.StructType([*columns, T.StructField("n_bytes", T.LongType()), T.StructField("perplexity", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for rows, mine in zip(batch.column(0), batch.column(1), strict=True):
+                mine = mine.as_py() or []
+                table = Lookup(np.frombuffer(b"".join(m["grams"] for m in mine), np.int64), np.frombuffer(b"".join(m["logs"] for m in mine), np.float32))
+                for part in unpack(rows.as_py()):
+                    data, offs = buffers(part.column(part.num_columns - 1))
+                    values, there = table(grams(data, offs, order))
+                    if not there.all():
+                        raise RuntimeError("a block's n-grams have no probabilities")
+                    sums, count = np.append(0, np.cumsum(values, dtype=np.float64)), np.diff(offs)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        value = np.exp(-(sums[offs[1:]] - sums[offs[:-1]]) / count)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count), pa.array(value, mask=count == 0)], names=schema.names)
+
+    return packed.join(found.hint("shuffle_hash"), "block", "left").select("rows", "found").mapInArrow(run, schema)
+
+
+def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:
+    """For each row of df: its id, the columns of `keep`, n_bytes and perplexity by byte; null for a null or empty text.
+
+    Texts are packed into blocks. The distinct n-grams of a block are dealt to
+    shards of the model by two of their bytes; all entries that an n-gram may
+    back off to are in its shard, so one join answers it, and what it answers
+    returns to the block. Rows with equal or null ids are rows of their own; an
+    empty table gives an empty table.
+    """
+    packed = pack(df, id_col, text_col, keep)
+    return _perplexities(packed, model, [df.schema[c] for c in (id_col, *keep)], order)
 
 
-def classify(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER, quantile: float = QUANTILE, sent: int = SENT_ENTRIES
-) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """For each row of df: its id, lang, n_bytes, perplexity, threshold and keep.
 
     Trusted text is that of every row that labels mark with 1. Of these
@@ -256,16 +376,17 @@ def classify(
     perplexity is at most the quantile of its language, with the margin; a null
     language is one of its own, and one without trusted documents takes the
     quantile of all. Shorter texts have noisier means, so the logarithm's margin
-    grows by 1 / sqrt(bytes). A null
-    or empty text has no perplexity and is rejected. Without trusted text
-    everything else is kept. Rows that repeat an id are rows of their own.
+    grows by 1 / sqrt(bytes). A null or empty text has no perplexity and is
+    rejected. Without trusted text everything else is kept. Rows that repeat an
+    id, and those with a null one, are rows of their own. An empty table gives
+    an empty table.
     """
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     aside = F.pmod(F.xxhash64("__id"), F.lit(FOLDS)) == 0
-    model = fit(own.join(trusted.where(~aside).hint("merge"), "__id", "left_semi"), "__text", order)
-    plain = df.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    scored = cut(perplexities(plain, model, "__id", "__text", ("__lang",), order, sent), "perplexities")
+    packed = pack(df, id_col, text_col, (lang_col,))
+    model = fit(_texts(packed, trusted.where(~aside)), "text", order)
+    columns = [T.StructField("__id", df.schema[id_col].dataType), T.StructField("__lang", df.schema[lang_col].dataType)]
+    scored = cut(_perplexities(packed, model, columns, order), "perplexities")
     level = F.log("perplexity") - SHORT / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
     seen = scored.where("perplexity is not null").join(trusted, "__id", "left_semi").withColumn("__level", level)
     marked = seen.where(aside)

@@ -91,7 +91,7 @@ SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = compo
 #: Lines that share a word of their prefixes, compared as whole sets.
 LINE_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-s AS (SELECT doc_id, no, list_distinct(regexp_extract_all(lower(line), '[0-9a-z\x{80}-\x{10ffff}]+')) AS w FROM l), t AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= 5),
+s AS (SELECT doc_id, no, list_distinct(regexp_extract_all(lower(line), '[0-9a-z\x{80}-\x{10ffff}]+')) AS w FROM l), t AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= 1),
 d AS (SELECT word, count(*) AS df FROM (SELECT unnest(w) AS word FROM t) GROUP BY word),
 e AS (SELECT t.doc_id, t.no, t.n, u.word, row_number() OVER (PARTITION BY t.doc_id, t.no ORDER BY d.df, u.word) AS place FROM t, unnest(t.w) AS u(word) JOIN d ON d.word = u.word),
 x AS (SELECT * FROM e WHERE place <= n - ceil(0.8 * n - 1e-9) + 1),
@@ -101,6 +101,15 @@ SELECT d.doc_id, count(g.no) AS n_removed, coalesce(string_agg(CAST(g.no AS VARC
 """
 
 
+def shard_sql() -> str:
+    """Place of a key by its MD5, and the shard in that place of the table, which is given as it is filled by turns."""
+    owners = ",".join(map(str, sharding.lookup_table(SHARDS).tolist()))
+    size = sharding.TABLE_SIZE
+    return f"""WITH k AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {size} AS slot FROM documents),
+t AS (SELECT string_split('{owners}', ',') AS owner)
+SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1], 3, '0') AS shard FROM k, t"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; the others are tested against brute force."""
-    return {"op8_embedding_near_dedup": EMBEDDING_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_sharding": shard_sql(), "op8_embedding_near_dedup": EMBEDDING_SQL, "op10_line_dedup": LINE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,29 +44,41 @@ def lookup_table(shards: list[str], size: int = TABLE_SIZE) -> np.ndarray:
                 return owner
 
 
+def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
+    """The first 60 bits of the MD5 of the key as text, modulo the table size; a null key counts as an empty text."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(size))
+
+
+def _placed(df: DataFrame, shards: list[str], key_col: str, size: int) -> DataFrame:
+    """(slot, row, shard): the rows of df as structs, so that none of their columns can clash."""
+    rows = [(i, shards[k]) for i, k in enumerate(lookup_table(shards, size).tolist())]
+    lookup = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("slot", T.LongType(), False), T.StructField("shard", T.StringType(), False)]))
+    return df.select(slot_of(F.col(key_col), size).alias("slot"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).join(F.broadcast(lookup), "slot", "left")
+
+
 def assign_shards(df: DataFrame, shards: list[str], key_col: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
     """One row for each row of df: its key, `slot` and `shard`.
 
-    A slot is the first 60 bits of the MD5 of the key as text, modulo the table
-    size; a null key counts as an empty text. Equal keys always share a shard;
-    no source, label or size of text plays a part, so a hot group spreads. The
-    table has `size` rows whatever the data are, so it is broadcast: placement
-    is one look-up, without a shuffle.
+    Equal keys always share a shard, null ones included; no source, label or
+    size of text plays a part, so a hot group spreads. The table has `size` rows
+    whatever the data are, so it is broadcast: placement is one look-up, without
+    a shuffle. An empty table gives an empty table. The key's column may have
+    any name but `slot` and `shard`, which the result would have twice.
+    """
+    if key_col in ("slot", "shard"):
+        raise ValueError(f"the result has a column {key_col} of its own")
+    return _placed(df.select(key_col), shards, key_col, size).select(F.col("row")[key_col].alias(key_col), "slot", "shard")
+
+
+def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", size: int = TABLE_SIZE, folder: str = "__shard") -> None:
+    """df as Parquet, one folder a shard, each with its own files from every task, so no shard passes through one task.
+
+    Rows with a null key go where assign_shards puts them; all columns of df are
+    written, whatever their names, but for one that is called as the folders
+    are, which is an error. An empty table writes no shard.
     """
-    spark = df.sparkSession
-    owner = lookup_table(shards, size)
-    rows = [(i, shards[k]) for i, k in enumerate(owner.tolist())]
-    lookup = spark.createDataFrame(rows, T.StructType([T.StructField("slot", T.LongType(), False), T.StructField("shard", T.StringType(), False)]))
-    digest = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
-    slot = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(size))
-    return df.select(F.col(key_col), slot.alias("slot")).join(F.broadcast(lookup), "slot", "left").select(key_col, "slot", "shard")
-
-
-def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", size: int = TABLE_SIZE) -> None:
-    """df as Parquet, one folder a shard, each with its own files from every task, so no shard passes through one task."""
-    placed = "__shard"
-    owner = lookup_table(shards, size)
-    lookup = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], f"__slot long, {placed} string")
-    digest = F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit("")).cast("binary"))
-    slot = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(size))
-    df.withColumn("__slot", slot).join(F.broadcast(lookup), "__slot").drop("__slot").write.partitionBy(placed).parquet(path)
+    if folder in df.columns:
+        raise ValueError(f"df has a column {folder}")
+    placed = _placed(df, shards, key_col, size)
+    placed.select(*[F.col("row")[c].alias(c) for c in df.columns], F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)

@@ -227,12 +227,14 @@ def kneser_ney(texts, order):
     return p
 
 
-@pytest.mark.parametrize("sent", [10**6, 0])
-def test_perplexities_are_those_of_the_recursion(spark, sent):
+@pytest.mark.parametrize("served", [16_384, 1])
+def test_perplexities_are_those_of_the_recursion(spark, served, monkeypatch):
+    monkeypatch.setattr(quality, "SERVED", served)
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 1 if served == 1 else 100_000)
     trusted = ["the cat sat on the mat", "the dog sat", "a cat", ""]
     asked = ["the cat", "zzz é", None, "", "mat dog the the"]
     model = quality.fit(docs(spark, trusted), "text", 3)
-    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs(spark, asked), model, order=3, sent=sent).collect()}
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs(spark, asked), model, order=3).collect()}
     p = kneser_ney([t.encode() for t in trusted], 3)
     for i, t in enumerate(asked):
         if not t:
