@@ -30,9 +30,9 @@ MARGIN = 0.1
 #: One in so many trusted documents, by a hash of the id, is left out of the counts and sets the quantiles: what a model has seen is no measure of what it hasn't.
 FOLDS = 8
 #: Bytes of text, about, and most rows of a block of documents, whose n-grams are looked up together. A text is never cut.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 100_000
+BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 100_000
 #: Shards of the model; and the blocks that one copy of a shard serves, so that more blocks take more tasks.
-SHARDS, SERVED = 256, 16_384
+SHARDS, SERVED = 256, 32_768
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -213,10 +213,11 @@ def pack(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ())
     return blocks
 
 
-def unpack(rows: bytes, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def unpack(rows: pa.BinaryScalar, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows of a block in slices."""
-    for whole in pa.ipc.open_stream(rows):
+    for whole in pa.ipc.open_stream(pa.BufferReader(rows.as_buffer())):
         yield from slices(whole, whole.num_columns - 1, most)
+    pa.default_memory_pool().release_unused()
 
 
 def _texts(packed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def _texts(packed: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, mine in zip(batch.column(0), batch.column(1), strict=True):
                 chosen, at = np.sort(mine.values.to_numpy()), 0
-                for part in unpack(rows.as_py()):
+                for part in unpack(rows):
                     use = chosen[np.searchsorted(chosen, at) : np.searchsorted(chosen, at + part.num_rows)] - at
                     at += part.num_rows
                     if len(use):
@@ -282,7 +283,7 @@ def _deal_grams(copies: int, order: int):
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys = np.zeros(0, np.int64)
-                for part in unpack(rows.as_py()):
+                for part in unpack(rows):
                     keys = np.union1d(keys, grams(*buffers(part.column(part.num_columns - 1)), order))
                 if not len(keys):
                     continue
@@ -341,7 +342,7 @@ def _perplexities(packed: DataFrame, model: DataFrame, columns: list[T.StructFie
             for rows, mine in zip(batch.column(0), batch.column(1), strict=True):
                 mine = mine.as_py() or []
                 table = Lookup(np.frombuffer(b"".join(m["grams"] for m in mine), np.int64), np.frombuffer(b"".join(m["logs"] for m in mine), np.float32))
-                for part in unpack(rows.as_py()):
+                for part in unpack(rows):
                     data, offs = buffers(part.column(part.num_columns - 1))
                     values, there = table(grams(data, offs, order))
                     if not there.all():
