@@ -17,17 +17,16 @@ from pyspark.sql import types as T
 
 from quern.llm.common import buffers, lower_bytes, slices, span_hashes, utf8, words
 
-#: Words of a passage, and from one passage's start to the next.
-PASSAGE, STRIDE = 64, 32
-#: Items that share a vocabulary and a latent space: what is sent to the executors is bounded by these, whatever the benchmark's size; more
-#: items are searched in further blocks. And the most dimensions of the space.
-ITEMS, RANK = 256, 96
-#: Words in more than this share of passages have no weight, unless they are among the ANSWER_WORDS rarest of an item.
+#: Words of a passage, and from one passage's start to the next. Items of more than LONG words are searched by their own passages.
+PASSAGE, STRIDE, LONG = 64, 32, 96
+#: The most dimensions of the latent space.
+RANK = 96
+#: Words in more than this share of passages have no weight, unless they are among the ANSWER_WORDS rarest of an item's passage.
 COMMON = 0.002
 #: Least cosine of a candidate; least share of an item's words in the longest common subsequence; least share of its rarest words that occur.
 COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.6, 0.6, 0.5, 8
-#: Weighted words that a passage shares with an item, at least.
-FEW = 3
+#: Passages, and items' passages, whose cosines are held at once; terms of a row of the sketch on its way.
+ROWS, UNITS, TERMS = 2048, 2048, 256
 CHUNK_BYTES = 1 << 20
 
 
@@ -84,43 +83,57 @@ def _latent(z: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarray:
     return u[:, s > s.max() * 1e-9][:, :rank] if len(s) and s.max() > 0 else np.zeros((len(z), 0))
 
 
+def units(h: np.ndarray, row: np.ndarray, items: int) -> tuple[list[int], list[np.ndarray]]:
+    """(item, words) of what is searched: short items as a whole, long ones in passages, the last of which ends with the item."""
+    owner, out = [], []
+    for i in range(items):
+        x = h[row == i] if items < 64 else h[np.searchsorted(row, i) : np.searchsorted(row, i + 1)]
+        starts = [0] if len(x) <= LONG else [*range(0, len(x) - PASSAGE, STRIDE), len(x) - PASSAGE]
+        for a in starts if len(x) else []:
+            owner.append(i)
+            out.append(x[a:] if len(x) <= LONG else x[a : a + PASSAGE])
+    return owner, out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row (doc_id, item_id, cosine, subsequence, answer) for each document and item of which it holds a passage.
 
     Words are runs of letters and digits in lower case, so case and punctuation
-    play no part. Every passage of every whole text is searched, and so is every
-    item. Words that most passages share have no weight in the search, but count
-    in the subsequence. Items and texts that are null or have no words match
-    nothing; a null id stays null; rows that repeat an id give one row an item,
-    with the best values; items that repeat both id and text are searched once.
-    Empty tables give an empty table.
+    play no part. Every passage of every whole text is searched for every item;
+    an item of more than LONG words is found by any of its own passages. Words
+    that most passages share have no weight in the search, but count in the
+    subsequence. Items and texts that are null or have no words match nothing;
+    a null id stays null; rows that repeat an id give one row an item, with the
+    best values; items that repeat both id and text are searched once. Empty
+    tables give an empty table.
+
+    The benchmark is the query set: its distinct rows go to the driver and the
+    tasks. One vocabulary, one set of weights and one latent space serve all
+    items; the texts are read three times, whatever the number of items.
     """
     item_type = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("item"), utf8(item_text_col).alias("text")).where(F.octet_length("text") > 0).distinct()
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "subsequence", "answer")]])
-    n = items.count()
-    parts = []
-    block = -(-n // ITEMS)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text"))
-    for k in range(block):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(block)) == k) if block > 1 else items
-        rows = some.orderBy("item", "text").toArrow()
-        parts.append(_search(texts, rows["item"].to_pylist(), rows["text"].to_pylist(), schema))
-    if not parts:
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "subsequence", "answer")]])
+    texts = docs.select(F.col(id_col).alias("doc"), utf8(text_col).alias("text"))
+    rows = items.orderBy("item", "text").toArrow()
+    out = _search(texts, rows["item"].combine_chunks(), rows["text"].to_pylist(), schema)
+    if out is None:
         return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     best = F.max(F.struct("subsequence", "cosine", "answer"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.cosine", "b.subsequence", "b.answer")
 
 
-def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.StructType) -> DataFrame:
+def _search(texts: DataFrame, names: pa.Array, item_texts: list[bytes], schema: T.StructType) -> DataFrame | None:
     data = np.frombuffer(b"".join(item_texts), np.uint8)
     h, row = _word_hashes(data, np.append(0, np.cumsum([len(t) for t in item_texts])))
+    owner, each = units(h, row, len(item_texts))
+    if not each:
+        return None
+    owner = np.array(owner)
     vocabulary = np.unique(h)
     v = len(vocabulary)
-    each = [h[row == i] for i in range(len(names))]
+    spark = texts.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # How many passages hold a word: over blocks that don't overlap, of all texts.
     def count(batches):
@@ -147,97 +160,116 @@ def _search(texts: DataFrame, names: list, item_texts: list[bytes], schema: T.St
     total, df = int(df[v]), df[:v]
     idf = np.log((1 + total) / (1 + df)) + 0.1
     rarest = [x[np.argsort(-idf[x], kind="stable")][:ANSWER_WORDS] for x in (np.unique(_term(vocabulary, e)) for e in each)]
-    heavy = np.union1d(np.flatnonzero(df <= max(1.0, COMMON * total)), np.concatenate([np.zeros(0, np.int64), *rarest]))
-    rank = min(RANK, len(names), max(1, len(heavy)))
+    heavy = np.union1d(np.flatnonzero(df <= max(1.0, COMMON * total)), np.concatenate(rarest))
+    rank = min(RANK, len(each), len(heavy))
     rng = np.random.default_rng(3)
-    omega = rng.normal(size=(len(heavy), min(len(heavy), rank + 16)))
+    omega = rng.normal(size=(len(heavy), min(len(heavy), rank + 16))).astype(np.float32)
     slot = np.full(v, -1)
     slot[heavy] = np.arange(len(heavy))
     weight = idf[heavy]
 
-    def passages(h, row, rows):
-        """(passage, term among the heavy ones, weight) of a chunk, and for each row the number of its first passage and word."""
+    def passages(t, row, rows):
+        """(passage, term among the heavy ones, weight) of a chunk's words, and for each row the number of its first passage and word."""
         first_word = np.searchsorted(row, np.arange(rows + 1))
         n = np.diff(first_word)
         first = np.append(0, np.cumsum(-(-n // STRIDE)))
-        t = _term(vocabulary, h)
-        t = np.where(t >= 0, slot[t], -1) if v else t
+        t = np.where(t >= 0, slot[t], -1)
         use = np.flatnonzero(t >= 0)
         place = use - first_word[row[use]]
-        p, t, c = passage_counts(t[use], place, first[row[use]], max(1, len(heavy)))
-        w = (1 + np.log(c)) * weight[t]
-        return p, t, w, first, first_word
+        p, t, c = passage_counts(t[use], place, first[row[use]], len(heavy))
+        return p, t, (1 + np.log(c)) * weight[t], first, first_word
 
     def sketch(batches):
-        z, thin = np.zeros(omega.shape), omega.astype(np.float32)
+        z = np.zeros(omega.shape)
         for whole in batches:
             for batch in slices(whole, 0, CHUNK_BYTES):
                 h, row = _word_hashes(*buffers(batch.column(0)))
-                p, t, w, *_ = passages(h, row, batch.num_rows)
+                p, t, w, *_ = passages(_term(vocabulary, h), row, batch.num_rows)
                 if len(p):
-                    _add_gram(z, p, t, w.astype(np.float32), thin)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(z))), pa.array(list(z), pa.list_(pa.float64()))], names=["term", "z"])
+                    _add_gram(z, p, t, w.astype(np.float32), omega)
+        at = [k for k in range(0, len(z), TERMS) if z[k : k + TERMS].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([z[k : k + TERMS].astype(np.float32).tobytes() for k in at], pa.binary())], names=["term", "z"])
+
+    def added(batches):
+        """One row for each term that rows start with: their sum."""
+        now, z = None, None
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["term", "z"])
+                    now, z = k, 0.0
+                z = z + np.frombuffer(raw, np.float32).astype(np.float64)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["term", "z"])
 
     z = np.zeros(omega.shape)
-    if len(heavy):
-        for r in texts.select("text").mapInArrow(sketch, "term long, z array<double>").select("term", F.posexplode("z").alias("i", "x")).groupBy("term", "i").agg(F.sum("x").alias("x")).toArrow().to_batches():
-            z[r.column(0).to_numpy(), r.column(1).to_numpy()] = r.column(2).to_numpy()
+    parts = texts.select("text").mapInArrow(sketch, "term long, z binary").repartition(partitions, "term").sortWithinPartitions("term")
+    for r in parts.mapInArrow(added, "term long, z binary").collect():
+        z[r.term : r.term + TERMS] = np.frombuffer(r.z).reshape(-1, z.shape[1])
     # The items are rows of the matrix too, so that those which occur once or never have their place in the space.
-    tf = np.zeros((len(names), len(heavy)))
-    for i, x in enumerate(each):
-        t = slot[_term(vocabulary, x)]
-        np.add.at(tf[i], t[t >= 0], 1)
-    y = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * weight
-    z += y.T @ (y @ omega) * (1 + total / max(1, len(names)))
-    space = _latent(z, omega, rank) if len(heavy) else np.zeros((0, 0))
-    q = y @ space
+    ui, ut = np.repeat(np.arange(len(each)), [len(x) for x in each]), slot[_term(vocabulary, np.concatenate(each))]
+    key, c = np.unique((ui * len(heavy) + ut)[ut >= 0], return_counts=True)
+    ui, ut = key // len(heavy), key % len(heavy)
+    uw = (1 + np.log(c)) * weight[ut]
+    own = np.zeros(omega.shape)
+    _add_gram(own, ui, ut, uw.astype(np.float32), omega)
+    z += own * (1 + total / len(each))
+    space = _latent(z, omega.astype(np.float64), rank)
+    q = np.zeros((len(each), space.shape[1]))
+    np.add.at(q, ui, space[ut] * uw[:, None])
     norms = np.linalg.norm(q, axis=1)
     q = np.where(norms[:, None] > 0, q / np.maximum(norms, 1e-300)[:, None], 0).astype(np.float32)
     space32 = space.astype(np.float32)
-    answers = [set(vocabulary[x].tolist()) for x in rarest]
-    lists = [e.tolist() for e in each]
-    # A passage of an item has several of its weighted words, or all if these are fewer.
-    need = np.minimum(FEW, (tf > 0).sum(axis=1))
-    least = max(1, int(need.min(initial=FEW)))
+    # Answer words: for each word of the vocabulary the units that it is one of the rarest of; and how many of a unit's must occur.
+    at = np.argsort(np.concatenate(rarest), kind="stable")
+    answer_of = np.repeat(np.arange(len(each)), [len(x) for x in rarest])[at]
+    answer_first = np.searchsorted(np.concatenate(rarest)[at], np.arange(v + 1))
+    need = np.array([-(-len(x) * ANSWER // 1) for x in rarest])
+    lengths = np.array([len(x) for x in each])
+    lists, answers = [x.tolist() for x in each], [set(vocabulary[x].tolist()) for x in rarest]
 
     def search(batches):
         for whole in batches:
             for batch in slices(whole, 1, CHUNK_BYTES):
                 h, row = _word_hashes(*buffers(batch.column(1)))
-                p, t, w, first, first_word = passages(h, row, batch.num_rows)
-                if not len(p):
-                    continue
-                many = np.bincount(p, minlength=int(first[-1]))[p] >= least
-                p, t, w = p[many], t[many], w[many]
+                t = _term(vocabulary, h)
+                p, pt, w, first, first_word = passages(t, row, batch.num_rows)
                 if not len(p):
                     continue
+                # Places of answer words, in one rising key of unit and place.
+                use = np.flatnonzero(t >= 0)
+                many = np.diff(answer_first)[t[use]]
+                k = np.repeat(answer_first[t[use]], many) + np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many))[:-1], many)
+                wide = len(h) + 1
+                where = np.sort(answer_of[k] * wide + np.repeat(use, many))
                 at = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                count = np.diff(np.append(at, len(p)))
-                docs, hits, values = [], [], []
-                ids = batch.column(0).to_pylist()
-                for k in range(0, len(at), 2048):
-                    a, b = at[k], np.append(at, len(p))[min(len(at), k + 2048)]
-                    x = np.add.reduceat(space32[t[a:b]] * w[a:b, None].astype(np.float32), at[k : k + 2048] - a, axis=0)
-                    size = np.linalg.norm(x, axis=1)
-                    cosine = (x @ q.T) / np.maximum(size, 1e-12)[:, None]
-                    for i, j in zip(*np.nonzero((cosine >= COSINE) & (count[k : k + 2048, None] >= need)), strict=True):
-                        passage = p[at[k + i]]
-                        r = int(np.searchsorted(first, passage, "right")) - 1
+                ends = np.append(at[1:], len(p))
+                found: list[tuple] = []
+                for i in range(0, len(at), ROWS):
+                    a, b = at[i], ends[min(len(at), i + ROWS) - 1]
+                    x = np.add.reduceat(space32[pt[a:b]] * w[a:b, None].astype(np.float32), at[i : i + ROWS] - a, axis=0)
+                    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                    for j in range(0, len(q), UNITS):
+                        cosine = x @ q[j : j + UNITS].T
+                        pi, pj = np.nonzero(cosine >= COSINE)
+                        if not len(pi):
+                            continue
+                        value, passage, unit = cosine[pi, pj], p[at[i + pi]], pj + j
+                        r = np.searchsorted(first, passage, "right") - 1
                         lo = first_word[r] + (passage - first[r]) * STRIDE
-                        own = lists[j]
                         # The passage, and as much around it as the item may reach beyond.
-                        near = h[max(first_word[r], lo - len(own)) : min(first_word[r + 1], lo + PASSAGE + len(own))].tolist()
-                        seen = answers[j].intersection(near)
-                        answer = len(seen) / max(1, len(answers[j]))
-                        if answer < ANSWER:
-                            continue
-                        common = longest_common_subsequence(own, near) / len(own)
-                        if common >= SUBSEQUENCE:
-                            docs.append(ids[r])
-                            hits.append(names[j])
-                            values.append((float(cosine[i, j]), common, answer))
-                if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hits), *[pa.array([x[c] for x in values], pa.float64()) for c in range(3)]], names=schema.names)
+                        hi = np.minimum(first_word[r + 1], lo + PASSAGE + lengths[unit])
+                        lo = np.maximum(first_word[r], lo - lengths[unit])
+                        seen = np.searchsorted(where, unit * wide + hi) - np.searchsorted(where, unit * wide + lo)
+                        for c in np.flatnonzero(seen >= need[unit]):  # occurrences; that distinct words suffice is seen below
+                            near, u = h[lo[c] : hi[c]].tolist(), int(unit[c])
+                            answer = len(answers[u].intersection(near)) / len(answers[u])
+                            if answer >= ANSWER and (common := longest_common_subsequence(lists[u], near) / len(lists[u])) >= SUBSEQUENCE:
+                                found.append((int(r[c]), int(owner[u]), float(value[c]), common, answer))
+                if found:
+                    rows, own, *values = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), names.take(pa.array(own)), *[pa.array(x, pa.float64()) for x in values]], names=schema.names)
 
     return texts.mapInArrow(search, schema)
 

@@ -107,6 +107,41 @@ def test_benchmark_with_a_hot_item(spark):
     assert sorted((x.doc_id, x.item_id) for x in out) == [(0, 0), (2, 7)]
 
 
+def accepted(text, item, size=64):
+    """Brute force over the rule of acceptance: at some place of the text, around as many words as a passage and the item have."""
+    t, i = (re.findall(r"[0-9a-z\u0080-\U0010ffff]+", x.lower()) for x in (text, item))
+    return any(decontam.longest_common_subsequence(i, t[max(0, k - len(i)) : k + size + len(i)]) >= 0.6 * len(i) for k in range(0, max(1, len(t)), 32))
+
+
+def test_reworded_passages(spark):
+    """More items than the space has dimensions, planted with up to a third of their words replaced: at least 0.9 of what the rule accepts is found, and nothing else."""
+    r = random.Random(11)
+    # Half of the words are common ones, as in texts.
+    word = lambda: f"c{r.randrange(60)}" if r.random() < 0.5 else f"v{r.randrange(8000)}"
+    items = [" ".join(word() for _ in range(r.randrange(25, 60))) for _ in range(150)]
+    texts, planted = [], []
+    for k in range(600):
+        i = r.randrange(150)
+        w = items[i].split()
+        for at in r.sample(range(len(w)), int(len(w) * r.choice([0, 0.1, 0.2, 0.3, 0.35]))):
+            w[at] = word()
+        fill = [word() for _ in range(r.randrange(300))]
+        at = r.randrange(len(fill) + 1)
+        texts.append(" ".join(fill[:at] + (w if k % 3 else []) + fill[at:]))
+        planted += [(k, i)] if k % 3 else []
+    out = {(x.doc_id, x.item_id) for x in decontam.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {(k, i) for k, i in planted if accepted(texts[k], items[i])}
+    assert len(want) > 300 and len(out & want) >= 0.9 * len(want) and all(accepted(texts[k], items[i]) for k, i in out)
+
+
+def test_part_of_a_long_item(spark):
+    item = words(300, 31, 100_000)
+    part = " ".join(item.split()[130:230])
+    b = spark.createDataFrame([(7, item), (8, words(40, 32, 100_000))], "item_id long, text string")
+    out = decontam.contaminated(docs(spark, [words(80, 1) + " " + part, words(200, 2)], [0, 1]), b).collect()
+    assert [(x.doc_id, x.item_id) for x in out] == [(0, 7)]
+
+
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 @settings(max_examples=100, deadline=None)
 def test_longest_common_subsequence(a, b):
