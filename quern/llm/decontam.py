@@ -20,11 +20,11 @@ from quern.llm.common import buffers, lower_bytes, slices, span_hashes, utf8, wo
 #: Words of a passage, and from one passage's start to the next. Items of more than LONG words are searched by their own passages.
 PASSAGE, STRIDE, LONG = 64, 32, 96
 #: The most dimensions of the latent space.
-RANK = 96
+RANK = 128
 #: Words in more than this share of passages have no weight, unless they are among the ANSWER_WORDS rarest of an item's passage.
 COMMON = 0.002
 #: Least cosine of a candidate; least share of an item's words in the longest common subsequence; least share of its rarest words that occur.
-COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.6, 0.6, 0.5, 8
+COSINE, SUBSEQUENCE, ANSWER, ANSWER_WORDS = 0.35, 0.6, 0.5, 8
 #: Passages, and items' passages, whose cosines are held at once; terms of a row of the sketch on its way.
 ROWS, UNITS, TERMS = 2048, 2048, 256
 CHUNK_BYTES = 1 << 20
