@@ -16,30 +16,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import components, cut, forest, group_bounds, whole_runs
+from quern.llm.common import components, cut, forest, group_bounds, mix, whole_runs
 
-#: Rows that the rotations are fitted on, at most; all rows are indexed.
-FIT_ROWS = 20_000
-#: Vectors of a bucket that are compared at once; larger buckets are cut into pairs of blocks.
+#: Rows that a rotation is fitted on, at most, and lengths of vectors that one is fitted for, the commonest; vectors of other lengths are turned at
+#: random, which finds as much. All rows are indexed.
+FIT_ROWS, FIT_LENGTHS = 20_000, 64
+#: Codes of a bucket that are compared at once; larger buckets are cut into pairs of blocks.
 BLOCK = 1024
-#: The share of links at the threshold that the tables may miss, by the angle between random signs.
-MISS = 1e-3
+#: The share of links at the threshold that the tables may miss, by the angle between random signs; and how many deviations more bits than expected
+#: two codes may differ in.
+MISS, DEVIATIONS = 1e-3, 4.5
 
 
-def table_shape(n: int, threshold: float) -> tuple[int, int]:
-    """(bits of a chunk, chunks) for n vectors: buckets grow slowly with n, and the recall at the threshold stays."""
-    bits = max(8, math.ceil(math.log2(max(2, n))) - 8)
-    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    return min(bits, 30), max(2, math.ceil(math.log(MISS) / math.log(1 - same))) if same < 1 else 2
+def table_shape(n: int, angle: float) -> tuple[int, int, int]:
+    """(bits of a chunk, chunks, most bits in which codes differ) for n vectors and the angle of a link: buckets grow slowly with n, and the recall stays."""
+    bits = min(30, max(8, math.ceil(math.log2(max(2, n))) - 8))
+    p = angle / math.pi
+    same = (1 - p) ** bits
+    chunks = max(2, math.ceil(math.log(MISS) / math.log(1 - same))) if same < 1 else 2
+    total = bits * chunks
+    return bits, chunks, math.ceil(total * p + DEVIATIONS * (total * p * (1 - p)) ** 0.5)
 
 
-def fit_rotations(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The mean, and a matrix whose products with centred vectors have the code in their signs.
+def centred_angle(x: np.ndarray, threshold: float) -> float:
+    """The angle about the mean of unit vectors whose cosine is the threshold, for vectors as near to the mean as one in twenty is."""
+    r = float(np.quantile(np.linalg.norm(x - x.mean(axis=0), axis=1), 0.05)) if len(x) else 1.0
+    return 2 * math.asin(min(1.0, math.sqrt(max(0.0, 2 - 2 * threshold)) / max(2 * r, 1e-12)))
+
+
+def random_rotation(d: int, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """No mean, and orthogonal axes at random, the same ones for a length everywhere."""
+    rng = np.random.default_rng([seed, d])
+    return np.zeros(d), np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0][:, : min(d, bits - k)] for k in range(0, bits, d)], axis=1)
+
+
+def fit_rotations(x: np.ndarray, bits: int, centre: bool = True, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The mean (zeros, if vectors are not to be centred), and a matrix whose products with centred vectors have the code in their signs.
 
     Bits beyond the dimensions come from further rotations with other starts.
     """
     rng = np.random.default_rng(seed)
-    mean = x.mean(axis=0)
+    mean = x.mean(axis=0) if centre else np.zeros(x.shape[1])
     _, _, axes = np.linalg.svd(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
     out = []
     while bits > 0:
@@ -75,117 +92,137 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     Every candidate is checked, so no link is below the threshold; the tables
     find all but about MISS of those at the threshold and more of the closer
-    ones. A bucket of any size is compared in blocks, without emitting pairs.
+    ones. Only codes go through the tables; a vector is fetched for a bucket
+    where another code is near enough to its own. A bucket of any size is
+    compared in blocks, without emitting pairs.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), _valid(vector_col).alias("v"))
     rows = rows.withColumn("ok", F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull())
     rows = rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")).cast("binary"), 256)))
-    unique = cut(rows.where("ok").groupBy("label", "key").agg(F.min("id").alias("u"), F.count("*").alias("copies"), F.first("v").alias("v"), F.size(F.first("v")).alias("dims")), "vectors")
+    unique = rows.where("ok").groupBy("label", "key").agg(F.min("id").alias("u"), F.count("*").alias("copies"), F.first("v").alias("v"), F.size(F.first("v")).alias("dims"))
+    unique = cut(unique.withColumn("vid", F.monotonically_increasing_id()), "vectors")  # a number of its own, as rows may repeat an id
     n = unique.count()
-    sizes = [r.dims for r in unique.select("dims").distinct().orderBy("dims").limit(1000).collect()]
-    if len(sizes) == 1000:
-        raise ValueError("vectors of a thousand different lengths")
-    bits, chunks = table_shape(n, threshold)
-    fitted = {}
-    for d in sizes:
-        sample = unique.where(F.col("dims") == d).orderBy(F.xxhash64("label", "key"), "u").select("v").limit(FIT_ROWS)
+    common = [r.dims for r in unique.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(FIT_LENGTHS).collect()]
+    samples, plain = {}, math.acos(min(1.0, threshold))
+    for d in common:
+        sample = unique.where(F.col("dims") == d).orderBy(F.xxhash64("label", "key"), "vid").select("v").limit(FIT_ROWS)
         x = np.array([r.v for r in sample.collect()], np.float64)
-        fitted[d] = fit_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), bits * chunks)
+        samples[d] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    angles = {d: centred_angle(x, threshold) for d, x in samples.items()}
+    # Vectors that share a direction stay where they are: about their mean, links would be too wide.
+    centre = {d: a <= 1.25 * plain for d, a in angles.items()}
+    bits, chunks, radius = table_shape(n, max([plain, *[a for d, a in angles.items() if centre[d]]]))
+    fitted = {d: fit_rotations(x, bits * chunks, centre[d]) for d, x in samples.items()}
 
-    code_schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("lab", T.LongType()), T.StructField("u", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("codes", T.BinaryType()), T.StructField("vec", T.BinaryType())])
+    code_schema = "bucket long, chunk int, vid long, code binary"
 
     def coded(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            seed, u, copies, vectors = (batch.column(i) for i in range(4))
-            u, copies, seed = (c.to_numpy(zero_copy_only=False) for c in (u, copies, seed))
+            seed, vid, vectors = (batch.column(i) for i in range(3))
+            vid, seed = (c.to_numpy(zero_copy_only=False) for c in (vid, seed))
             lengths = np.diff(vectors.offsets.to_numpy())
             flat, at = vectors.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lengths))
             for d in np.unique(lengths):
                 here = np.flatnonzero(lengths == d)
-                x = np.stack([flat[at[i] : at[i] + d] for i in here])
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                mean, turn = fitted[int(d)]
-                signs = ((x - mean) @ turn >= 0).reshape(len(here), chunks, bits)
-                codes = signs.astype(np.int64) @ weights
-                packed, raw = [c.tobytes() for c in codes.astype("<i4")], [v.tobytes() for v in x]
+                mean, turn = fitted[int(d)] if int(d) in fitted else random_rotation(int(d), bits * chunks)
+                signs = (_unit(flat[at[here][:, None] + np.arange(d)]) - mean) @ turn >= 0
+                packed = pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary())
+                codes = signs.reshape(len(here), chunks, bits).astype(np.int64) @ weights
                 for k in range(chunks):
-                    bucket = seed[here] ^ ((codes[:, k] * chunks + k) * np.int64(0x5851F42D4C957F2D) + np.int64(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(seed[here]), pa.array(u[here]), pa.array(copies[here]), pa.array(np.full(len(here), k, np.int32)), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=code_schema.names)
+                    bucket = mix(seed[here].astype(np.uint64) ^ mix(((codes[:, k] * chunks + k) * 65_537 + d).astype(np.uint64))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(here), k, np.int32)), pa.array(vid[here]), packed], names=["bucket", "chunk", "vid", "code"])
 
-    entries = cut(unique.select(F.xxhash64("label").alias("seed"), "u", "copies", "v").mapInArrow(coded, code_schema), "codes")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    counts = entries.groupBy("bucket", "chunk").count().where("count > 1").select("bucket", "chunk", blocks.alias("blocks"))
-    spread = entries.join(counts, ["bucket", "chunk"]).withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    entries = cut(unique.select(F.xxhash64("label").alias("seed"), "vid", "v").mapInArrow(coded, code_schema), "codes")
+    large = cut(entries.groupBy("bucket", "chunk").count().where(F.col("count") > BLOCK).select("bucket", "chunk", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    spread = entries.join(large, ["bucket", "chunk"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select(
-        F.xxhash64("bucket", "chunk", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "bucket",
-        "chunk",
-        "own",
-        "u",
-        "copies",
-        "lab",
-        "codes",
-        "vec",
-    )
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    keyed = spread.select(F.xxhash64("bucket", "chunk", i, j).alias("key"), i.alias("i"), j.alias("j"), "bucket", "chunk", "own", "vid", "code")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out_schema = "u long, links long, root long"
+    order = ["key", "i", "j", "bucket", "chunk"]
+
+    def pairs(signs, own, i, j, chunk):
+        """Pairs of rows whose codes are near enough; each counts in the first table that it shares, and between two blocks only across them."""
+        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if i != j else (np.arange(len(own)),) * 2
+        near = signs.shape[1] - signs[left] @ signs[right].T <= 2 * radius
+        a, b = np.nonzero(np.triu(near, 1) if i == j else near)
+        a, b = left[a], right[b]
+        if chunk and len(a):
+            earlier = signs[:, : chunk * bits].reshape(len(own), chunk, bits)
+            fresh = np.concatenate([~(earlier[a[k : k + 65_536]] == earlier[b[k : k + 65_536]]).all(axis=2).any(axis=1) for k in range(0, len(a), 65_536)])
+            a, b = a[fresh], b[fresh]
+        return a, b
+
+    def read_signs(codes):
+        flat = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        return np.unpackbits(flat, axis=1)[:, : bits * chunks].astype(np.float32) * 2 - 1
+
+    def neighbours(batches):
+        """The rows that another code of their bucket, or pair of blocks, is near enough to."""
+        for t in whole_runs(batches, 5, 8192):
+            key, i, j, bucket, chunk, own = (t.column(k).to_numpy() for k in range(6))
+            signs, at = read_signs(t.column(7).to_pylist()), group_bounds([key, i, j, bucket, chunk])
+            use = np.zeros(len(key), bool)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if hi - lo > 1:
+                    for side in pairs(signs[lo:hi], own[lo:hi], i[lo], j[lo], int(chunk[lo])):
+                        use[lo + side] = True
+            if use.any():
+                yield from t.take(pa.array(np.flatnonzero(use))).combine_chunks().to_batches()
+
+    near = cut(keyed.repartition(partitions, "key").sortWithinPartitions(*order).mapInArrow(neighbours, keyed.schema), "near")
+    vectors = near.join(unique.select("vid", "u", "copies", F.xxhash64("label").alias("lab"), "v"), "vid").select("key", "i", "j", "bucket", "chunk", "own", "vid", "code", "u", "copies", "lab", "v")
 
     def compared(batches):
         for t in whole_runs(batches, 5, 4096):
-            cols = [t.column(i).to_numpy() for i in range(9)]
-            key, i, j, bucket, chunk, own, u, copies, lab = cols
-            codes, vec = t.column(9).to_pylist(), t.column(10).to_pylist()
-            at = group_bounds([key, i, j, bucket, chunk])
-            us, links, roots = [], [], []
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi - lo < 2:
-                    continue
+            key, i, j, bucket, chunk, own, vid = (t.column(k).to_numpy() for k in range(7))
+            u, copies, lab = (t.column(k).to_numpy() for k in (8, 9, 10))
+            lists = t.column(11).combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            lengths = np.diff(at)
+            signs, bounds = read_signs(t.column(7).to_pylist()), group_bounds([key, i, j, bucket, chunk])
+            found = []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                a, b = pairs(signs[lo:hi], own[lo:hi], i[lo], j[lo], int(chunk[lo]))
                 # A hash may bring several labels or lengths together; they are kept apart.
-                kinds = {}
-                for r in range(lo, hi):
-                    kinds.setdefault((lab[r], len(vec[r])), []).append(r)
-                for members in kinds.values():
-                    if len(members) < 2:
-                        continue
-                    m = np.array(members)
-                    x = np.frombuffer(b"".join(vec[r] for r in members), np.float64).reshape(len(m), -1)
-                    c = np.frombuffer(b"".join(codes[r] for r in members), np.int32).reshape(len(m), -1)
-                    hit = x @ x.T >= threshold
-                    a, b = np.nonzero(np.triu(hit, 1))
-                    k = int(chunk[lo])
-                    if k:  # a pair counts in the first table that it shares
-                        fresh = ~(c[a, :k] == c[b, :k]).any(axis=1)
-                        a, b = a[fresh], b[fresh]
-                    if i[lo] != j[lo]:  # and between two blocks only across them
-                        across = own[m[a]] != own[m[b]]
-                        a, b = a[across], b[across]
-                    if not len(a):
-                        continue
-                    found = np.bincount(a, copies[m[b]], len(m)) + np.bincount(b, copies[m[a]], len(m))
-                    root = forest(len(m), a, b)
-                    keep = np.flatnonzero(found)
-                    us.append(u[m[keep]])
-                    links.append(found[keep].astype(np.int64))
-                    roots.append(u[m[root[keep]]])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, links, roots)], names=["u", "links", "root"])
-
-    order = ["key", "i", "j", "bucket", "chunk"]
-    found = cut(keyed.repartition(partitions, "key").sortWithinPartitions(*order).mapInArrow(compared, out_schema), "links")
-    totals = found.groupBy("u").agg(F.sum("links").alias("links"))
+                same = (lab[lo + a] == lab[lo + b]) & (lengths[lo + a] == lengths[lo + b])
+                a, b = a[same], b[same]
+                if not len(a):
+                    continue
+                hit = np.zeros(len(a), bool)
+                for d in np.unique(lengths[lo + a]):
+                    mine = np.flatnonzero(lengths[lo : hi] == d)
+                    x = np.zeros((hi - lo, d))
+                    x[mine] = _unit(flat[at[lo + mine][:, None] + np.arange(d)])
+                    these = np.flatnonzero(lengths[lo + a] == d)
+                    if len(these) > (hi - lo) ** 2 // 64:
+                        hit[these] = (x @ x.T)[a[these], b[these]] >= threshold
+                    else:
+                        hit[these] = np.einsum("ij,ij->i", x[a[these]], x[b[these]]) >= threshold
+                a, b = a[hit], b[hit]
+                if len(a):
+                    links = np.bincount(a, copies[lo + b], hi - lo) + np.bincount(b, copies[lo + a], hi - lo)
+                    keep = np.flatnonzero(links)
+                    found.append((vid[lo + keep], u[lo + keep], links[keep].astype(np.int64), u[lo + forest(hi - lo, a, b)[keep]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["vid", "u", "links", "root"])
+
+    found = cut(vectors.repartition(partitions, "key").sortWithinPartitions(*order).mapInArrow(compared, "vid long, u long, links long, root long"), "links")
+    totals = found.groupBy("vid").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("u").alias("a"), F.col("root").alias("b")))
-    classes = unique.join(totals, "u", "left").join(reach.withColumnRenamed("node", "u"), "u", "left")
+    classes = unique.select("vid", "label", "key", "u", "copies").join(totals, "vid", "left").join(reach.withColumnRenamed("node", "u"), "u", "left")
     classes = classes.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "u").alias("component_id"))
     # Rows that link with nothing have a null key and stay out of the join.
     linked = rows.where("ok").select("id", "label", "key").join(classes, ["label", "key"]).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)

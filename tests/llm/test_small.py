@@ -418,7 +418,10 @@ def test_personal_data(spark):
 # 8 embeddings
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_embeddings(spark, block, monkeypatch):
+    monkeypatch.setattr(embdup, "BLOCK", block)
+    monkeypatch.setattr(embdup, "FIT_LENGTHS", 64 if block == 1024 else 0)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 16))
     rows = [(i, [float(x) for x in v[i % 60] + (i >= 60) * rng.normal(size=16) * 0.1 * (i % 3)], i % 2) for i in range(240)]
@@ -437,6 +440,19 @@ def test_embeddings(spark):
     assert embdup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_common_direction(spark):
+    """Half of a mean that all vectors share; links at the threshold are found all the same."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(400, 32)) * 0.3 + 1
+    near = base + rng.normal(size=base.shape) * 0.02
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.concatenate([base, near]))]
+    v = np.concatenate([base, near])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = int(((v @ v.T) >= 0.98).sum() - len(v))
+    got = embdup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).agg(F.sum("n_links")).first()[0]
+    assert want >= 800 and want >= got >= 0.99 * want
+
+
 # 9 suffixes
 
 
