@@ -25,6 +25,10 @@ COUNTERS = 1 << 18
 #: Lines of a group that are compared at once; larger groups are cut into pairs of blocks.
 BLOCK = 1024
 CHUNK_BYTES = 2 << 20
+#: Words that occur at least so often deal their lines by length, too.
+HOT = 1 << 15
+#: Pairs of a word's lines that are held at once, about; more are reduced to what they connect.
+PAIRS = 1 << 21
 #: Lines that a task remembers, about.
 REMEMBERED = 400_000
 
@@ -122,7 +126,17 @@ def _pack(number, n, place):
     return (number << 21) | (np.minimum(n, _MOST_N) << 10) | np.minimum(place, _MOST_P)
 
 
+def _alike(t: float) -> int:
+    """Sets of at most so many words reach t with equal sets only."""
+    n = 0
+    while (n + 1) / (n + 2) < t - 1e-9:
+        n += 1
+    return n
+
+
 def _prefixes(classes: np.ndarray, t: float, least: int):
+    hot, alike = int(min(255, 6 * np.log2(1 + HOT))), _alike(t)
+
     def run(batches):
         seen: dict[tuple[int, int], tuple[int, int]] = {}
         for whole in batches:
@@ -156,7 +170,7 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                         again[k] = True
                     else:
                         seen[key] = place
-                gone, use = np.concatenate([gone, use[again]]), use[~again]
+                gone, use, a = np.concatenate([gone, use[again]]), use[~again], a[~again]
                 if len(gone):
                     none = pa.array(np.zeros(len(gone), np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(mix(doc[gone].astype(U64)).astype(np.int64)), pa.array(doc[gone]), pa.array(number[gone] << 21), none, none], names=ROWS.names)
@@ -166,8 +180,18 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 p = n[use] - _ceil_share(n[use], t) + 1
                 owner = np.repeat(use, p)
                 place = np.arange(p.sum()) - np.repeat(np.append(0, np.cumsum(p))[:-1], p)
-                word = h[first[owner] + place].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (word, doc[owner], _pack(number[owner], n[owner], place), low[owner].astype(np.int64), high[owner].astype(np.int64)))], names=ROWS.names)
+                word = h[first[owner] + place]
+                # The shortest lines meet equal ones at their whole sets; a frequent word's lines meet by lengths too, each those of its own class and of the next.
+                often = classes[(word % U64(COUNTERS)).astype(np.int64)] >= hot
+                size = np.floor(np.log(n[owner]) / -np.log(t) + 1e-9).astype(U64) if t < 1 else n[owner].astype(U64)
+                whole_ = np.repeat(a, p)
+                short = n[owner] <= alike
+                key = np.where(short, whole_, np.where(often, mix(word ^ (size * U64(0x9E3779B97F4A7C15))), word))
+                again = np.flatnonzero(often & ~short)
+                key = np.concatenate([key, mix(word[again] ^ ((size[again] + U64(1)) * U64(0x9E3779B97F4A7C15)))]).astype(np.int64)
+                at = _pack(number[owner], n[owner], place)
+                rest = (np.concatenate([x, x[again]]) for x in (doc[owner], at, low[owner].astype(np.int64), high[owner].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key, *rest))], names=ROWS.names)
 
     return run
 
@@ -176,7 +200,7 @@ GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "line", "
 
 
 def similar_pairs(word, n, place, low, high, t: float):
-    """Pairs of rows that share a word and pass the filters of length, place and bits; none that reaches t fails them."""
+    """Pairs of rows that share a word and pass the filters of length, place and bits, or pairs that connect the same; none that reaches t fails them."""
     order = np.lexsort((n, word))
     word, n, place = word[order], n[order], place[order]
     low, high = low[order].view(U64), high[order].view(U64)
@@ -186,7 +210,7 @@ def similar_pairs(word, n, place, low, high, t: float):
     able |= (n >= _MOST_N) | (place >= _MOST_P)
     i = np.flatnonzero(able & (np.arange(len(n)) + 1 < end))
     j = i + 1
-    found_i, found_j = [], []
+    found_i, found_j, held = [], [], 0
     while len(i):
         big = (n[i] >= _MOST_N) | (place[i] >= _MOST_P) | (place[j] >= _MOST_P)
         near = (n[i] >= t * n[j] - 1e-9) | (n[i] >= _MOST_N)
@@ -197,6 +221,11 @@ def similar_pairs(word, n, place, low, high, t: float):
         ok = big | ((most >= need) & (n[i] + n[j] - differ >= 2 * need))
         found_i.append(order[i[ok]])
         found_j.append(order[j[ok]])
+        held += len(found_i[-1])
+        if held > PAIRS:  # near copies: what they connect is enough
+            root = forest(len(n), np.concatenate(found_i), np.concatenate(found_j))
+            linked = np.flatnonzero(root != np.arange(len(n)))
+            found_i, found_j, held = [linked], [root[linked]], 0
         j = j + 1
         more = j < end[i]
         i, j = i[more], j[more]
@@ -353,11 +382,13 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     members = cut(rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_groups(similarity), GROUPS), "groups")
     equal = members.where("head_line < 0").select("doc", "line")
     kept = cut(members.where("head_line >= 0").distinct(), "members")
-    size = kept.groupBy("head_doc", "head_line").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = cut(kept.groupBy("head_doc", "head_line").count().where(F.col("count") > BLOCK).select("head_doc", "head_line", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "large")
     asked = kept.groupBy("doc").agg(F.collect_set("line").alias("asked"))
     sets = cut(docs.join(asked.hint("merge"), "doc").mapInArrow(_line_sets(classes), "doc long, line long, set binary").dropDuplicates(["doc", "line"]), "sets")
-    spread = kept.join(size, ["head_doc", "head_line"]).withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("long"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).join(sets, ["doc", "line"])
+    # Few groups are large, so that their table says itself how it is joined.
+    spread = kept.join(large, ["head_doc", "head_line"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("long"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(sets, ["doc", "line"])
     i, j = F.least("own", "other"), F.greatest("own", "other")
     keyed = spread.select(F.xxhash64("head_doc", "head_line", i, j).alias("key"), F.col("head_doc").alias("g"), F.col("head_line").alias("h"), i.alias("i"), j.alias("j"), "own", "doc", "line", "set")
     similar = keyed.repartition(n, "key").sortWithinPartitions("key", "g", "h", "i", "j").mapInArrow(_decide(similarity), "doc long, line long")
@@ -365,10 +396,30 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def remove_lines(df: DataFrame, later: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without the lines of later (doc, line), other columns as they are. Documents of which no line stays stay, with an empty
-    text; null texts stay null."""
-    doc, gone = "__doc", "__gone"
-    lines = later.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(gone))
-    joined = df.join(lines, df[id_col] == lines[doc], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n")
-    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)).drop(doc, gone)
+    """The rows of df without the lines of later (doc, line), other columns as they are, whatever their names.
+
+    Documents of which no line stays stay, with an empty text; null texts stay
+    null, and rows with a null id stay as they are. All rows of an id lose the
+    lines of its numbers. An empty table gives an empty table.
+    """
+    lines = later.groupBy("doc").agg(F.collect_set("line").alias("gone")).select(F.struct("doc", "gone").alias("later"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    joined = rows.join(lines, F.col(f"row.`{id_col}`") == F.col("later.doc"), "left")
+    names = df.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                out = []
+                for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                    if text is not None and gone.is_valid:
+                        gone = set(gone.values.to_pylist())
+                        text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+                    out.append(text)
+                columns = batch.columns[:-1]
+                columns[at] = pa.array(out, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select("row.*", "later.gone").mapInArrow(run, df.schema)

@@ -501,6 +501,9 @@ def later(texts):
 @pytest.mark.parametrize("block", [1024, 3])
 def test_lines(spark, block, monkeypatch):
     monkeypatch.setattr(linedup, "BLOCK", block)
+    if block == 3:  # every word is frequent, and no pairs are held
+        monkeypatch.setattr(linedup, "HOT", 1)
+        monkeypatch.setattr(linedup, "PAIRS", 10)
     r = random.Random(6)
     pool = [words(r.randrange(5, 40), i, 120) for i in range(25)]
     pool.append(words(3000, 99, 5000))
