@@ -96,6 +96,22 @@ def parse_judgement(raw: str | Column) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), F.struct((yes == "true").alias("answerable"), number.alias("confidence"), F.coalesce(why, F.lit("")).alias("reason")))
 
 
+def parse_rewrite(raw: str | Column) -> Column:
+    """A struct (rewritten, query, failure) of a rewriter's answer: the outermost braces of the text, fences aside, with a Boolean `rewritten` and, if that
+    is true, a text `query` of 1 to REWRITE_CHARS characters. Anything else is an INVALID_RESPONSE; the query is null unless it was rewritten."""
+    body = F.regexp_extract(F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit("")), r"(?s)\{.*\}", 0)
+    json = F.from_json(body, "rewritten string, query string")
+    # A member's type shows in its JSON text: strings keep their quotes there.
+    flag = F.regexp_extract(body, r'(?s)"rewritten"\s*:\s*(true|false)\b', 1)
+    text = F.when(F.regexp_like(body, F.lit(r'(?s)"query"\s*:\s*"')), F.trim(json["query"]))
+    good = (flag == "false") | ((flag == "true") & F.coalesce((text != "") & (F.length(text) <= REWRITE_CHARS), F.lit(False)))
+    good = good & json["rewritten"].isNotNull()
+    return F.struct(
+        F.coalesce(good & (flag == "true"), F.lit(False)).alias("rewritten"), F.when(good & (flag == "true"), text).alias("query"),
+        F.when(~F.coalesce(good, F.lit(False)), "INVALID_RESPONSE").alias("failure"),
+    )
+
+
 def effective_query(question: Column, history: Column, enabled: Column, rewritten: Column, text: Column) -> tuple[Column, Column]:
     """(the question that every retrieval step uses, how it came about) of a rewriter's answer; generation keeps the original."""
     how = (

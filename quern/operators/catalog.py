@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The stages of an ingestion in their order.
 STAGES = ("QUEUED", "PARSING", "CLEANING", "CHUNKING", "EMBEDDING", "INDEXING", "COMPLETED")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """docs (kb_id, doc_id, sha) with first_id, the first document of a knowledge base with the same content, and is_duplicate."""
-    w = Window.partitionBy("kb_id", "sha")
-    return docs.withColumn("first_id", F.min("doc_id").over(w)).withColumn("is_duplicate", F.col("doc_id") != F.col("first_id"))
+    """docs (kb_id, doc_id, sha) with first_id, the first document of a knowledge base with the same content, and is_duplicate.
+
+    Firsts are an aggregation with map-side minima, so that a content that very
+    many documents share is no single task's work.
+    """
+    first = docs.groupBy("kb_id", "sha").agg(F.min("doc_id").alias("first_id"))
+    same = docs["kb_id"].eqNullSafe(first["kb_id"]) & docs["sha"].eqNullSafe(first["sha"])
+    return docs.join(first, same).select(docs["*"], "first_id").withColumn("is_duplicate", F.col("doc_id") != F.col("first_id"))
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -22,6 +31,21 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.withColumn("root_id", F.min("doc_id").over(w)).withColumn("version_no", no).withColumn("is_active", F.col("doc_id") == F.max("doc_id").over(w))
 
 
+def activate(versioned: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions, errors) after each asked version (doc_id, one a root) becomes the active one of its root.
+
+    Only COMPLETED and FAILED versions may; others change nothing and are
+    errors (doc_id, status, error), as are ids that are no version.
+    """
+    found = asked.select("doc_id").distinct().join(versioned.select("doc_id", "root_id", "status"), "doc_id", "left")
+    able = F.coalesce(F.col("status").isin("COMPLETED", "FAILED"), F.lit(False))
+    why = F.when(F.col("root_id").isNull(), "NOT_FOUND").otherwise("STATUS_NOT_ACTIVATABLE")
+    errors = found.where(~able).select("doc_id", "status", why.alias("error"))
+    now = found.where(able).groupBy("root_id").agg(F.max("doc_id").alias("__now"))
+    out = versioned.join(now, "root_id", "left").withColumn("is_active", F.coalesce(F.col("doc_id") == F.col("__now"), F.col("is_active"))).select(versioned.columns)
+    return out, errors
+
+
 def after_delete(versioned: DataFrame, deleted: DataFrame) -> DataFrame:
     """What is left of versions (root_id, doc_id, version_no, status, is_active) without deleted (doc_id). Where the active one went, the newest COMPLETED
     one becomes active, if there is any."""
@@ -36,6 +60,13 @@ def latest(versioned: DataFrame) -> DataFrame:
     return versioned.groupBy("root_id").agg(F.max("version_no").alias("version_no"), F.max_by("doc_id", "version_no").alias("doc_id"))
 
 
+def index_errors(chunks: DataFrame, dims: int) -> DataFrame:
+    """(doc_id, error) of documents whose chunks (doc_id, chunk_id, vector) may not be written: before anything is deleted, each chunk needs a vector of
+    the index's dimensions."""
+    bad = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("vector").alias("vectors"), F.count_if(F.size("vector") != dims).alias("wrong"))
+    return bad.select("doc_id", F.when(F.col("chunks") != F.col("vectors"), "COUNT_MISMATCH").when(F.col("wrong") > 0, "DIMENSION_MISMATCH").alias("error")).where("error is not null")
+
+
 def rebuild_chunks(index: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index with all chunks of the fresh documents replaced; twice is the same as once."""
     return index.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
@@ -63,6 +94,32 @@ def page_bounds(total: Column, size: Column, asked: Column) -> tuple[Column, Col
     return pages, F.least(F.greatest(F.coalesce(asked, F.lit(1)), F.lit(1)), pages).cast("long")
 
 
+def by_statuses(docs: DataFrame, *statuses: str) -> DataFrame:
+    """Documents in any of the statuses, newest first: those in processing are asked for one status at a time and shown together."""
+    return docs.where(F.col("status").isin(*statuses)).orderBy(F.desc("doc_id"))
+
+
+def without_prefix(objects: DataFrame, path: str, prefixes: DataFrame) -> DataFrame:
+    """Objects whose path starts with none of the prefixes (one column `prefix`, each ending with a slash). Paths and prefixes meet at the folder, not pair by pair."""
+    cut = objects.select(path).distinct().withColumn("__d", F.explode(F.sequence(F.lit(2), F.size(F.split(path, "/")))))
+    gone = cut.withColumn("prefix", F.concat(F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.col("__d") - 1), "/"), F.lit("/"))).join(prefixes.select("prefix").distinct(), "prefix").select(path).distinct()
+    return objects.join(gone, path, "left_anti")
+
+
+def sessions(messages: DataFrame) -> DataFrame:
+    """(conv_id, messages, last_turn) of each session."""
+    return messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+
+
+def deletion_summary(docs: DataFrame, messages: DataFrame) -> DataFrame:
+    """(kb_id, documents, sessions, messages): what goes with a knowledge base, zeros included; docs (doc_id, kb_id), messages (conv_id) of sessions that
+    bear the id of a document."""
+    said = messages.join(docs, F.col("conv_id") == F.col("doc_id")).groupBy("kb_id").agg(F.countDistinct("conv_id").alias("sessions"), F.count("*").alias("messages"))
+    n = docs.groupBy("kb_id").agg(F.count("*").alias("documents"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n.join(said, "kb_id", "full").select("kb_id", zero("documents"), zero("sessions"), zero("messages"))
+
+
 def kb_rollup(kbs: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(kb_id, document_count, chunk_count), zeros included."""
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("c"))
@@ -128,3 +185,41 @@ def idle_gaps(events: DataFrame, seconds: int = 120) -> DataFrame:
     prev = F.lag("ts").over(Window.partitionBy("stream_id").orderBy("ts", "id"))
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
     return events.withColumn("gap_s", (gap / 1_000_000)).where(F.col("gap_s") > seconds).select("stream_id", "id", "gap_s")
+
+
+def heartbeats(events: DataFrame, every: int = 15) -> DataFrame:
+    """(stream_id, beats): signs of life that a stream sends while it waits, one after each `every` seconds without an event (stream_id, ts, id)."""
+    prev = F.lag("ts").over(Window.partitionBy("stream_id").orderBy("ts", "id"))
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+    beats = F.when(gap > 0, F.floor((gap - 1) / (every * 1_000_000)))
+    return events.select("stream_id", beats.alias("b")).groupBy("stream_id").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("beats"))
+
+
+def admission(requests: DataFrame, permits: int, wait_ms: int = 0) -> DataFrame:
+    """requests (server, id, start_ms, duration_ms) with started_ms and admitted.
+
+    A server has a number of permits; a request takes one for its duration. One
+    that finds none waits, first come first served, at most wait_ms, and is
+    refused if none comes free by then. What is admitted depends on all that
+    came before, so each server is a fold in order of start and id; its state is
+    the times at which permits come free.
+    """
+    schema = T.StructType([requests.schema["server"], requests.schema["id"], T.StructField("start_ms", T.LongType()), T.StructField("started_ms", T.LongType()), T.StructField("admitted", T.BooleanType())])
+    rows = requests.select("server", "id", F.col("start_ms").cast("long").alias("start_ms"), F.col("duration_ms").cast("long").alias("duration_ms"))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        free, now = [], None  # runs of one server come one after the other
+        for b in batches:
+            started, ok = [], []
+            for server, start, takes in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if server != now or not free:
+                    now, free = server, [-(1 << 62)] * permits
+                at = max(start, free[0])
+                ok.append(at - start <= wait_ms)
+                started.append(at if ok[-1] else None)
+                if ok[-1]:
+                    heapq.heapreplace(free, at + takes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(started, pa.int64()), pa.array(ok, pa.bool_())], names=schema.names)
+
+    return rows.repartition(n, "server").sortWithinPartitions("server", "start_ms", "id").mapInArrow(run, schema)

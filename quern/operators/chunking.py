@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import HEADING, HEADING_NUMBER, chunk_id, is_blank
+from quern.functions.text import HEADING, HEADING_NUMBER, is_blank
 
 #: Bounds and defaults of a chunk's length and overlap.
 LENGTHS, OVERLAPS, DEFAULT = (200, 4000), (0, 500), (800, 100)
@@ -32,11 +33,12 @@ def length_overlap(docs: DataFrame, max_length: int = DEFAULT[0], overlap: int =
     step = max_length - overlap
     if not 0 <= overlap < max_length:
         raise ValueError("overlap must be at least 0 and below the length")
-    n = F.length("text")
-    last = F.when(n <= max_length, 0).otherwise(F.ceil((n - max_length) / step)).cast("int")
-    at = docs.where(~is_blank("text")).select("doc_id", "name", "text", F.explode(F.sequence(F.lit(0), last)).alias("seq"))
-    out = at.withColumn("content", F.expr(f"substring(text, seq * {step} + 1, {max_length})"))
-    return out.select("doc_id", "seq", chunk_id("doc_id", "seq").alias("chunk_id"), F.col("name").alias("title_path"), F.lit(None).cast("int").alias("page"), F.length("content").alias("char_count"), "content")
+
+    def windows(name: str, text: str) -> Iterator[tuple]:
+        for at in range(0, max(1, len(text) - overlap), step):
+            yield name, None, text[at : at + max_length]
+
+    return _cut(docs, windows)
 
 
 _HEADING, _NUMBER = re.compile(HEADING), re.compile(HEADING_NUMBER)
@@ -69,7 +71,7 @@ def structure_chunks(name: str, text: str, max_length: int, paged: bool = False)
     those of a length after the line's start. Form feeds separate pages.
     """
     starts = [0] + [m.end() for m in re.finditer("\f", text)] if paged else []
-    page_of = (lambda at: max(1, sum(s <= at for s in starts))) if starts else (lambda at: None)
+    page_of = (lambda at: max(1, bisect_right(starts, at))) if starts else (lambda at: None)
     counts, title, at, gap = [0] * 7, name, 0, False
     pack = _Packer()
     for line in text.replace("\f", "\n").split("\n"):
@@ -149,26 +151,30 @@ def sheet_chunks(name: str, text: str, max_length: int) -> list[tuple]:
     return out
 
 
-def _folded(docs: DataFrame, cut: Callable[[dict], list[tuple]]) -> DataFrame:
-    """A fold over the lines of each document: the state that passes from line to line is no window or join, so it runs on Arrow batches."""
+def _cut(docs: DataFrame, cut: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+    """Chunks of each text that is not blank, in one pass over it. What follows a line depends on all lines before it, which is no window or join, so
+    this runs on Arrow batches; few texts' chunks are held at once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d["doc_id"], i, f"{d['doc_id']}-c{i:04d}", t, p, len(c), c) for d in b.to_dict("records") for i, (t, p, c) in enumerate(cut(d))]
-            out = pd.DataFrame(rows, columns=["doc_id", "seq", "chunk_id", "title_path", "page", "char_count", "content"])
-            yield out.astype({"page": "Int32"})
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
+                rows = [(k, i, f"{doc}-c{i:04d}", t, p, len(c), c) for k, (doc, name, text) in enumerate(zip(*(x.to_pylist() for x in part.columns), strict=True)) for i, (t, p, c) in enumerate(cut(name, text))]
+                owner, *columns = zip(*rows, strict=True) if rows else [()] * 7
+                types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
-    return docs.mapInPandas(run, CHUNK.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    names = ["doc_id", "seq", "chunk_id", "title_path", "page", "char_count", "content"]
+    source = docs.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), "text").where(~is_blank("text"))
+    return source.mapInArrow(run, CHUNK.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def structure(docs: DataFrame, max_length: int = DEFAULT[0], paged: bool = False) -> DataFrame:
-    docs = docs.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), "text").where(~is_blank("text"))
-    return _folded(docs, lambda d: structure_chunks(d["name"], d["text"], max_length, paged))
+    return _cut(docs, lambda name, text: structure_chunks(name, text, max_length, paged))
 
 
 def spreadsheet(docs: DataFrame, max_length: int = DEFAULT[0]) -> DataFrame:
-    docs = docs.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), "text").where(~is_blank("text"))
-    return _folded(docs, lambda d: sheet_chunks(d["name"], d["text"], max_length))
+    return _cut(docs, lambda name, text: sheet_chunks(name, text, max_length))
 
 
 def route(docs: DataFrame, strategy: str = "LENGTH_OVERLAP", max_length: int = DEFAULT[0], overlap: int = DEFAULT[1]) -> DataFrame:

@@ -9,6 +9,7 @@ from quern.functions.numbers import nearest_rank, ratio, round4
 
 #: Categories, modes of evidence and roles that a data set may have.
 CATEGORIES = ("DIRECT", "TERM_VARIATION", "FOLLOW_UP", "OUT_OF_KB", "CONFUSABLE", "PARTIAL_EVIDENCE")
+FAILURE_MODES = ("OUT_OF_KB", "PARTIAL_EVIDENCE", "MISSING_CONDITION", "ENTITY_MISMATCH", "SCOPE_MISMATCH", "NUMERIC_MISMATCH", "VERSION_CONFLICT", "UNSUPPORTED_INFERENCE")
 EVIDENCE_MODES, ROLES = ("SINGLE_CHUNK", "MULTI_CHUNK", "FOLLOW_UP"), ("user", "assistant")
 ANCHORS = ("content_hash", "chunk_id", "title_path", "anchor_path")
 
@@ -24,27 +25,36 @@ def has_anchor(e: Column) -> Column:
 def item_errors(items: DataFrame) -> DataFrame:
     """items with errors, the codes of the rules that a row breaks in their order; rows without any are accepted.
 
-    Columns: question, answerable, category, failure_mode, evidence_mode,
-    evidence (array of structs with the anchors), tempting (likewise), history
-    (array of role and content).
+    Columns: question, answerable (null: no Boolean), category, failure_mode,
+    evidence_mode, evidence (array of structs with the anchors), tempting
+    (likewise), missing_requirement, history (array of role and content).
     """
     none = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    yes = F.coalesce("answerable", F.lit(True))
-    n = F.coalesce(F.size(F.coalesce("evidence", F.expr("array()").cast(items.schema["evidence"].dataType))), F.lit(0))
-    history = F.coalesce("history", F.expr("array()").cast(items.schema["history"].dataType))
-    tempting = F.coalesce("tempting", F.expr("array()").cast(items.schema["tempting"].dataType))
+    among = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    listed = lambda c: F.coalesce(c, F.expr("array()").cast(items.schema[c].dataType))
+    yes, no = F.coalesce("answerable", F.lit(False)), F.coalesce(~F.col("answerable"), F.lit(False))
+    evidence, tempting, history = listed("evidence"), listed("tempting"), listed("history")
+
+    def anchored(e):  # here an anchor that is there counts, even a blank one
+        return F.coalesce(*[e[a] for a in ANCHORS]).isNotNull()
+
     rules = [
         ("QUESTION_BLANK", none(F.col("question"))),
-        ("CATEGORY_UNKNOWN", ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))),
-        ("FAILURE_MODE_MISSING", ~yes & none(F.col("failure_mode"))),
+        ("CATEGORY_MISSING", none(F.col("category"))),
+        ("CATEGORY_UNKNOWN", ~none(F.col("category")) & ~among("category", CATEGORIES)),
+        ("ANSWERABLE_NO_BOOLEAN", F.col("answerable").isNull()),
+        ("HISTORY_INVALID", ~F.forall(history, lambda h: F.coalesce(F.lower(h["role"]).isin(*ROLES), F.lit(False)) & ~none(h["content"]))),
+        ("FAILURE_MODE_UNKNOWN", ~none(F.col("failure_mode")) & ~among("failure_mode", FAILURE_MODES)),
+        ("EVIDENCE_MODE_UNKNOWN", ~none(F.col("evidence_mode")) & ~among("evidence_mode", EVIDENCE_MODES)),
         ("FAILURE_MODE_NOT_ALLOWED", yes & ~none(F.col("failure_mode"))),
-        ("EVIDENCE_MODE_UNKNOWN", yes & ~none(F.col("evidence_mode")) & ~F.coalesce(F.col("evidence_mode").isin(*EVIDENCE_MODES), F.lit(False))),
-        ("EVIDENCE_MODE_NOT_ALLOWED", ~yes & ~none(F.col("evidence_mode"))),
-        ("EVIDENCE_MISSING", yes & ~F.coalesce(F.exists("evidence", has_anchor), F.lit(False))),
-        ("MULTI_CHUNK_NEEDS_TWO", yes & F.coalesce(F.col("evidence_mode") == "MULTI_CHUNK", F.lit(False)) & (n < 2)),
+        ("EVIDENCE_MODE_NOT_ALLOWED", no & ~none(F.col("evidence_mode"))),
+        ("FAILURE_MODE_MISSING", no & none(F.col("failure_mode"))),
+        ("TEMPTING_NOT_ANCHORED", no & ~F.forall(tempting, anchored)),
+        ("NEGATIVE_FIELDS_NOT_ALLOWED", yes & ((F.size(tempting) > 0) | ~none(F.col("missing_requirement")))),
+        ("EVIDENCE_MISSING", yes & (F.size(evidence) == 0)),
+        ("EVIDENCE_NOT_ANCHORED", yes & ~F.forall(evidence, anchored)),
+        ("MULTI_CHUNK_NEEDS_TWO", yes & F.coalesce(F.col("evidence_mode") == "MULTI_CHUNK", F.lit(False)) & (F.size(evidence) < 2)),
         ("FOLLOW_UP_NEEDS_HISTORY", yes & F.coalesce(F.col("evidence_mode") == "FOLLOW_UP", F.lit(False)) & (F.size(history) == 0)),
-        ("TEMPTING_NOT_ANCHORED", ~F.forall(tempting, has_anchor)),
-        ("HISTORY_INVALID", ~F.forall(history, lambda h: F.coalesce(F.lower(h["role"]).isin(*ROLES), F.lit(False)) & ~none(h["content"]))),
     ]
     return items.withColumn("errors", F.array_compact(F.array(*[F.when(bad, code) for code, bad in rules])))
 
@@ -157,6 +167,19 @@ def rewrites(items: DataFrame) -> DataFrame:
     )
 
 
+def evidence_snapshot(relevant: DataFrame, traced: DataFrame) -> DataFrame:
+    """(query_id, id, stages): for each relevant id (query_id, id) the stages that hold it with its rank there, by name; empty where none does."""
+    there = relevant.select("query_id", "id").distinct().join(traced, ["query_id", "id"], "left").where("stage is null or rank is not null")
+    held = F.concat_ws(":", "stage", F.col("rank").cast("string"))
+    return there.groupBy("query_id", "id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("stage").isNotNull(), held))), ",").alias("stages"))
+
+
+def evidence_union(relevant: DataFrame, traced: DataFrame) -> DataFrame:
+    """(query_id, ids): the relevant ids that any stage holds."""
+    held = relevant.select("query_id", "id").distinct().join(traced.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
+    return relevant.select("query_id").distinct().join(held.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids")), "query_id", "left")
+
+
 def stage_recall(relevant: DataFrame, traced: DataFrame) -> DataFrame:
     """(stage, items, recalled, recall): items whose relevant ids (query_id, id) are all among a stage's candidates."""
     need = relevant.select("query_id", "id").distinct()
@@ -214,3 +237,30 @@ def load_summary(calls: DataFrame) -> DataFrame:
 def numbered_versions(versions: DataFrame, by: str, order: str) -> DataFrame:
     """Versions numbered from 1 within a data set."""
     return versions.withColumn("version_no", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+
+
+def name_conflicts(rows: DataFrame, name: str) -> DataFrame:
+    """(name, n) of names that more than one row has."""
+    return rows.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def type_conflicts(have: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of `have` (key, type) that are asked for (key, type) as another type."""
+    other = asked.select(key, F.col("type").alias("__asked"))
+    return have.join(other, key).where(F.col("type") != F.col("__asked")).drop("__asked")
+
+
+def run_items(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """The items (seq, ...) of a data set with what a run said of them (seq, ...); null where it said nothing."""
+    return items.join(runs, "seq", "left")
+
+
+def config_snapshots(configs: DataFrame, by: str, strategy: str, **settings: float) -> DataFrame:
+    """(by, strategies, settings): the distinct strategies of a group in order, and the effective settings."""
+    found = configs.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(strategy)), ",").alias("strategies"))
+    return found.withColumns({k: F.lit(v) for k, v in settings.items()})
+
+
+def summaries(runs: DataFrame, metrics: str, **members: str) -> DataFrame:
+    """runs without their JSON metrics, but with members of it as numbers of four decimals."""
+    return runs.withColumns({k: F.round(F.get_json_object(metrics, f"$.{v}").cast("double"), 4) for k, v in members.items()}).drop(metrics)

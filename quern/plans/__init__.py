@@ -1,11 +1,11 @@
 """The catalogue of queries by name, and the SQL of those that SQL can express."""
 
-from quern.plans import library, search
+from quern.plans import chunks, library, more, search
 
 
 def queries():
-    return search.QUERIES | library.QUERIES
+    return search.QUERIES | library.QUERIES | chunks.QUERIES | more.QUERIES
 
 
 def oracle_sql():
-    return search.SQL | library.SQL
+    return search.SQL | library.SQL | chunks.SQL | more.SQL

@@ -139,7 +139,7 @@ def page_of_offset(spark, sf):
     return starts.select("doc_id", files.page_at(F.col("s"), F.col("doc_id") % 500).alias("page"))
 
 
-_PROBE = rf"WITH p AS ({_PAGED}), s AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(12))), '\s+', '', 'g') AS t FROM p), m AS (SELECT doc_id, count(*) AS pages, CAST(sum(length(t)) AS BIGINT) AS chars, count(*) FILTER (length(t) < 10) AS e, sum(length(regexp_replace(regexp_replace(t, '[\p{{Cc}}\p{{Co}}\p{{Cs}}\p{{Cf}}]', '', 'g'), '�', '', 'g'))) AS ok, sum(length(t) - length(replace(t, '�', ''))) AS g FROM s GROUP BY doc_id), r AS (SELECT doc_id, pages, chars, chars / pages AS chars_per_page, e / pages AS empty_ratio, coalesce(ok / nullif(chars, 0), 0) AS printable_ratio, coalesce(g / nullif(chars, 0), 0) AS garbled_ratio FROM m)"
+_PROBE = rf"WITH p AS ({_PAGED}), s AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(12))), '\s+', '', 'g') AS t FROM p), m AS (SELECT doc_id, count(*) AS pages, CAST(sum(length(t)) AS BIGINT) AS chars, count(*) FILTER (length(t) < 10) AS e, sum(length(regexp_replace(regexp_replace(t, '[\p{{Cc}}\p{{Co}}\p{{Cs}}\p{{Cf}}]', '', 'g'), '�', '', 'g'))) AS ok, sum(length(t) - length(replace(t, '�', ''))) AS g FROM s GROUP BY doc_id), r AS (SELECT doc_id, pages, chars, chars / pages AS chars_per_page, e / pages AS empty_ratio, coalesce(ok / nullif(chars, 0), 1) AS printable_ratio, coalesce(g / nullif(chars, 0), 0) AS garbled_ratio FROM m)"
 
 
 @query(_PROBE + " SELECT doc_id, pages, chars, round(chars_per_page, 6) AS chars_per_page, round(empty_ratio, 6) AS empty_ratio, round(printable_ratio, 6) AS printable_ratio, round(garbled_ratio, 6) AS garbled_ratio FROM r")
@@ -173,25 +173,6 @@ def chunk_length_overlap(spark, sf):
     return _chunks(spark, sf).select("doc_id", "seq", "chunk_id", "title_path", "char_count", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
 
 
-@query()
-def chunk_structure(spark, sf):
-    return chunking.structure(_md(spark, sf))
-
-
-@query()
-def chunk_spreadsheet(spark, sf):
-    rows = table(spark, sf, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.concat(F.lit("| "), F.col("p_partkey").cast("string"), F.lit(" | "), "p_name", F.lit(" |")).alias("row"))
-    body = rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("row")), "\n").alias("b"))
-    docs = body.select("doc_id", F.concat(F.lit("parts-"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("name"), F.concat(F.lit("## parts\n| key | name |\n| --- | --- |\n"), "b").alias("text"))
-    return chunking.spreadsheet(docs)
-
-
-@query()
-def chunk_route(spark, sf):
-    d = documents(spark, sf).withColumn("text", F.when(F.col("file_type") == "CSV", F.concat(F.lit("| a | b |\n| --- | --- |\n| "), F.replace("text", F.lit("\n"), F.lit(" | x |\n| ")), F.lit(" | x |"))).otherwise(F.col("text")))
-    return chunking.route(d, "STRUCTURE")
-
-
 @query("SELECT p_partkey, CASE WHEN s NOT IN ('LENGTH_OVERLAP', 'STRUCTURE') THEN 'strategy' WHEN m < 200 OR m > 4000 THEN 'max_length' WHEN o < 0 OR o > 500 THEN 'overlap' WHEN o >= m THEN 'overlap_not_below_max_length' END AS error FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'OTHER' ELSE 'STRUCTURE' END AS s, p_partkey % 50 * 100 AS m, p_partkey % 13 * 50 - 50 AS o FROM part)")
 def chunk_config_check(spark, sf):
     k = F.col("p_partkey")
@@ -259,10 +240,7 @@ def kb_rollup(spark, sf):
 @query("SELECT kb_id, sum(d)::BIGINT AS documents, sum(s)::BIGINT AS sessions, sum(m)::BIGINT AS messages FROM (SELECT lang AS kb_id, count(*) AS d, 0 AS s, 0 AS m FROM documents GROUP BY 1 UNION ALL SELECT d.lang, 0, count(DISTINCT conv_id), count(*) FROM conversations c JOIN documents d ON d.doc_id = c.conv_id GROUP BY 1) GROUP BY kb_id")
 def kb_delete_summary(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("kb_id"))
-    said = table(spark, sf, "conversations").join(d, F.col("conv_id") == F.col("doc_id")).groupBy("kb_id").agg(F.countDistinct("conv_id").alias("sessions"), F.count("*").alias("messages"))
-    n = d.groupBy("kb_id").agg(F.count("*").alias("documents"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return n.join(said, "kb_id", "full").select("kb_id", zero("documents"), zero("sessions"), zero("messages"))
+    return catalog.deletion_summary(d, table(spark, sf, "conversations"))
 
 
 @query(f"WITH {DOCUMENTS} SELECT doc_id, name, status FROM document WHERE kb_id = 'en' AND status IN ('COMPLETED') ORDER BY doc_id DESC LIMIT 20 OFFSET 40")
@@ -280,7 +258,7 @@ def page_bounds(spark, sf):
 
 @query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def session_list(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+    return catalog.sessions(table(spark, sf, "conversations"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 1 ORDER BY turn, text LIMIT 3")
@@ -316,16 +294,22 @@ def judge_parse(spark, sf):
     return table(spark, sf, "nation").select(k, j["answerable"].alias("answerable"), j["confidence"].alias("confidence"))
 
 
-@query("""SELECT item_id, concat_ws(',', CASE WHEN item_id % 9 = 0 THEN 'QUESTION_BLANK' END, CASE WHEN item_id % 7 = 0 THEN 'CATEGORY_UNKNOWN' END, CASE WHEN item_id % 2 = 1 AND item_id % 3 <> 0 THEN 'FAILURE_MODE_MISSING' END, CASE WHEN item_id % 2 = 0 AND item_id % 3 = 0 THEN 'FAILURE_MODE_NOT_ALLOWED' END,
- CASE WHEN item_id % 2 = 1 THEN 'EVIDENCE_MODE_NOT_ALLOWED' END, CASE WHEN item_id % 2 = 0 AND item_id % 8 = 0 THEN 'EVIDENCE_MISSING' END, CASE WHEN item_id % 2 = 0 THEN 'MULTI_CHUNK_NEEDS_TWO' END) AS errors FROM benchmark""")
+@query("""WITH i AS (SELECT item_id, item_id % 2 = 0 AS yes, item_id % 2 = 1 AND item_id % 11 <> 0 AS no FROM benchmark)
+SELECT item_id, concat_ws(',', CASE WHEN item_id % 9 = 0 THEN 'QUESTION_BLANK' END, CASE WHEN item_id % 7 = 0 THEN 'CATEGORY_UNKNOWN' END, CASE WHEN NOT yes AND NOT no THEN 'ANSWERABLE_NO_BOOLEAN' END,
+ CASE WHEN item_id % 13 = 0 THEN 'HISTORY_INVALID' END, CASE WHEN item_id % 12 = 3 THEN 'FAILURE_MODE_UNKNOWN' END, CASE WHEN item_id % 10 = 5 THEN 'EVIDENCE_MODE_UNKNOWN' END, CASE WHEN yes AND item_id % 3 = 0 THEN 'FAILURE_MODE_NOT_ALLOWED' END,
+ CASE WHEN no AND item_id % 5 = 0 THEN 'EVIDENCE_MODE_NOT_ALLOWED' END, CASE WHEN no AND item_id % 3 <> 0 THEN 'FAILURE_MODE_MISSING' END, CASE WHEN no AND item_id % 7 = 1 THEN 'TEMPTING_NOT_ANCHORED' END, CASE WHEN yes AND item_id % 4 = 0 THEN 'NEGATIVE_FIELDS_NOT_ALLOWED' END,
+ CASE WHEN yes AND item_id % 16 = 0 THEN 'EVIDENCE_MISSING' END, CASE WHEN yes AND item_id % 16 <> 0 AND item_id % 6 = 0 THEN 'EVIDENCE_NOT_ANCHORED' END, CASE WHEN yes AND item_id % 10 = 0 AND item_id % 16 = 0 THEN 'MULTI_CHUNK_NEEDS_TWO' END) AS errors FROM i""")
 def dataset_validate(spark, sf):
     i, none = F.col("item_id"), F.lit(None).cast("string")
-    anchor = F.struct(none.alias("content_hash"), F.when(i % 8 != 0, "c").alias("chunk_id"), none.alias("title_path"), F.lit(" ").alias("anchor_path"))
+    fine = F.struct(none.alias("content_hash"), F.lit("c").alias("chunk_id"), none.alias("title_path"), none.alias("anchor_path"))
+    bare = F.struct(none.alias("content_hash"), none.alias("chunk_id"), none.alias("title_path"), none.alias("anchor_path"))
+    turns = F.array(F.struct(F.when(i % 13 == 0, "robot").otherwise("User").alias("role"), F.lit("hi").alias("content")))
     items = table(spark, sf, "benchmark").select(
-        "item_id", F.when(i % 9 != 0, F.col("text")).alias("question"), (i % 2 == 0).alias("answerable"), F.when(i % 7 == 0, "OTHER").otherwise("DIRECT").alias("category"), F.when(i % 3 == 0, "OUT_OF_KB").alias("failure_mode"),
-        F.lit("MULTI_CHUNK").alias("evidence_mode"), F.array(anchor).alias("evidence"), F.array(anchor).alias("tempting"), F.array(F.struct(F.lit("User").alias("role"), F.lit("hi").alias("content"))).alias("history"),
+        "item_id", F.when(i % 9 != 0, F.col("text")).alias("question"), F.when(i % 2 == 0, True).when(i % 11 != 0, False).alias("answerable"), F.when(i % 7 == 0, "OTHER").otherwise("DIRECT").alias("category"),
+        F.when(i % 12 == 3, "BAD_MODE").when(i % 3 == 0, "OUT_OF_KB").alias("failure_mode"), F.when(i % 10 == 5, "NO_CHUNK").when(i % 10 == 0, "MULTI_CHUNK").alias("evidence_mode"),
+        F.when(i % 16 != 0, F.array(fine, F.when(i % 6 == 0, bare).otherwise(fine))).alias("evidence"), F.when((i % 2 == 1) & (i % 7 == 1), F.array(fine, bare)).alias("tempting"),
+        F.when(i % 4 == 0, "which one?").alias("missing_requirement"), turns.alias("history"),
     )
-    items = items.withColumn("tempting", F.when(i % 8 != 0, F.col("tempting")))
     return evaluation.item_errors(items).select("item_id", F.array_join("errors", ",").alias("errors"))
 
 
@@ -418,19 +402,19 @@ def dataset_versions(spark, sf):
 @query("SELECT b.item_id AS seq, b.text AS question, e.value AS score FROM benchmark b LEFT JOIN events e ON e.event_id = b.item_id AND e.event_id % 3 <> 0")
 def run_item_view(spark, sf):
     runs = table(spark, sf, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("seq"), F.col("value").alias("score"))
-    return questions(spark, sf).select(F.col("query_id").alias("seq"), F.col("text").alias("question")).join(runs, "seq", "left")
+    return evaluation.run_items(questions(spark, sf).select(F.col("query_id").alias("seq"), F.col("text").alias("question")), runs)
 
 
 @query("SELECT name, count(*) AS n FROM (SELECT source || lang AS name FROM documents) GROUP BY name HAVING count(*) > 1")
 def unique_name_conflicts(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.concat("source", "lang").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    return evaluation.name_conflicts(table(spark, sf, "documents").select(F.concat("source", "lang").alias("name")), "name")
 
 
 @query("SELECT a.n_nationkey, a.n_name FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey WHERE a.n_regionkey % 2 <> (b.n_nationkey % 2)")
 def dataset_type_guard(spark, sf):
     have = table(spark, sf, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") % 2 == 0, "TUNING").otherwise("TEST").alias("type"))
-    asked = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "TUNING").otherwise("TEST").alias("asked"))
-    return have.join(asked, "n_nationkey").where("type <> asked").select("n_nationkey", "n_name")
+    asked = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "TUNING").otherwise("TEST").alias("type"))
+    return evaluation.type_conflicts(have, asked, "n_nationkey").select("n_nationkey", "n_name")
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE n_name END AS n_name, n_regionkey FROM nation")
@@ -488,8 +472,7 @@ def task_resume(spark, sf):
 @query("SELECT page_id, url FROM pages WHERE NOT starts_with(url, (SELECT min(regexp_extract(url, '^https?://[^/]*/', 0)) FROM pages))")
 def object_prefix_delete(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
-    prefix = p.agg(F.min(F.regexp_extract("url", "^https?://[^/]*/", 0))).first()[0]
-    return p.where(~F.startswith("url", F.lit(prefix)))
+    return catalog.without_prefix(p, "url", p.agg(F.min(F.regexp_extract("url", "^https?://[^/]*/", 0)).alias("prefix")))
 
 
 @query("SELECT conv_id AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS i, CASE WHEN role = 'system' THEN 'message' ELSE role END AS event, CAST(turn AS VARCHAR) || chr(10) || 'x' AS data FROM conversations")
@@ -525,8 +508,8 @@ def preview(spark, sf):
 
 @query("SELECT lang AS kb_id, array_to_string(list_sort(list(DISTINCT 'S' || doc_id % 3)), ',') AS strategies, 6 AS top_k, 0.3::DOUBLE AS min_score FROM documents GROUP BY lang")
 def config_snapshot(spark, sf):
-    s = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string")))), ",")
-    return table(spark, sf, "documents").groupBy(F.col("lang").alias("kb_id")).agg(s.alias("strategies")).withColumns({"top_k": F.lit(6), "min_score": F.lit(0.3)})
+    s = F.concat(F.lit("S"), (F.col("doc_id") % 3).cast("string"))
+    return evaluation.config_snapshots(table(spark, sf, "documents").select(F.col("lang").alias("kb_id"), s.alias("strategy")), "kb_id", "strategy", top_k=6, min_score=0.3)
 
 
 @query("SELECT event_id, event_type = 'error' AS tagged, CASE WHEN event_type = 'error' THEN 'BAD' END AS review_tag FROM events")
@@ -540,7 +523,7 @@ def review_update(spark, sf):
 def run_summary(spark, sf):
     k = F.max(F.get_json_object("props", "$.k").cast("long")).alias("k")
     runs = table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id")).agg(k).select("run_id", F.to_json(F.struct((F.col("k") / 7).alias("hitAt1"))).alias("metrics"))
-    return runs.select("run_id", F.round(F.get_json_object("metrics", "$.hitAt1").cast("double"), 4).alias("hit_at_1"))
+    return evaluation.summaries(runs, "metrics", hit_at_1="hitAt1")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -132,3 +132,56 @@ def test_vector_search_handles_nulls_and_no_queries(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
     assert [(r.query_id, r.id, r.score) for r in retrieval.vector(v, q, 1).collect()] == [(1, 1, 1.0)]
     assert retrieval.vector(v, q.limit(0), 1).count() == 0
+
+
+def test_admission_against_a_plain_queue(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i % 3, i, r.randrange(5000), r.randrange(1, 700)) for i in range(600)]
+    for permits, wait in ((2, 0), (4, 500), (1, 300)):
+        want = {}
+        for server in range(3):
+            free = [-1] * permits
+            for _, i, start, takes in sorted((x for x in rows if x[0] == server), key=lambda x: (x[2], x[1])):
+                at = max(start, min(free))
+                want[i] = at if at - start <= wait else None
+                if want[i] is not None:
+                    free[free.index(min(free))] = at + takes
+        out = catalog.admission(spark.createDataFrame(rows, "server long, id long, start_ms long, duration_ms long"), permits, wait).collect()
+        assert {x.id: x.started_ms for x in out} == want and all(x.admitted == (x.started_ms is not None) for x in out)
+
+
+def test_activation_and_index_checks(spark):
+    v = spark.createDataFrame([(1, 1, "COMPLETED", False), (2, 1, "PROCESSING", True), (3, 3, "COMPLETED", True)], "doc_id int, root_id int, status string, is_active boolean")
+    out, errors = catalog.activate(v, spark.createDataFrame([(1,), (9,)], "doc_id int"))
+    assert {r.doc_id: r.is_active for r in out.collect()} == {1: True, 2: False, 3: True}
+    assert [tuple(r) for r in errors.collect()] == [(9, None, "NOT_FOUND")]
+    assert [r.error for r in catalog.activate(v, spark.createDataFrame([(2,)], "doc_id int"))[1].collect()] == ["STATUS_NOT_ACTIVATABLE"]
+    c = spark.createDataFrame([(1, "a", [1.0, 2.0]), (1, "b", None), (2, "c", [1.0]), (3, "d", [1.0, 2.0])], "doc_id int, chunk_id string, vector array<double>")
+    assert sorted((r.doc_id, r.error) for r in catalog.index_errors(c, 2).collect()) == [(1, "COUNT_MISMATCH"), (2, "DIMENSION_MISMATCH")]
+
+
+def test_rewrites(spark):
+    from quern.operators.answer import parse_rewrite
+
+    rows = ['{"rewritten": true, "query": "a \\"b\\" c"}', '{"rewritten": true, "query": " "}', '{"rewritten": true, "query": 5}', '{"rewritten": false}', "", None, '{"rewritten": 1, "query": "x"}', "{broken"]
+    out = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, raw string").select("i", parse_rewrite("raw").alias("r")).orderBy("i").collect()
+    assert [(x.r.rewritten, x.r.query, x.r.failure is None) for x in out] == [(True, 'a "b" c', True), (False, None, False), (False, None, False), (False, None, True), *[(False, None, False)] * 4]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quern import shared
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())

@@ -62,6 +62,9 @@ def test_text_functions(spark):
 
 def test_csv():
     assert files.parse_csv('﻿a,b\n"x, ""y""",p|q\n\n1'.encode()) == '| a | b |\n| --- | --- |\n| x, "y" | p/q |\n| 1 |  |'
+    # Only line feeds end lines, and only the CSV reader rewrites bars.
+    assert files.parse_csv("a,b\nx\x0b\u2028y,\rz\r\nq,r".encode()) == "| a | b |\n| --- | --- |\n| x\x0b\u2028y | z |\n| q | r |"
+    assert files.pipe_table([["a|b"], ["c"]]) == "| a|b |\n| --- |\n| c |"
     for bad in (b"", b"a,b"):
         with pytest.raises(ValueError):
             files.parse_csv(bad)
@@ -83,7 +86,7 @@ def test_office_files(spark, tmp_path):
     })
     assert files.parse_xlsx(xlsx) == "## S\n\n| k | 2 |\n| --- | --- |\n| x y |  |"
     docx = office({"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>b</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>h</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
-    assert files.parse_docx(docx) == "## T\n\nb\n\n| h |\n| --- |"
+    assert files.parse_docx(docx) == "## T\nb\n| h |\n| --- |\n\n"
     for name, body in {"a.xlsx": xlsx, "b.docx": docx, "c.txt": b"\xff", "d.txt": "﻿hi".encode(), "e.exe": b"x", "f.xlsx": b"no"}.items():
         (tmp_path / name).write_bytes(body)
     out = {r.path[-5:]: (r.file_type, r.text is not None, r.error) for r in files.parse(files.read_files(spark, str(tmp_path))).collect()}
@@ -91,6 +94,39 @@ def test_office_files(spark, tmp_path):
     assert out[".xlsx"[-5:]] in (("XLSX", True, None), ("XLSX", False, "SIGNATURE_MISMATCH")) and out[".docx"[-5:]] == ("DOCX", True, None)
 
 
+def test_numbers_as_sheets_show_them():
+    shown = [("0.125", 10, None), ("1234.5", 4, None), ("45000", 14, None), ("3", 0, None), ("0.1", 0, "General"), ("2.5", 1, None), ("1234.567", 164, "#,##0.0"), ("0.5", 165, '0%" of all"'), ("45000.5", 166, "yyyy-mm-dd hh:mm"), ("x", 2, None)]
+    assert [files.number_text(*x) for x in shown] == ["12.50%", "1,234.50", "3/15/23", "3", "0.1", "3", "1,234.6", "50%", "2023-03-15 12:00:00", "x"]
+
+
+def test_every_rule_of_a_data_set(spark, tmp_path):
+    e, bare = {"chunkId": "c"}, {"docName": "d"}
+    rows = {
+        "CATEGORY_MISSING": {"question": "q", "evidence": [e]}, "ANSWERABLE_NO_BOOLEAN": {"question": "q", "category": "DIRECT", "answerable": "maybe"},
+        "EVIDENCE_NOT_ANCHORED": {"question": "q", "category": "DIRECT", "evidence": [e, bare]}, "EVIDENCE_MISSING": {"question": "q", "category": "DIRECT"},
+        "FAILURE_MODE_UNKNOWN": {"question": "q", "category": "DIRECT", "answerable": " FALSE ", "failureMode": "BAD"}, "TEMPTING_NOT_ANCHORED": {"question": "q", "category": "DIRECT", "answerable": "false", "failureMode": "OUT_OF_KB", "temptingEvidence": [e, bare]},
+        "NEGATIVE_FIELDS_NOT_ALLOWED": {"question": "q", "category": "DIRECT", "evidence": [e], "missingRequirement": "m"}, "EVIDENCE_MODE_UNKNOWN": {"question": "q", "category": "DIRECT", "evidence": [e], "evidenceMode": "NONE"},
+        "MULTI_CHUNK_NEEDS_TWO": {"question": "q", "category": "DIRECT", "evidence": [e], "evidenceMode": "MULTI_CHUNK"}, "FOLLOW_UP_NEEDS_HISTORY": {"question": "q", "category": "DIRECT", "evidence": [e], "evidenceMode": "FOLLOW_UP"},
+    }
+    (tmp_path / "r.json").write_text(json.dumps(list(rows.values())))
+    assert [r.errors for r in item_errors(files.read_eval_json(spark, str(tmp_path / "r.json"))).collect()] == [[k] for k in rows]
+
+
+def test_growth_of_text_functions(spark):
+    """Eight times the text takes about eight times as long, not sixty-four."""
+    import time
+
+    def took(work, n):
+        d = spark.createDataFrame([(1, "n", ("word " * 40 + "\f") * n)], "doc_id long, name string, text string")
+        began = time.time()
+        work(d).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    for work in (chunking.length_overlap, files.pages, lambda d: chunking.structure(d, paged=True)):
+        took(work, 100)
+        assert took(work, 80_000) < 20 * max(0.5, took(work, 10_000)), work
+
+
 def test_pdf_routes(spark):
     rows = [(1, "x" * 60), (2, "x" * 10), (3, "x" * 400 + "\f\f"), (4, "�" * 60), (5, "")]
     m = files.pdf_metrics(spark.createDataFrame(rows, "doc_id int, text string")).withColumn("r", files.pdf_route())
@@ -102,7 +138,7 @@ def test_evaluation_files(spark, tmp_path):
     bad = {"question": " ", "category": "X", "answerable": "false", "evidenceMode": "SINGLE_CHUNK", "history": [{"role": "bot", "content": ""}]}
     (tmp_path / "a.json").write_text(json.dumps([good, bad]))
     out = item_errors(files.read_eval_json(spark, str(tmp_path / "a.json"))).collect()
-    assert out[0].errors == [] and out[1].errors == ["QUESTION_BLANK", "CATEGORY_UNKNOWN", "FAILURE_MODE_MISSING", "EVIDENCE_MODE_NOT_ALLOWED", "HISTORY_INVALID"]
+    assert out[0].errors == [] and out[1].errors == ["QUESTION_BLANK", "CATEGORY_UNKNOWN", "HISTORY_INVALID", "EVIDENCE_MODE_NOT_ALLOWED", "FAILURE_MODE_MISSING"]
     (tmp_path / "b.csv").write_text('question,answerable,category,evidence,history\nq,true,DIRECT,"[{""chunkId"": ""c""}]",zzz\n')
     row = item_errors(files.read_eval_csv(spark, str(tmp_path / "b.csv"))).first()
     assert row.errors == [] and row.history is None and row.evidence[0].chunk_id == "c"
