@@ -35,6 +35,8 @@ WORDS = {
 #: Scores without and with such a word. A kind is kept from KEEP on: base kinds always, a ssn only beside a word.
 SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.8), "card": (0.8, 1.0), "phone": (0.6, 0.9), "iban": (0.9, 1.0), "ssn": (0.3, 0.8)}
 KEEP, CONTEXT = 0.5, 40
+#: Matches whose places are summed up together.
+BLOCK = 128
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,39 +77,66 @@ def _confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column, matches: Column) -> Column:
-    """The confirmed spans of a kind as structs, in order of their starts."""
-    gaps = F.split(text, PATTERNS[kind], -1)
-    steps = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    # Places are running sums; a span's text stays with it.
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<at:int,end:int,found:string>>)").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["end"] + s["g"] + F.length(s["m"])).alias("end"),
-            F.when(
-                _confirmed(kind, s["m"]),
-                F.concat(acc["out"], F.array(F.struct((acc["end"] + s["g"]).alias("at"), (acc["end"] + s["g"] + F.length(s["m"])).alias("end"), s["m"].alias("found")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
+def _starts(steps: Column) -> Column:
+    """Where the matches of steps (g, n: lengths of the text before a match and of the match) start: running sums within blocks, and over the blocks, so
+    that no array grows by one element for each match."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+    empty = F.expr("cast(array() as array<int>)")
+    inner = F.transform(
+        blocks,
+        lambda block: F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("end"), empty.alias("at")),
+            lambda acc, s: F.struct((acc["end"] + s["g"] + s["n"]).alias("end"), F.concat(acc["at"], F.array(acc["end"] + s["g"])).alias("at")),
         ),
-        lambda acc: acc["out"],
     )
-    def scored(s):
-        from_ = F.greatest(s["at"] - CONTEXT, F.lit(0))
-        near = F.lower(F.substring(text, from_ + 1, s["at"] - from_)).rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})")
-        plain, beside = SCORES[kind]
-        return F.struct(
-            s["at"].alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            F.lit(kind).alias("kind"),
-            s["end"].alias("end"),
-            F.when(near, F.lit(beside)).otherwise(F.lit(plain)).alias("score"),
-            s["found"].alias("found"),
-        )
-
-    return F.filter(F.transform(placed, scored), lambda s: s["score"] >= KEEP)
+    whole = F.aggregate(
+        inner,
+        F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<array<int>>)").alias("at")),
+        lambda acc, b: F.struct((acc["end"] + b["end"]).alias("end"), F.concat(acc["at"], F.array(F.transform(b["at"], lambda x: x + acc["end"]))).alias("at")),
+    )
+    return F.flatten(whole["at"])
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once: a variable of a function over arrays is a value, where a column may be written out wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(kind: str, text: Column, matches: Column) -> Column:
+    """The confirmed spans of a kind as structs, in order of their starts.
+
+    All steps are linear in the text: what stands before a match is the end of
+    the pieces before it, so the text is never read from its start again.
+    """
+    gaps = F.split(text, PATTERNS[kind], -1)
+
+    def placed(steps):
+        return F.struct(steps.alias("s"), _starts(steps).alias("at"), F.transform(steps, lambda s: _end(F.concat(s["before"], s["m"]))).alias("pieces"))
+
+    def found(all_):
+        each = F.transform(all_["s"], lambda s, i: F.struct(i.alias("i"), F.get(all_["at"], i).alias("at"), s["n"].alias("n"), s["m"].alias("m"), s["before"].alias("before")))
+
+        def scored(s):
+            # A match has four characters at least, so ten pieces hold all that is looked at.
+            pieces = F.slice(all_["pieces"], F.greatest(s["i"] - 9, F.lit(1)), F.least(s["i"], F.lit(10)))
+            near = F.lower(_end(F.concat(F.array_join(pieces, ""), s["before"]))).rlike(rf"(?:^|[^a-z])(?:{WORDS[kind]})")
+            plain, beside = SCORES[kind]
+            score = F.when(near, F.lit(beside)).otherwise(F.lit(plain))
+            return F.struct(s["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (s["at"] + s["n"]).alias("end"), score.alias("score"), s["m"].alias("found"))
+
+        return F.filter(F.transform(F.filter(each, lambda s: _confirmed(kind, s["m"])), scored), lambda s: s["score"] >= KEEP)
+
+    def stepped(pair):
+        return F.zip_with(pair["m"], F.slice(pair["g"], F.lit(1), F.size(pair["m"])), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"), _end(g).alias("before")))
+
+    steps = _let(F.struct(matches.alias("m"), gaps.alias("g")), stepped)
+    return _let(_let(steps, placed), found)
+
+
+def _end(c: Column) -> Column:
+    """The last CONTEXT characters."""
+    return F.substring(c, -CONTEXT, CONTEXT)
 
 
 #: What a text must hold for a kind to be in it at all; a cheap test that spares most texts the patterns.
@@ -124,19 +153,22 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives an empty table; nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kind = "array<struct<start:int,rank:int,kind:string,end:int,score:double,found:string>>"
+    made = "array<struct<start:int,rank:int,kind:string,end:int,score:double,found:string>>"
+
+    def of(kind):
+        return lambda m: F.when(F.size(m) > 0, _spans(kind, F.col("__text"), m)).otherwise(F.expr(f"cast(array() as {made})"))
+
     base = df.select(F.col(id_col), text.alias("__text"))
     for k in KINDS:
         matches = F.when(F.col("__text").rlike(HOLDS[k]), F.regexp_extract_all("__text", F.lit(PATTERNS[k]), 0))
-        spans = F.when(F.size(matches) > 0, _spans(k, F.col("__text"), matches)).otherwise(F.expr(f"cast(array() as {kind})"))
-        base = base.withColumn(f"__{k}", spans)
+        base = base.withColumn(f"__{k}", _let(matches, of(k)))
     return base.select(id_col, F.array_sort(F.concat(*[F.col(f"__{k}") for k in KINDS])).alias("found"))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: its id and `redacted`, the text with each span replaced by its kind in brackets.
 
-    Where spans overlap, one that starts within another already replaced is
+    Rows with equal or null ids are rows of their own. Where spans overlap, one that starts within another already replaced is
     dropped. Null texts stay null.
     """
     text = df.select(F.col(id_col), F.col(text_col).alias("__text"))

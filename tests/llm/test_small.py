@@ -407,6 +407,11 @@ def test_personal_data(spark):
     got = {x.doc_id: [(s.start, s.rank, s.kind, s.end) for s in x.found if s.rank < 4] for x in pii.find_personal_data(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         assert got[i] == base_spans(t or ""), t
+    # Words before a span count if they stand within 40 characters of it, other spans between them included.
+    near = ["call " + "+49 30 1234567 " * n + "+49 30 7654321" for n in (0, 1, 2, 3)] + ["x" * 50 + " fax" + " " * k + "+49 30 7654321" for k in (1, 36, 37, 60)]
+    last = [x.found[-1].score for x in pii.find_personal_data(docs(spark, near)).orderBy("doc_id").collect()]
+    words_ = re.compile(r"(?:^|[^a-z])(?:phone|tel|call|mobile|fax)")
+    assert last == [0.9 if words_.search(t[max(0, len(t) - 14 - 40) : len(t) - 14].lower()) else 0.6 for t in near] and set(last) == {0.6, 0.9}
     more = pii.find_personal_data(docs(spark, ["IBAN DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789"])).orderBy("doc_id").collect()
     assert [[s.kind for s in x.found if s.rank >= 4] for x in more] == [["iban"], [], ["ssn"], []]
     assert more[0].found[0].score > 0.9 and more[0].found[0].found == "DE89 3704 0044 0532 0130 00"
@@ -415,6 +420,20 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_personal_data_in_very_long_texts(spark):
+    """Eight times the spans take about eight times as long; their places are right to the last."""
+    import time
+
+    def took(n):
+        began = time.time()
+        found = pii.find_personal_data(docs(spark, ["mail a@b.cc or call +49 30 1234567; " * n])).first().found
+        assert len(found) == 2 * n and (found[-1].start, found[-2].start) == (36 * n - 16, 36 * n - 31)
+        return time.time() - began
+
+    took(10)
+    assert took(16_000) < 20 * max(0.5, took(2000))
+
+
 # 8 embeddings
 
 
