@@ -87,8 +87,9 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     a null label or a null id link with nothing. Vectors of different lengths
     don't link. Equal vectors are compared once and count as often as they
     occur, rows that repeat an id included. component_id is the smallest id
-    that links reach; a row without links is its own component. An empty table
-    gives an empty table.
+    that links reach; a row without links is its own component. Ids are whole numbers, or texts of such;
+    other ids are an error, as the smallest one names a component. An empty
+    table gives an empty table.
 
     Every candidate is checked, so no link is below the threshold; the tables
     find all but about MISS of those at the threshold and more of the closer

@@ -373,7 +373,9 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     the other is earlier: in a document of a smaller id, or earlier in the same
     one; that the other may go as well does not matter. Null and empty texts
     have no such lines; rows with a null id take no part; of rows that repeat an
-    id, lines of one number count as one. An empty table gives an empty table.
+    id, lines of one number count as one. Ids are whole numbers, or texts of such, as
+    the smaller one comes first; other ids are an error. An empty table gives an
+    empty table.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text")).where("doc is not null")

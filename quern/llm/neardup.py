@@ -283,7 +283,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that shares a band and whose signatures agree enough. Texts of one to four words have one
     shingle; a null or wordless text and a row with a null id are classes of
     their own, and are kept. Of rows that repeat an id and the words, all are
-    kept or none. An empty table gives an empty table.
+    kept or none. Ids are whole numbers, or
+    texts of such; other ids are an error, as the smallest id names a class. An
+    empty table gives an empty table.
 
     The bands find a pair at the similarity with probability 1 - (1 -
     0.8**4)**24, more than 0.99999. Copies with the same words are one node.

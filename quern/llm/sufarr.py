@@ -343,7 +343,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     those of the input. Texts are UTF-8 bytes, null ones empty; no string spans
     two documents. Rows with a null id neither go nor make others go. Of rows
     that repeat an id none is earlier than the other; they should not differ in
-    their texts. An empty table gives an empty table.
+    their texts. Ids are whole numbers, or texts of such, as the smaller
+    one comes first; other ids are an error. An empty table gives an empty
+    table.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text"))
