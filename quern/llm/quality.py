@@ -31,6 +31,8 @@ MARGIN = 0.1
 FOLDS = 8
 #: Bytes of text, about, and most rows of a block of documents, whose n-grams are looked up together. A text is never cut.
 BLOCK_BYTES, BLOCK_ROWS = 6 << 20, 100_000
+#: Bytes of text whose n-grams are held at once, about.
+SLICE = 1 << 19
 #: Shards of the model; and the blocks that one copy of a shard serves, so that more blocks take more tasks.
 SHARDS, SERVED = 256, 32_768
 
@@ -52,21 +54,26 @@ def count_grams(texts: DataFrame, text_col: str = "text", order: int = ORDER) ->
     """gram, n: occurrences in all texts. Each task sums what it reads before anything is shuffled."""
 
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts, held = [], [], 0
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
+        def merged():
+            both, back = np.unique(np.concatenate(keys), return_inverse=True)
+            return both, np.bincount(back, np.concatenate(counts), len(both)).astype(np.int64)
 
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, SLICE):
                 k, c = np.unique(grams(*buffers(batch.column(0)), order), return_counts=True)
-                both, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                keys, counts = both, np.bincount(back, np.concatenate([counts, c]), len(both)).astype(np.int64)
-                if len(keys) > 4_000_000:
-                    yield rows()
-                    keys, counts = keys[:0], counts[:0]
-        if len(keys):
-            yield rows()
+                keys.append(k)
+                counts.append(c)
+                held += len(k)
+                if held > 1_000_000:
+                    k, c = merged()
+                    keys, counts, held = [k], [c], 0
+                    if len(k) > 2_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["gram", "n"])
+                        keys, counts = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], names=["gram", "n"])
 
     return texts.select(utf8(text_col).alias("__text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -213,7 +220,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ())
     return blocks
 
 
-def unpack(rows: pa.BinaryScalar, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def unpack(rows: pa.BinaryScalar, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The rows of a block in slices."""
     for whole in pa.ipc.open_stream(pa.BufferReader(rows.as_buffer())):
         yield from slices(whole, whole.num_columns - 1, most)
