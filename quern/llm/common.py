@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,20 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa
         at = end
 
 
+def giving_back(run):
+    """run, a function over batches, after which the worker gives back what it no longer needs: the next task may be another stage's."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U64)
     if n:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import buffers, lower_bytes, slices, span_hashes, utf8, words
+from quern.llm.common import buffers, giving_back, lower_bytes, slices, span_hashes, utf8, words
 
 #: Words of a passage, and from one passage's start to the next. Items of more than LONG words are searched by their own passages.
 PASSAGE, STRIDE, LONG = 64, 32, 96
@@ -154,7 +154,7 @@ def _search(texts: DataFrame, names: pa.Array, item_texts: list[bytes], schema:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
-    got = texts.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.select("text").mapInArrow(giving_back(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(v + 1, np.int64)
     df[got["term"].to_numpy()] = got["n"].to_numpy()
     total, df = int(df[v]), df[:v]
@@ -204,8 +204,8 @@ def _search(texts: DataFrame, names: pa.Array, item_texts: list[bytes], schema:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["term", "z"])
 
     z = np.zeros(omega.shape)
-    parts = texts.select("text").mapInArrow(sketch, "term long, z binary").repartition(partitions, "term").sortWithinPartitions("term")
-    for r in parts.mapInArrow(added, "term long, z binary").collect():
+    parts = texts.select("text").mapInArrow(giving_back(sketch), "term long, z binary").repartition(partitions, "term").sortWithinPartitions("term")
+    for r in parts.mapInArrow(giving_back(added), "term long, z binary").collect():
         z[r.term : r.term + TERMS] = np.frombuffer(r.z).reshape(-1, z.shape[1])
     # The items are rows of the matrix too, so that those which occur once or never have their place in the space.
     ui, ut = np.repeat(np.arange(len(each)), [len(x) for x in each]), slot[_term(vocabulary, np.concatenate(each))]
@@ -271,7 +271,7 @@ def _search(texts: DataFrame, names: pa.Array, item_texts: list[bytes], schema:
                     rows, own, *values = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), names.take(pa.array(own)), *[pa.array(x, pa.float64()) for x in values]], names=schema.names)
 
-    return texts.mapInArrow(search, schema)
+    return texts.mapInArrow(giving_back(search), schema)
 
 
 def _add_gram(z: np.ndarray, p: np.ndarray, t: np.ndarray, w: np.ndarray, omega: np.ndarray, step: int = 20_000) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, cut, forest, group_bounds, lower_bytes, mix, slices, span_hashes, utf8, whole_runs, words
+from quern.llm.common import U64, buffers, cut, forest, giving_back, group_bounds, lower_bytes, mix, slices, span_hashes, utf8, whole_runs, words
 
 #: Least similarity, and the least number of distinct words of a line that takes part.
 SIMILARITY, LEAST_WORDS = 0.8, 5
@@ -30,7 +30,7 @@ HOT = 1 << 15
 #: Pairs of a word's lines that are held at once, about; more are reduced to what they connect.
 PAIRS = 1 << 21
 #: Lines that a task remembers, about.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def read_lines(data: np.ndarray, offs: np.ndarray):
@@ -64,7 +64,7 @@ def frequency_sketch(df: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-    got = df.select(utf8(text_col).alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    got = df.select(utf8(text_col).alias("text")).mapInArrow(giving_back(run), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[got["i"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -138,7 +138,7 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
     hot, alike = int(min(255, 6 * np.log2(1 + HOT))), _alike(t)
 
     def run(batches):
-        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        seen = [np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # hashes of sets, rising, and where they stand
         for whole in batches:
             for batch in slices(whole, 1, CHUNK_BYTES):
                 data, offs = buffers(batch.column(1))
@@ -162,14 +162,18 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 other = ~fresh & ((doc[use] != doc[lead]) | (number[use] != number[lead]))
                 gone, use, a, b = use[other], use[fresh], a[fresh], b[fresh]
                 # And those that repeat an earlier line of this task; what is forgotten is found later.
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                again = np.zeros(len(use), bool)
-                for k, (key, place) in enumerate(zip(zip(a.tolist(), b.tolist(), strict=True), zip(doc[use].tolist(), number[use].tolist(), strict=True), strict=True)):
-                    if seen.setdefault(key, place) < place:
-                        again[k] = True
-                    else:
-                        seen[key] = place
+                if len(seen[0]) > REMEMBERED:
+                    seen = [x[:0] for x in seen]
+                at = np.searchsorted(seen[0], a)
+                i = np.minimum(at, len(seen[0]) - 1)
+                known = (seen[0][i] == a) & (seen[1][i] == b) if len(seen[0]) else np.zeros(len(a), bool)
+                where, line_no = doc[use], number[use]
+                again = known.copy()
+                again[known] = (seen[2][i[known]] < where[known]) | ((seen[2][i[known]] == where[known]) & (seen[3][i[known]] < line_no[known]))
+                first_ = np.flatnonzero(known & ~again)
+                seen[2][i[first_]], seen[3][i[first_]] = where[first_], line_no[first_]
+                fresh = np.flatnonzero(~known)
+                seen = [np.insert(x, at[fresh], y[fresh]) for x, y in zip(seen, (a, b, where, line_no), strict=True)]
                 gone, use, a = np.concatenate([gone, use[again]]), use[~again], a[~again]
                 if len(gone):
                     none = pa.array(np.zeros(len(gone), np.int64))
@@ -380,20 +384,20 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text")).where("doc is not null")
     classes = _classes(frequency_sketch(docs))
-    rows = docs.mapInArrow(_prefixes(classes, similarity, least_words), ROWS)
-    members = cut(rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_groups(similarity), GROUPS), "groups")
+    rows = docs.mapInArrow(giving_back(_prefixes(classes, similarity, least_words)), ROWS)
+    members = cut(rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(giving_back(_groups(similarity)), GROUPS), "groups")
     equal = members.where("head_line < 0").select("doc", "line")
     kept = cut(members.where("head_line >= 0").distinct(), "members")
     large = cut(kept.groupBy("head_doc", "head_line").count().where(F.col("count") > BLOCK).select("head_doc", "head_line", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "large")
     asked = kept.groupBy("doc").agg(F.collect_set("line").alias("asked"))
-    sets = cut(docs.join(asked.hint("merge"), "doc").mapInArrow(_line_sets(classes), "doc long, line long, set binary").dropDuplicates(["doc", "line"]), "sets")
+    sets = cut(docs.join(asked.hint("merge"), "doc").mapInArrow(giving_back(_line_sets(classes)), "doc long, line long, set binary").dropDuplicates(["doc", "line"]), "sets")
     # Few groups are large, so that their table says itself how it is joined.
     spread = kept.join(large, ["head_doc", "head_line"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     spread = spread.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("long"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(sets, ["doc", "line"])
     i, j = F.least("own", "other"), F.greatest("own", "other")
     keyed = spread.select(F.xxhash64("head_doc", "head_line", i, j).alias("key"), F.col("head_doc").alias("g"), F.col("head_line").alias("h"), i.alias("i"), j.alias("j"), "own", "doc", "line", "set")
-    similar = keyed.repartition(n, "key").sortWithinPartitions("key", "g", "h", "i", "j").mapInArrow(_decide(similarity), "doc long, line long")
+    similar = keyed.repartition(n, "key").sortWithinPartitions("key", "g", "h", "i", "j").mapInArrow(giving_back(_decide(similarity)), "doc long, line long")
     return cut(equal.unionByName(similar).distinct(), "later")
 
 
@@ -424,4 +428,4 @@ def remove_lines(df: DataFrame, later: DataFrame, id_col: str = "doc_id", text_c
                 columns[at] = pa.array(out, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select("row.*", "later.gone").mapInArrow(run, df.schema)
+    return joined.select("row.*", "later.gone").mapInArrow(giving_back(run), df.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, components, cut, forest, group_bounds, mix, slices, span_hashes, utf8, whole_runs, words
+from quern.llm.common import U64, buffers, components, cut, forest, giving_back, group_bounds, mix, slices, span_hashes, utf8, whole_runs, words
 
 #: Words of a shingle, least similarity, bands, and coordinates of a band.
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 24, 4
@@ -106,7 +106,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, BANDS, dtype=np.int32), pa.array(band.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists, pa.array([s.tobytes() for s in small], pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def _agreeing(sig: np.ndarray, own: np.ndarray | None, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def candidates(unique: DataFrame) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(len(left), k) for k in types[:2]], *[pa.array(c[left], k) for c, k in zip((band, value, i, j, blocks), types[2:], strict=True)]], names=names)
 
-    return _keyed(_members(unique), unique.select("rep", "sig")).mapInArrow(run, "x long, y long, band int, value long, i int, j int, blocks int").distinct()
+    return _keyed(_members(unique), unique.select("rep", "sig")).mapInArrow(giving_back(run), "x long, y long, band int, value long, i int, j int, blocks int").distinct()
 
 
 def further_links(unique: DataFrame, sets: DataFrame, left: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -256,7 +256,7 @@ def further_links(unique: DataFrame, sets: DataFrame, left: DataFrame, classes:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(rep[lo:hi][a]), pa.array(rep[lo:hi][b])], names=["a", "b"])
 
-    return _keyed(_apart(unique, left, classes), unique.select("rep", "sig").join(sets, "rep")).mapInArrow(run, "a long, b long")
+    return _keyed(_apart(unique, left, classes), unique.select("rep", "sig").join(sets, "rep")).mapInArrow(giving_back(run), "a long, b long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(cell.astype(np.int64)))], names=["rep", "cells"])
 
-    return docs.mapInArrow(run, "rep long, cells array<long>")
+    return docs.mapInArrow(giving_back(run), "rep long, cells array<long>")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, group_bounds, mix, slices, utf8
+from quern.llm.common import U64, buffers, giving_back, group_bounds, mix, slices, utf8
 from quern.shared import cut, new_path
 
 #: Bytes of an n-gram, at most 7.
@@ -75,7 +75,7 @@ def count_grams(texts: DataFrame, text_col: str = "text", order: int = ORDER) ->
         if keys:
             yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], names=["gram", "n"])
 
-    return texts.select(utf8(text_col).alias("__text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select(utf8(text_col).alias("__text")).mapInArrow(giving_back(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -214,7 +214,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ())
     buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), known >> 27 if known < 1 << 60 else 0))
     path = new_path(spark, "blocks")
     name = "quern_" + path.rpartition("-")[2]
-    source.mapInArrow(run, schema).write.format("parquet").bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
+    source.mapInArrow(giving_back(run), schema).write.format("parquet").bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only: the files stay where they are
     return blocks
@@ -241,7 +241,7 @@ def _texts(packed: DataFrame, ids: DataFrame) -> DataFrame:
                     if len(use):
                         yield pa.RecordBatch.from_arrays([part.column(part.num_columns - 1).take(pa.array(use))], names=["text"])
 
-    return packed.join(wanted.hint("shuffle_hash"), "block").select("rows", "wanted").mapInArrow(run, "text binary")
+    return packed.join(wanted.hint("shuffle_hash"), "block").select("rows", "wanted").mapInArrow(giving_back(run), "text binary")
 
 
 def shard_of(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -338,9 +338,9 @@ def _perplexities(packed: DataFrame, model: DataFrame, columns: list[T.StructFie
     small = np.empty(len(few), ENTRY)
     small["kind"], small["key"], small["value"] = (few[c].to_numpy() for c in ("kind", "key", "value"))
     entries = model.where("abs(kind) > 2").select(F.col("kind").cast("tinyint"), "key", F.col("value").cast("float"))
-    asked = packed.select("block", "rows").mapInArrow(_deal_grams(copies, order), DEALT)
-    dealt = entries.mapInArrow(_deal_model(copies), DEALT).unionByName(asked)
-    found = dealt.repartition(n, "part").sortWithinPartitions("part", "tag").mapInArrow(_resolve(small, order), "block long, grams binary, logs binary")
+    asked = packed.select("block", "rows").mapInArrow(giving_back(_deal_grams(copies, order)), DEALT)
+    dealt = entries.mapInArrow(giving_back(_deal_model(copies)), DEALT).unionByName(asked)
+    found = dealt.repartition(n, "part").sortWithinPartitions("part", "tag").mapInArrow(giving_back(_resolve(small, order)), "block long, grams binary, logs binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("grams", "logs")).alias("found"))
     schema = T.StructType([*columns, T.StructField("n_bytes", T.LongType()), T.StructField("perplexity", T.DoubleType())])
 
@@ -359,7 +359,7 @@ def _perplexities(packed: DataFrame, model: DataFrame, columns: list[T.StructFie
                         value = np.exp(-(sums[offs[1:]] - sums[offs[:-1]]) / count)
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(count), pa.array(value, mask=count == 0)], names=schema.names)
 
-    return packed.join(found.hint("shuffle_hash"), "block", "left").select("rows", "found").mapInArrow(run, schema)
+    return packed.join(found.hint("shuffle_hash"), "block", "left").select("rows", "found").mapInArrow(giving_back(run), schema)
 
 
 def perplexities(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), order: int = ORDER) -> DataFrame:

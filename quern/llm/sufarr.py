@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import U64, buffers, cut, group_bounds, mix, slices, span_hashes, utf8, whole_runs
+from quern.llm.common import U64, buffers, cut, giving_back, group_bounds, mix, slices, span_hashes, utf8, whole_runs
 
 #: Bytes of a string that may not repeat, and of an anchor.
 LENGTH, GRAM = 100, 24
@@ -350,17 +350,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("text"))
     known = docs.where("doc is not null")
-    rows = known.mapInArrow(_find, ROWS)
-    met = cut(rows.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(_meet, ROWS), "met")
+    rows = known.mapInArrow(giving_back(_find), ROWS)
+    met = cut(rows.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(giving_back(_meet), ROWS), "met")
     asked = met.where(F.col("kind") == FETCH).groupBy("doc").agg(F.collect_list(F.struct("at", F.col("fh").alias("mh"))).alias("asked"))
-    fetched = known.join(asked.hint("merge"), "doc").select("doc", "text", "asked").mapInArrow(_cut_out, ROWS)
+    fetched = known.join(asked.hint("merge"), "doc").select("doc", "text", "asked").mapInArrow(giving_back(_cut_out), ROWS)
     fragments = cut(fetched.unionByName(met.where(F.col("kind") == FRAGMENT)).select(F.col("fh").alias("mh"), "doc", "at", "frag"), "fragments")
     hot = cut(fragments.groupBy("mh").count().where(F.col("count") > HOT).select("mh"), "hot")
     cold = fragments.join(hot, "mh", "left_anti").repartition(n, "mh").sortWithinPartitions("mh")
-    gone = met.where(F.col("kind") == REMOVED).unionByName(cold.mapInArrow(_by_suffixes, ROWS))
+    gone = met.where(F.col("kind") == REMOVED).unionByName(cold.mapInArrow(giving_back(_by_suffixes), ROWS))
     if hot.limit(1).count():
-        strings = fragments.join(hot, "mh", "left_semi").select("doc", "at", "frag").mapInArrow(_strings, ROWS)
-        gone = gone.unionByName(strings.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(_first_string, ROWS))
+        strings = fragments.join(hot, "mh", "left_semi").select("doc", "at", "frag").mapInArrow(giving_back(_strings), ROWS)
+        gone = gone.unionByName(strings.repartition(n, "mh").sortWithinPartitions("mh", "kind", "fh", "doc", "at").mapInArrow(giving_back(_first_string), ROWS))
     spans = gone.groupBy("doc").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("fh").alias("hi"))).alias("spans"))
     source = docs.join(spans.hint("merge"), "doc", "left").select("doc", "text", "spans")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
@@ -385,4 +385,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(left.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in (np.diff(offs), removed, np.bincount(row, minlength=batch.num_rows).astype(np.int64))], kept], names=schema.names)
 
-    return source.mapInArrow(finish, schema)
+    return source.mapInArrow(giving_back(finish), schema)
