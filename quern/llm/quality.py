@@ -50,8 +50,8 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
     return keys[at].astype(np.int64)
 
 
-def count_grams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """gram, n: occurrences in all texts. Each task sums what it reads before anything is shuffled."""
+def _counted(order: int):
+    """gram, n of the texts in the first column, summed by task before anything is shuffled."""
 
     def run(batches):
         keys, counts, held = [], [], 0
@@ -75,11 +75,22 @@ def count_grams(texts: DataFrame, text_col: str = "text", order: int = ORDER) ->
         if keys:
             yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], names=["gram", "n"])
 
-    return texts.select(utf8(text_col).alias("__text")).mapInArrow(giving_back(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return run
+
+
+def count_grams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """gram, n: occurrences in all texts."""
+    parts = texts.select(utf8(text_col).alias("__text")).mapInArrow(giving_back(_counted(order)), "gram long, n long")
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """The model as rows (kind, key, value).
+    """The model of all texts, as fit_counts gives it."""
+    return fit_counts(count_grams(texts, text_col, order), order)
+
+
+def fit_counts(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model as rows (kind, key, value) from (gram, n), the n-grams of `order` bytes.
 
     Kind k, 1 to order: the natural logarithm of the interpolated probability of
     the last byte of n-gram `key` of k bytes after the others. Kind -k: that of
@@ -87,7 +98,7 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFra
     bytes. N-grams that are not there have the weight of their context times
     the probability of one order less, and below order 1 stands 1 / 256.
     """
-    now = cut(count_grams(texts, text_col, order), "grams")
+    now = cut(counted, "grams")
     counts = {order: now}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct bytes before
         counts[k] = counts[k + 1].groupBy(F.expr(f"gram & {(1 << 8 * k) - 1}").alias("gram")).agg(F.count("*").alias("n"))
@@ -227,21 +238,23 @@ def unpack(rows: pa.BinaryScalar, most: int = SLICE) -> Iterator[pa.RecordBatch]
     pa.default_memory_pool().release_unused()
 
 
-def _texts(packed: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the rows whose ids are in ids (one distinct column). Only the ids travel: to the numbers of their rows in a block, and these to the block."""
+def _count_chosen(packed: DataFrame, ids: DataFrame, order: int) -> DataFrame:
+    """gram, n of the rows whose ids are in ids (one distinct column). Only the ids travel: to the numbers of their rows in a block, and these to the block."""
     wanted = packed.select("block", F.posexplode("ids").alias("i", "id")).join(ids.toDF("id"), "id").groupBy("block").agg(F.collect_list("i").alias("wanted"))
 
-    def run(batches):
+    def chosen(batches):
         for batch in batches:
             for rows, mine in zip(batch.column(0), batch.column(1), strict=True):
-                chosen, at = np.sort(mine.values.to_numpy()), 0
+                numbers, at = np.sort(mine.values.to_numpy()), 0
                 for part in unpack(rows):
-                    use = chosen[np.searchsorted(chosen, at) : np.searchsorted(chosen, at + part.num_rows)] - at
+                    use = numbers[np.searchsorted(numbers, at) : np.searchsorted(numbers, at + part.num_rows)] - at
                     at += part.num_rows
                     if len(use):
                         yield pa.RecordBatch.from_arrays([part.column(part.num_columns - 1).take(pa.array(use))], names=["text"])
 
-    return packed.join(wanted.hint("shuffle_hash"), "block").select("rows", "wanted").mapInArrow(giving_back(run), "text binary")
+    run = _counted(order)
+    parts = packed.join(wanted.hint("shuffle_hash"), "block").select("rows", "wanted").mapInArrow(giving_back(lambda batches: run(chosen(batches))), "gram long, n long")
+    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def shard_of(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -392,7 +405,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
     aside = F.pmod(F.xxhash64("__id"), F.lit(FOLDS)) == 0
     packed = pack(df, id_col, text_col, (lang_col,))
-    model = fit(_texts(packed, trusted.where(~aside)), "text", order)
+    model = fit_counts(_count_chosen(packed, trusted.where(~aside), order), order)
     columns = [T.StructField("__id", df.schema[id_col].dataType), T.StructField("__lang", df.schema[lang_col].dataType)]
     scored = cut(_perplexities(packed, model, columns, order), "perplexities")
     level = F.log("perplexity") - SHORT / F.sqrt(F.greatest(F.col("n_bytes"), F.lit(1)))
