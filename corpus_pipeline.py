@@ -80,12 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again, and what a stage wrote on its way is deleted then."""
+    """All stages over documents; each result is written to the shared folder and read again, and what a stage wrote and shuffled on its way goes then."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         made = len(shared.WRITTEN)
         docs = shared.cut(stage(spark, docs, sf_dir), f"stage-{name}")
         *used, now = shared.WRITTEN[made:]
         shared.delete(spark, used + ([before] if before else []))
+        shared.release(spark)
         before = now
     return docs

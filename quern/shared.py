@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
             WRITTEN.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans that are done: what their shuffles left on the executors' disks goes once nothing refers to it."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all tables of this process; results that still read them fail afterwards."""
     delete(spark, list(WRITTEN))
