@@ -30,7 +30,7 @@ HOT = 1 << 15
 #: Pairs of a word's lines that are held at once, about; more are reduced to what they connect.
 PAIRS = 1 << 21
 #: Lines that a task remembers, about.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def read_lines(data: np.ndarray, offs: np.ndarray):
@@ -186,13 +186,12 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
                 place = np.arange(p.sum()) - np.repeat(np.append(0, np.cumsum(p))[:-1], p)
                 word = h[first[owner] + place]
                 # The shortest lines meet equal ones at their whole sets; a frequent word's lines meet by lengths too, each those of its own class and of the next.
-                often = classes[(word % U64(COUNTERS)).astype(np.int64)] >= hot
-                size = np.floor(np.log(n[owner]) / -np.log(t) + 1e-9).astype(U64) if t < 1 else n[owner].astype(U64)
-                whole_ = np.repeat(a, p)
                 short = n[owner] <= alike
-                key = np.where(short, whole_, np.where(often, mix(word ^ (size * U64(0x9E3779B97F4A7C15))), word))
-                again = np.flatnonzero(often & ~short)
-                key = np.concatenate([key, mix(word[again] ^ ((size[again] + U64(1)) * U64(0x9E3779B97F4A7C15)))]).astype(np.int64)
+                again = np.flatnonzero((classes[(word % U64(COUNTERS)).astype(np.int64)] >= hot) & ~short)
+                size = np.floor(np.log(n[owner[again]]) / -np.log(t) + 1e-9).astype(U64) if t < 1 else n[owner[again]].astype(U64)
+                key = np.where(short, np.repeat(a, p), word)
+                key[again] = mix(word[again] ^ (size * U64(0x9E3779B97F4A7C15)))
+                key = np.concatenate([key, mix(word[again] ^ ((size + U64(1)) * U64(0x9E3779B97F4A7C15)))]).astype(np.int64)
                 at = _pack(number[owner], n[owner], place)
                 rest = (np.concatenate([x, x[again]]) for x in (doc[owner], at, low[owner].astype(np.int64), high[owner].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (key, *rest))], names=ROWS.names)
