@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity
+from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity, triebpe
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, MERGES = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = triebpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(MERGES), with_decoded=True)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup, op12_trie_bpe)}
 
 
 #: Brute force within labels; components by the closure of links.
