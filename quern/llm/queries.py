@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity, triebpe
+from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity, triebpe, whitening
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -74,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,7 +86,7 @@ def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup, op12_trie_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup, op11_whitening, op12_trie_bpe)}
 
 
 #: Brute force within labels; components by the closure of links.
