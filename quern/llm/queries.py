@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontam, embdup, linedup, neardup, pii, quality, sharding, sufarr, toxicity, triebpe, whitening
+from quern.llm import bpe, decontam, embdup, hardneg, linedup, neardup, pii, quality, sharding, sufarr, toxicity, triebpe, whitening
 from quern.llm.common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -85,8 +85,13 @@ def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", label_col=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup, op11_whitening, op12_trie_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_minhash_near_dedup, op4_quality, op5_toxicity, op6_byte_bpe, op7_pii, op8_embedding_near_dedup, op9_suffix_array_dedup, op10_line_dedup, op11_whitening, op12_trie_bpe, op13_hard_negatives)}
 
 
 #: Brute force within labels; components by the closure of links.
@@ -112,6 +117,18 @@ SELECT d.doc_id, count(g.no) AS n_removed, coalesce(string_agg(CAST(g.no AS VARC
 """
 
 
+#: All anchors against all rows; sums of integers are exact in doubles.
+NEGATIVE_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS r
+    FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3
+"""
+
+
 def shard_sql() -> str:
     """Place of a key by its MD5, and the shard in that place of the table, which is given as it is filled by turns."""
     owners = ",".join(map(str, sharding.lookup_table(SHARDS).tolist()))
@@ -123,4 +140,4 @@ SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1], 3, '0') AS shard FROM k,
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express; the others are tested against brute force."""
-    return {"op1_sharding": shard_sql(), "op8_embedding_near_dedup": EMBEDDING_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_sharding": shard_sql(), "op8_embedding_near_dedup": EMBEDDING_SQL, "op10_line_dedup": LINE_SQL, "op13_hard_negatives": NEGATIVE_SQL}
