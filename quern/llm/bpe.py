@@ -14,6 +14,8 @@ from quern.llm.common import slices, utf8
 
 #: Characters of a text that are handed to the library at once, about.
 PIECE = 1 << 16
+#: White space in one run that is taken as the pattern would, without the pattern.
+RUN = 1 << 12
 _CODERS: dict = {}
 
 
@@ -49,10 +51,29 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
+def parts(text: str, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """text in pieces that encode apart, and whether a piece is one match: all of a long run of white space but a last one before ink.
+
+    The pattern takes these as one match, by looking ahead and back again,
+    which the library does in as many nested calls as the run has characters.
+    """
+    import regex
+
+    at = 0
+    for found in regex.finditer(rf"\s{{{run},}}+", text):
+        end = found.end() - (found.end() < len(text))
+        if found.start() > at:
+            yield from ((p, False) for p in safe_pieces(text[at : found.start()]))
+        yield text[found.start() : end], True
+        at = end
+    if at < len(text):
+        yield from ((p, False) for p in safe_pieces(text[at:]))
+
+
 def encode_text(text: str, enc) -> list[int]:
     if len(text) <= PIECE:
         return enc.encode_ordinary(text)
-    return [token for piece in safe_pieces(text) for token in enc.encode_ordinary(piece)]
+    return [token for piece, match in parts(text) for token in (enc._encode_single_piece(piece) if match else enc.encode_ordinary(piece))]
 
 
 def _run(fn, df: DataFrame, id_col: str, in_col, out_fields: list[T.StructField]) -> DataFrame:
@@ -74,8 +95,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     Null and empty texts have no ids. Bytes that are no UTF-8 are read as
     U+FFFD. Special tokens are never made. Rows with equal or null ids are rows
     of their own; an empty table gives an empty table. Texts of any length are
-    cut only where the pattern always splits (safe_pieces), so ids are those
-    of the whole text.
+    cut only where the pattern always splits (parts, safe_pieces), so ids are
+    those of the whole text; a run of white space of any length is one piece.
     """
     import numpy as np
 

@@ -383,6 +383,25 @@ def test_very_long_texts():
         assert enc.decode_bytes(bpe.encode_text(text, enc)).decode() == text
 
 
+@given(st.text(alphabet="aé1 \n\t\u3000\xa0'.s日", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_runs_of_white_space_are_one_match(text):
+    enc = bpe.coder(PATH, PATTERN)
+    got = [i for p, match in bpe.parts(text, 3) for i in (enc._encode_single_piece(p) if match else enc.encode_ordinary(p))]
+    assert got == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" " * 5_000_000, "\t" * 5_000_000, " \n\t\u3000" * 1_250_000, "\n" * 5_000_000])
+def test_white_space_of_any_length(run):
+    """By the pattern: all but the last character before a letter are a match, and all of them at the end."""
+    enc = bpe.coder(PATH, PATTERN)
+    for text in (run + "letter", "letter" + run, "a " + run + " b" + run + "1"):
+        want = [t for m in regex.finditer(PATTERN, text) for t in enc._encode_single_piece(m[0])]
+        assert bpe.encode_text(text, enc) == want
+    short = run[:300_000] + "x y"
+    assert bpe.encode_text(short, enc) == enc.encode_ordinary(short)
+
+
 # 7 personal data
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
