@@ -29,12 +29,15 @@ def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vocabulary(queries: DataFrame) -> list[str]:
+Tokenizer = Callable[[str], Column]
+
+
+def vocabulary(queries: DataFrame, tokenizer: Tokenizer = tokens) -> list[str]:
     """The distinct words of a query set, in order."""
-    return sorted(r[0] for r in queries.select(F.explode(tokens("text")).alias("term")).distinct().collect())
+    return sorted(r[0] for r in queries.select(F.explode(tokenizer("text")).alias("term")).distinct().collect())
 
 
-def index(docs: DataFrame, words: list[str]) -> DataFrame:
+def index(docs: DataFrame, words: list[str], tokenizer: Tokenizer = tokens) -> DataFrame:
     """(doc_id, length, terms, tfs): for each document its number of words and, of those in `words`, places and occurrences.
 
     A document's words are counted where it is read, so nothing is shuffled.
@@ -55,7 +58,7 @@ def index(docs: DataFrame, words: list[str]) -> DataFrame:
             lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, tf)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(length.astype(np.int32)), *lists], names=["doc_id", "length", "terms", "tfs"])
 
-    return docs.select("doc_id", tokens("text").alias("terms")).mapInArrow(run, f"doc_id {id_type}, length int, terms array<int>, tfs array<int>")
+    return docs.select("doc_id", tokenizer("text").alias("terms")).mapInArrow(run, f"doc_id {id_type}, length int, terms array<int>, tfs array<int>")
 
 
 def statistics(indexed: DataFrame, words: int) -> tuple[int, float, np.ndarray]:
@@ -86,8 +89,8 @@ def document_frequencies(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df")).withColumns({c: stats.select(c).scalar() for c in ("n", "avgdl")})
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k best documents of each query by BM25 over the words they share (any of them).
+def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenizer: Tokenizer = tokens) -> DataFrame:
+    """The k best documents of each query by BM25 over the words they share (any of them), as the tokenizer splits texts into words.
 
     The texts are read once, into an index by document that is written down;
     statistics and scores come from it. Queries go to the tasks in blocks of a
@@ -96,12 +99,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     key.
     """
     spark, id_type, q_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    words = vocabulary(queries)
+    words = vocabulary(queries, tokenizer)
     place = {w: i for i, w in enumerate(words)}
-    indexed = cut(index(docs, words), "index")
+    indexed = cut(index(docs, words, tokenizer), "index")
     n, mean, df = statistics(indexed, len(words))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    asked = queries.select("query_id", F.array_distinct(tokens("text")).alias("terms")).orderBy("query_id").collect()
+    asked = queries.select("query_id", F.array_distinct(tokenizer("text")).alias("terms")).orderBy("query_id").collect()
     parts = []
     for at in range(0, len(asked), QUERIES):
         block = asked[at : at + QUERIES]

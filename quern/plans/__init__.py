@@ -1,11 +1,13 @@
 """The catalogue of queries by name, and the SQL of those that SQL can express."""
 
-from quern.plans import chunks, library, more, search
+from quern.plans import chunks, library, more, search, segmented
+
+_PARTS = (search, library, chunks, more, segmented)
 
 
 def queries():
-    return search.QUERIES | library.QUERIES | chunks.QUERIES | more.QUERIES
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return search.SQL | library.SQL | chunks.SQL | more.SQL
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
