@@ -159,12 +159,21 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant:
 
     Queries go to the tasks in blocks of a fixed number; vectors are scored in
     runs that bound the scores held at once, and each run keeps its k best of
-    each query before anything is shuffled.
+    each query before anything is shuffled. With tenant, vectors of tenants that
+    no query of a block asks for are not read, and no query is multiplied with
+    another tenant's vectors.
+
+    Null vectors find nothing and are not found. All queries must have one
+    length, and a vector of another one is an error that names it; so is a null
+    or NaN among its numbers. Equal ids are rows of their own.
     """
     cols = ["query_id", "vector", *["kb_id"] * tenant]
     spark, id_type, q_type = vectors.sparkSession, vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     asked = queries.select(*cols).where("vector is not null")
     source = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), *["kb_id"] * tenant).where("vector is not null")
+    sizes = asked.groupBy(F.size("vector").alias("d")).count().orderBy("d").limit(2).collect()
+    if len(sizes) > 1:
+        raise ValueError(f"questions have vectors of {sizes[0].d} and of {sizes[1].d} numbers")
     n = asked.count()
     parts = []
     for at in range(max(1, -(-n // QUERIES)) if n else 0):
@@ -179,24 +188,36 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant:
             for whole in batches:
                 for lo in range(0, whole.num_rows, step := max(1, (1 << 21) // len(names))):
                     b = whole.slice(lo, step)
-                    ids = b.column(0).to_numpy(zero_copy_only=False)
-                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b, q.shape[1])
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    score = ((1 + q @ x.T) / 2).round(6)
-                    if kb is not None:
-                        score[kb[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -1
-                    # Ties of the k-th score stay until the ids decide.
-                    if b.num_rows > k:
-                        least = np.partition(score, b.num_rows - k, axis=1)[:, b.num_rows - k]
-                        i, j = np.nonzero((score >= least[:, None]) & (score >= 0))
-                    else:
-                        i, j = np.nonzero(score >= 0)
-                    yield _best(names[i], ids[j], score[i, j], k)
-
-        parts.append(source.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
+                    theirs = np.array(b.column(2).to_pylist(), object) if kb is not None else None
+                    for t in [None] if kb is None else sorted(set(theirs) & set(kb)):
+                        rows, mine = (np.arange(b.num_rows), np.arange(len(names))) if t is None else (np.flatnonzero(theirs == t), np.flatnonzero(kb == t))
+                        score = ((1 + q[mine] @ x[rows].T) / 2).round(6)
+                        # Ties of the k-th score stay until the ids decide.
+                        least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.zeros(len(mine))
+                        i, j = np.nonzero(score >= least[:, None])
+                        yield _best(names[mine[i]], ids[rows[j]], score[i, j], k)
+
+        here = source.where(F.col("kb_id").isin(sorted({r["kb_id"] for r in block} - {None}))) if tenant else source
+        parts.append(here.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
     return _merged(spark, parts, q_type, id_type, k)
 
 
+def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
+    """The vectors of a batch (id, vector, ...), all of d numbers."""
+    column = batch.column(1)
+    size = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    bad = np.flatnonzero(size != d)
+    if bad.size:
+        raise ValueError(f"the vector of {batch.column(0)[int(bad[0])].as_py()} has {size[bad[0]]} numbers, the questions' have {d}")
+    x = flat.reshape(batch.num_rows, d)
+    if (odd := np.flatnonzero(np.isnan(x).any(axis=1))).size:
+        raise ValueError(f"the vector of {batch.column(0)[int(odd[0])].as_py()} holds something that is no number")
+    return x
+
+
 def first_ranks(channel: DataFrame) -> DataFrame:
     """A channel whose ids may repeat, each at its first rank."""
     return channel.groupBy("query_id", "id").agg(F.min("rank").alias("rank"), F.min_by("score", "rank").alias("score"))
