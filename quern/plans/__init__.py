@@ -1,8 +1,8 @@
 """The catalogue of queries by name, and the SQL of those that SQL can express."""
 
-from quern.plans import approximate, chunks, library, more, search, segmented
+from quern.plans import approximate, chunks, indexed, library, more, search, segmented
 
-_PARTS = (search, library, chunks, more, segmented, approximate)
+_PARTS = (search, library, chunks, more, segmented, approximate, indexed)
 
 
 def queries():
