@@ -76,11 +76,6 @@ def delete_chunks(index: DataFrame, gone: DataFrame, by: str = "doc_id") -> Data
     return index.join(gone.select(by).distinct(), by, "left_anti")
 
 
-def write_index(chunks: DataFrame, path: str, by: str = "kb_id") -> None:
-    """Chunks as Parquet by tenant; only the tenants that chunks has are replaced."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
 def page(df: DataFrame, *order: Column, number: int = 1, size: int = 20) -> DataFrame:
     """A page, counted from 1, of at most 100 rows."""
     size = min(100, max(1, size))

@@ -119,14 +119,6 @@ def test_event_streams(spark):
     assert {r.stream_id: r.valid for r in catalog.grammar(e).collect()} == {1: True, 2: False, 3: True}
 
 
-def test_rebuilding_an_index_twice_changes_nothing(spark, tmp_path):
-    c = spark.createDataFrame([("k1", 1, "a"), ("k2", 2, "b")], "kb_id string, doc_id int, content string")
-    catalog.write_index(c, str(tmp_path / "i"))
-    catalog.write_index(c.where("kb_id = 'k1'").withColumn("content", F.lit("z")), str(tmp_path / "i"))
-    catalog.write_index(c.where("kb_id = 'k1'").withColumn("content", F.lit("z")), str(tmp_path / "i"))
-    assert sorted((r.doc_id, r.content) for r in spark.read.parquet(str(tmp_path / "i")).collect()) == [(1, "z"), (2, "b")]
-
-
 def test_vector_search_handles_nulls_and_no_queries(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, vector array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, vector array<float>")
