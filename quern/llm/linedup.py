@@ -29,6 +29,8 @@ CHUNK_BYTES = 2 << 20
 HOT = 1 << 15
 #: Pairs of a word's lines that are held at once, about; more are reduced to what they connect.
 PAIRS = 1 << 21
+#: Lines of a key that one task compares with each other; those of a key with more are dealt out to tasks by pairs of blocks of half as many.
+SPLIT = 16_384
 #: Lines that a task remembers, about.
 REMEMBERED = 400_000
 
@@ -199,77 +201,180 @@ def _prefixes(classes: np.ndarray, t: float, least: int):
     return run
 
 
-GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "line", "head_doc", "head_line")])
+#: Lines whose key has too many come out as they are, with -2 as the head's line, their place packed in `line`, and their key and bits.
+GROUPS = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "line", "head_doc", "head_line", "word", "low", "high")])
+LATER = -2
+
+
+def _rows(*columns: np.ndarray, more: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    n = len(columns[0])
+    rest = map(pa.array, more) if more else [pa.nulls(n, pa.int64())] * 3
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), *rest], names=GROUPS.names)
+
+
+def bounded_runs(batches, least: int, most: int):
+    """(whether rows are parts of a group of more than `most`, table): groups of at most so many (and a batch) whole, several at once; larger ones in parts, never held whole.
+
+    Batches are sorted by their first column, an integer.
+    """
+    held, rows, large = [], 0, None  # large: the key whose rows come in parts
+    for batch in batches:
+        while batch.num_rows:
+            key = batch.column(0).to_numpy()
+            if large is not None:
+                n = int(np.searchsorted(key, large, "right"))
+                if n:
+                    yield True, pa.Table.from_batches([batch.slice(0, n)])
+                batch = batch.slice(n)
+                if batch.num_rows:
+                    large = None
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            last = key[-1]
+            # Rows at the end that may go on in the next batch.
+            open_ = sum(b.num_rows - int(np.searchsorted(b.column(0).to_numpy(), last, "left")) for b in held)
+            if open_ > most:
+                table = pa.Table.from_batches(held).combine_chunks()
+                if rows > open_:
+                    yield False, table.slice(0, rows - open_)
+                yield True, table.slice(rows - open_)
+                held, rows, large = [], 0, last
+            elif rows - open_ >= least:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield False, table.slice(0, rows - open_)
+                held, rows = table.slice(rows - open_).to_batches(), open_
+            break
+    if held:
+        yield False, pa.Table.from_batches(held).combine_chunks()
 
 
 def similar_pairs(word, n, place, low, high, t: float):
     """Pairs of rows that share a word and pass the filters of length, place and bits, or pairs that connect the same; none that reaches t fails them."""
     order = np.lexsort((n, word))
     word, n, place = word[order], n[order], place[order]
-    low, high = low[order].view(U64), high[order].view(U64)
     end = np.repeat(group_bounds([word])[1:], np.diff(group_bounds([word])))
     # The shorter line needs only a prefix in which an equal or longer one must meet it.
-    able = place < n - _ceil_share(n, 2 * t / (1 + t)) + 1
-    able |= (n >= _MOST_N) | (place >= _MOST_P)
-    i = np.flatnonzero(able & (np.arange(len(n)) + 1 < end))
-    j = i + 1
+    i = np.flatnonzero(_able(n, place, t) & (np.arange(len(n)) + 1 < end))
+    a, b = _walk(i, i + 1, end[i], n, place, low[order].view(U64), high[order].view(U64), t)
+    return order[a], order[b]
+
+
+def pairs_across(left, n, place, low, high, t: float):
+    """As similar_pairs, of rows of one word: pairs of a row in `left` (a mask) and one that is not."""
+    order = np.lexsort((n, ~left))
+    m = int(left.sum())
+    n, place, low, high = n[order], place[order], low[order].view(U64), high[order].view(U64)
+    able = _able(n, place, t)
+    found = []
+    # The shorter line of a pair walks through the longer ones of the other side; of equally long ones the left.
+    for own, lo, hi, side in ((np.flatnonzero(able[:m]), m, len(n), "left"), (m + np.flatnonzero(able[m:]), 0, m, "right")):
+        at = lo + np.searchsorted(n[lo:hi], n[own], side)
+        some = at < hi
+        found.append(_walk(own[some], at[some], np.full(int(some.sum()), hi), n, place, low, high, t))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return order[a], order[b]
+
+
+def _able(n, place, t: float):
+    return (place < n - _ceil_share(n, 2 * t / (1 + t)) + 1) | (n >= _MOST_N) | (place >= _MOST_P)
+
+
+def _walk(i, j, end, n, place, low, high, t: float):
+    """Pairs (i, j) that pass the filters, for each i from its first j on to its end; n[j] rises and is n[i] at least."""
     found_i, found_j, held = [], [], 0
     while len(i):
         big = (n[i] >= _MOST_N) | (place[i] >= _MOST_P) | (place[j] >= _MOST_P)
         near = (n[i] >= t * n[j] - 1e-9) | (n[i] >= _MOST_N)
-        i, j, big = i[near], j[near], big[near]
+        i, j, end, big = i[near], j[near], end[near], big[near]
         need = np.ceil(t / (1 + t) * (n[i] + n[j]) - 1e-9)
         most = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
         differ = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j])
         ok = big | ((most >= need) & (n[i] + n[j] - differ >= 2 * need))
-        found_i.append(order[i[ok]])
-        found_j.append(order[j[ok]])
+        found_i.append(i[ok])
+        found_j.append(j[ok])
         held += len(found_i[-1])
         if held > PAIRS:  # near copies: what they connect is enough
             root = forest(len(n), np.concatenate(found_i), np.concatenate(found_j))
             linked = np.flatnonzero(root != np.arange(len(n)))
             found_i, found_j, held = [linked], [root[linked]], 0
         j = j + 1
-        more = j < end[i]
-        i, j = i[more], j[more]
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (order[:0], order[:0])
+        more = j < end
+        i, j, end = i[more], j[more], end[more]
+    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (i, j)
+
+
+def _named(doc, at, a, b):
+    """Members of the groups that pairs (a, b) connect, as rows of GROUPS."""
+    root = forest(len(doc), a, b)
+    i = np.unique(np.concatenate([a, b]))
+    order = np.lexsort((at[i] >> 21, doc[i], root[i]))
+    i = i[order]
+    g = group_bounds([root[i]])
+    head = np.repeat(i[g[:-1]], np.diff(g))
+    return _rows(doc[i], at[i] >> 21, doc[head], at[head] >> 21)
 
 
 def _groups(t: float):
     """Members (doc, line, head_doc, head_line) of groups of lines that share a word and pass the filters, named by their earliest line; removed lines
-    have -1 as the head's line. Near copies share many words, and their earliest line most of these, so most groups of one family have one name."""
+    have -1 as the head's line, and lines of a key with too many are left for _split_groups. Near copies share many words, and their earliest line most
+    of these, so most groups of one family have one name."""
 
     def run(batches):
-        for table in whole_runs(batches, 1, 50_000):
+        for large, table in bounded_runs(batches, 50_000, SPLIT):
             word, doc, at, low, high = (table.column(i).to_numpy() for i in range(5))
-            n, place = (at >> 10) & _MOST_N, at & _MOST_P
-            gone = n == 0
-            bounds = group_bounds([word])
-            size = np.diff(bounds)
-            many = np.repeat(size > 1, size) & ~gone
+            gone = (at >> 10) & _MOST_N == 0
             if gone.any():
                 i = np.flatnonzero(gone)
                 none = np.full(len(i), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i] >> 21, none, none)], names=GROUPS.names)
-            i = np.flatnonzero(many)
-            if not len(i):
+                yield _rows(doc[i], at[i] >> 21, none, none)
+            i = np.flatnonzero(~gone)
+            if large:
+                none = np.full(len(i), LATER)
+                yield _rows(doc[i], at[i], none, none, more=(word[i], low[i], high[i]))
                 continue
-            a, b = similar_pairs(word[i], n[i], place[i], low[i], high[i], t)
-            if not len(a):
+            bounds = group_bounds([word[i]])
+            i = i[np.repeat(np.diff(bounds) > 1, np.diff(bounds))]
+            if not len(i):
                 continue
-            # What such pairs connect at a word is a group.
-            root = forest(len(i), a, b)
-            linked = np.unique(np.concatenate([a, b]))
-            i, root = i[linked], root[linked]
-            order = np.lexsort((at[i] >> 21, doc[i], root))
-            i, root = i[order], root[order]
-            g = group_bounds([root])
-            head = np.repeat(i[g[:-1]], np.diff(g))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], at[i] >> 21, doc[head], at[head] >> 21)], names=GROUPS.names)
+            a, b = similar_pairs(word[i], (at[i] >> 10) & _MOST_N, at[i] & _MOST_P, low[i], high[i], t)
+            if len(a):
+                # What such pairs connect at a word is a group.
+                yield _named(doc[i], at[i], a, b)
 
     return run
 
 
+def _split_groups(t: float):
+    """As _groups, of one block with itself or of two with each other; batches are sorted by key, word, i and j."""
+
+    def run(batches):
+        for table in whole_runs(batches, 4):
+            key, word, i, j, own, doc, at, low, high = (table.column(k).to_numpy() for k in range(9))
+            bounds = group_bounds([key, word, i, j])
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                n, place = (at[x:y] >> 10) & _MOST_N, at[x:y] & _MOST_P
+                if i[x] == j[x]:
+                    a, b = similar_pairs(word[x:y], n, place, low[x:y], high[x:y], t)
+                else:
+                    a, b = pairs_across(own[x:y] == i[x], n, place, low[x:y], high[x:y], t)
+                if len(a):
+                    yield _named(doc[x:y], at[x:y], a, b)
+
+    return run
+
+
+def _large_keys(members: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """Groups (doc, line, head_doc, head_line) of the lines whose keys have too many for one task: each pair of blocks of a key is compared by itself."""
+    rows = members.where(F.col("head_line") == LATER).select("word", "doc", F.col("line").alias("at"), "low", "high")
+    blocks = rows.groupBy("word").agg(F.ceil(F.count("*") / (SPLIT // 2)).cast("long").alias("blocks"))
+    spread = rows.join(blocks, "word").withColumn("own", F.pmod(F.xxhash64("doc", "at"), F.col("blocks")))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    keyed = spread.select(F.xxhash64("word", i, j).alias("key"), "word", i.alias("i"), j.alias("j"), "own", "doc", "at", "low", "high")
+    return keyed.repartition(parts, "key").sortWithinPartitions("key", "word", "i", "j").mapInArrow(giving_back(_split_groups(similarity)), GROUPS).select("doc", "line", "head_doc", "head_line")
+
+
 def _line_sets(classes: np.ndarray):
     """doc, line, set (hashes, rising) of the asked lines of documents (doc, text, asked)."""
 
@@ -385,8 +490,11 @@ def later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     classes = _classes(frequency_sketch(docs))
     rows = docs.mapInArrow(giving_back(_prefixes(classes, similarity, least_words)), ROWS)
     members = cut(rows.repartition(n, "word").sortWithinPartitions("word").mapInArrow(giving_back(_groups(similarity)), GROUPS), "groups")
-    equal = members.where("head_line < 0").select("doc", "line")
-    kept = cut(members.where("head_line >= 0").distinct(), "members")
+    equal = members.where("head_line = -1").select("doc", "line")
+    found = members.where("head_line >= 0").select("doc", "line", "head_doc", "head_line")
+    if members.where(F.col("head_line") == LATER).limit(1).count():
+        found = found.unionByName(_large_keys(members, similarity, n))
+    kept = cut(found.distinct(), "members")
     large = cut(kept.groupBy("head_doc", "head_line").count().where(F.col("count") > BLOCK).select("head_doc", "head_line", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "large")
     asked = kept.groupBy("doc").agg(F.collect_set("line").alias("asked"))
     sets = cut(docs.join(asked.hint("merge"), "doc").mapInArrow(giving_back(_line_sets(classes)), "doc long, line long, set binary").dropDuplicates(["doc", "line"]), "sets")

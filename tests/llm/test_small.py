@@ -11,6 +11,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -536,9 +537,11 @@ def later(texts):
     return {b for b in sets for a in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [1024, 3, 2])
 def test_lines(spark, block, monkeypatch):
     monkeypatch.setattr(linedup, "BLOCK", block)
+    if block == 2:  # nearly every word has too many lines for one task
+        monkeypatch.setattr(linedup, "SPLIT", 4)
     if block == 3:  # every word is frequent, and no pairs are held
         monkeypatch.setattr(linedup, "HOT", 1)
         monkeypatch.setattr(linedup, "PAIRS", 10)
@@ -564,6 +567,42 @@ def test_lines(spark, block, monkeypatch):
     assert linedup.later_lines(d.limit(0)).count() == 0
 
 
+def test_pairs_across_blocks_are_all_that_the_filters_pass():
+    rng = np.random.default_rng(2)
+    n = rng.integers(5, 12, 300)
+    place = rng.integers(0, 3, 300)
+    low, high = rng.integers(0, 8, 300), rng.integers(0, 2, 300)
+    left = rng.random(300) < 0.4
+    a, b = linedup.similar_pairs(np.zeros(300, np.int64), n, place, low, high, 0.8)
+    want = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True) if left[p[0]] != left[p[1]]}
+    a, b = linedup.pairs_across(left, n, place, low, high, 0.8)
+    got = [frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    # Of equally long lines either may be the one whose place counts.
+    equal = {p for p in want ^ set(got) if len({n[x] for x in p}) == 1}
+    assert len(got) == len(set(got)) and want ^ set(got) == equal and len(want) > 20
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_runs_are_bounded(size):
+    key = np.sort(np.r_[np.arange(40), np.full(30, 7), np.full(11, 20), np.full(10, 39)])
+    table = pa.table({"key": key, "row": np.arange(len(key))})
+    got = list(linedup.bounded_runs(iter(table.to_batches(max_chunksize=size)), 5, 10))
+    assert np.concatenate([t["row"].to_numpy() for _, t in got]).tolist() == list(range(len(key)))
+    # A group that is over the bound by less than a batch may come whole.
+    assert ({7} if size < 20 else set()) <= {k for large, t in got if large for k in t["key"].to_pylist()} <= {7, 20, 39}
+    whole = [set(t["key"].to_pylist()) for large, t in got if not large]
+    assert all(not a & b for a, b in itertools.combinations(whole, 2)) and max(t.num_rows for large, t in got) <= 100 + 40
+
+
+def test_lines_of_one_word_go_to_many_tasks(spark, monkeypatch):
+    """A word that every line has among its rarest: blocks of its lines are compared in pairs, in tasks of bounded work."""
+    monkeypatch.setattr(linedup, "SPLIT", 200)
+    r = random.Random(5)
+    lines = [" ".join(["common", *(f"v{r.randrange(30)}" for _ in range(6))]) for _ in range(1500)]
+    d = docs(spark, ["\n".join(lines[k : k + 50]) for k in range(0, 1500, 50)])
+    assert {(x.doc, x.line) for x in linedup.later_lines(d).collect()} == later(["\n".join(lines[k : k + 50]) for k in range(0, 1500, 50)])
+
+
 def test_query_removes_short_lines(spark, tmp_path):
     """Lines of one to four words repeat as any others do; lines without words stay."""
     texts = ["All rights reserved.\nyes\n\n--", "one two three four\nall RIGHTS reserved", "one two three four five\nYes!\n\n--\none two three", "日本語\n日本語。x", None, "yes yes\n日本語"]
