@@ -161,11 +161,16 @@ def cascade(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
 
 def parse_events(bodies: DataFrame) -> DataFrame:
     """(stream_id, i, event, data) of event streams (stream_id, body): blocks end with an empty line, comments are skipped, data lines are joined, the
-    default name is message, and blocks without data are none."""
-    blocks = bodies.select("stream_id", F.posexplode(F.split(F.regexp_replace("body", "\r\n?", "\n"), "\n\n")).alias("i", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit(":")))
-    value = lambda name: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(name + ":"))), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
-    out = blocks.select("stream_id", "i", F.coalesce(F.try_element_at(value("event"), F.lit(-1)), F.lit("message")).alias("event"), value("data").alias("d"))
+    default name is message, and blocks without data are none. A carriage return counts as the end of a line with a line feed only; a field without a
+    colon has an empty value."""
+    blocks = bodies.select("stream_id", F.posexplode(F.split(F.regexp_replace("body", "\r(\n|$)", "$1"), "\n\n")).alias("i", "block"))
+    lines = F.split("block", "\n")
+
+    def values(name):
+        return F.transform(F.filter(lines, lambda x: (x == name) | F.startswith(x, F.lit(f"{name}:"))), lambda x: F.regexp_replace(x, f"(?s)^{name}:? ?", ""))
+
+    name = F.nullif(F.try_element_at(values("event"), F.lit(-1)), F.lit(""))
+    out = blocks.select("stream_id", "i", F.coalesce(name, F.lit("message")).alias("event"), values("data").alias("d"))
     return out.where(F.size("d") > 0).select("stream_id", "i", "event", F.array_join("d", "\n").alias("data"))
 
 

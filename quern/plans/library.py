@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import answer, catalog, chunking, evaluation
 from quern.plans.base import DOCUMENTS, documents, questions, table
-from quern.shared import shared_dir
+from quern.shared import new_path, shared_dir
 from quern.sources import files
 from quern.streaming import events as ev
+from quern.streaming import pieces
 
 QUERIES, SQL = {}, {}
 _R4 = "floor(({0})::DOUBLE * 1e4 + 0.5) / 1e4"
@@ -449,9 +450,9 @@ def task_recovery(spark, sf):
     return catalog.recover(_tasks(spark, sf)).select("id", "status", "attempt")
 
 
-@query(f"SELECT id, status, attempt FROM ({_TASKS}) WHERE status IN ('PENDING', 'FAILED') ORDER BY ts, id LIMIT 50")
+@query(f"SELECT id, status, attempt FROM ({_TASKS}) WHERE status IN ('PENDING', 'FAILED') ORDER BY ts, id")
 def cleanup_queue(spark, sf):
-    return _tasks(spark, sf).where(F.col("status").isin("PENDING", "FAILED")).orderBy("ts", "id").limit(50).select("id", "status", "attempt")
+    return _tasks(spark, sf).where(F.col("status").isin("PENDING", "FAILED")).orderBy("ts", "id").select("id", "status", "attempt")
 
 
 _LOG = "SELECT user_id AS doc_id, event_id AS seq, ['QUEUED', 'PARSING', 'CLEANING', 'CHUNKING', 'EMBEDDING', 'INDEXING', 'COMPLETED'][1 + CAST(event_id % 7 AS INT)] AS stage FROM events"
@@ -477,10 +478,25 @@ def object_prefix_delete(spark, sf):
 
 @query("SELECT conv_id AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS i, CASE WHEN role = 'system' THEN 'message' ELSE role END AS event, CAST(turn AS VARCHAR) || chr(10) || 'x' AS data FROM conversations")
 def sse_parse(spark, sf):
+    return catalog.parse_events(_bodies(spark, sf))
+
+
+def _bodies(spark, sf):
     c = table(spark, sf, "conversations")
     block = F.concat(F.lit(": note\n"), F.when(F.col("role") == "system", "").otherwise(F.concat(F.lit("event: "), "role", F.lit("\n"))), F.lit("data: "), F.col("turn").cast("string"), F.lit("\ndata: x"))
     body = c.groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
-    return catalog.parse_events(body.withColumn("body", F.concat("body", F.lit("\n\n"))))
+    return body.withColumn("body", F.concat("body", F.lit("\n\n")))
+
+
+@query("SELECT conv_id AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, CASE role WHEN 'system' THEN 'message' ELSE role END AS event, turn || chr(10) || 'x' AS data FROM conversations")
+def sse_pieces(spark, sf):
+    """Bodies cut into pieces of seven characters, which arrive in several micro-batches and out of order."""
+    cuts = F.filter(F.regexp_extract_all("body", F.lit("(?s)(.{1,7})")), lambda x: x != "")
+    made = _bodies(spark, sf).select("stream_id", F.posexplode(F.concat(cuts, F.array(F.lit(None).cast("string")))).alias("seq", "piece"))
+    path = new_path(spark, "pieces")
+    made.repartition(4, "seq").write.parquet(path)
+    stream = spark.readStream.schema("stream_id long, seq int, piece string").option("maxFilesPerTrigger", 1).parquet(path)
+    return ev.run_once(pieces.parse_pieces(stream), shared_dir(spark), "append")
 
 
 @query(r"WITH e AS (SELECT user_id AS stream_id, event_id, CASE event_type WHEN 'view' THEN 'stage' WHEN 'click' THEN 'token' WHEN 'signup' THEN 'citations' WHEN 'purchase' THEN 'done' ELSE 'error' END AS event FROM events) SELECT stream_id, string_agg(event, ' ' ORDER BY event_id) AS names, regexp_matches(string_agg(event, ' ' ORDER BY event_id), '^(stage )*(token )*(citations done|error|canceled)$') AS valid FROM e GROUP BY stream_id")

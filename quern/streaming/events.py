@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shared import WRITTEN
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as a stream, its ts with a time zone, which watermarks need."""
@@ -31,14 +33,22 @@ def first_of_each(events: DataFrame, key: str, late: str = "2 hours") -> DataFra
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """All that is there goes through the stream once; the result is read from the folder, which all executors share."""
-    spark, name = stream.sparkSession, uuid.uuid4().hex
-    out = f"{folder.rstrip('/')}/stream-{name}"
+def run_once(stream: DataFrame, folder: str, mode: str = "complete", name: str | None = None) -> DataFrame:
+    """All that is there and new goes through the stream once; the result is read from the folder, which all executors share.
+
+    With a name, state and result are those of earlier runs of that name, gone
+    on with. A batch is written to a folder of its own number, so one that is
+    tried again writes nothing twice. `shared.clean` deletes what unnamed runs leave.
+    """
+    spark = stream.sparkSession
+    out = f"{folder.rstrip('/')}/stream-{name or uuid.uuid4().hex}"
+    if name is None:
+        WRITTEN.extend((out, f"{out}-state"))
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
 
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/none")
     query.foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
