@@ -453,8 +453,9 @@ def _sampled(batches):
 def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Network:
     """Fit on at most `rows` labelled rows of each class, the first by a hash of their ids, and at most FIT_WORDS words of each.
 
-    Labels other than 0 and 1 and those of a null id are left out; of labels
-    that repeat an id the largest counts. A null text counts as empty. Without
+    Labels other than 0 and 1 and those of a null id are left out; of labels that
+    repeat an id the largest counts, and of such texts the smallest, so that no
+    more than 2 * rows texts go to the driver. A null text counts as empty. Without
     labels of both classes, or with fewer than six of one, every score is that
     of the commoner class, 0 if there is none.
     """
@@ -462,7 +463,8 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     picked = F.broadcast(few[0].union(few[1]))  # at most 2 * rows ids
     found = texts.select(F.col(id_col).alias("id"), utf8(F.lower(F.col(text_col))).alias("text")).join(picked, "id").select("id", "text", "label")
-    got = found.mapInArrow(_sampled, found.schema).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    one = found.mapInArrow(_sampled, found.schema).groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    got = one.toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     share = known.agg(F.avg("label")).first()[0]
     return fit([t.as_py() for t in got["text"]], got["label"].to_numpy(), share)
 
