@@ -296,6 +296,18 @@ def test_classify(spark):
 # 5 toxicity
 
 
+def test_texts_that_repeat_an_id_reach_the_fit_once(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, share: got.append((texts, labels.tolist())))
+    d = docs(spark, [f"text {i % 7}" for i in range(400)], [i % 40 for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0)], "doc_id long, toxic int")
+    toxicity.train(d, labels, rows=10)
+    assert len(got[0][0]) == 20 and sorted(got[0][1]) == [0] * 10 + [1] * 10
+    toxicity.train(d, labels)
+    # Of each id the smallest text, as 40 and 7 have no common divisor.
+    assert got[1][0] == [f"text {min((i + 40 * k) % 7 for k in range(10))}".encode() for i in range(40)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     r, texts, marks = random.Random(2), [], []
     for i in range(300):
