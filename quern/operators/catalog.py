@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.operators.numbering import numbered
+
 #: The stages of an ingestion in their order.
 STAGES = ("QUEUED", "PARSING", "CLEANING", "CHUNKING", "EMBEDDING", "INDEXING", "COMPLETED")
 
@@ -26,9 +28,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def versions(docs: DataFrame) -> DataFrame:
     """docs (kb_id, name, file_type, doc_id) with root_id, version_no and is_active: an upload of the same name and type is a new version and the active one."""
-    w = Window.partitionBy("kb_id", "name", "file_type")
-    no = F.row_number().over(w.orderBy("doc_id"))
-    return docs.withColumn("root_id", F.min("doc_id").over(w)).withColumn("version_no", no).withColumn("is_active", F.col("doc_id") == F.max("doc_id").over(w))
+    out = numbered(docs, ["kb_id", "name", "file_type"], "doc_id", "version_no", "root_id", "__newest")
+    return out.select(*docs.columns, "root_id", "version_no", (F.col("doc_id") == F.col("__newest")).alias("is_active"))
 
 
 def activate(versioned: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import nearest_rank, ratio, round4
+from quern.operators.numbering import numbered
 
 #: Categories, modes of evidence and roles that a data set may have.
 CATEGORIES = ("DIRECT", "TERM_VARIATION", "FOLLOW_UP", "OUT_OF_KB", "CONFUSABLE", "PARTIAL_EVIDENCE")
@@ -236,7 +237,7 @@ def load_summary(calls: DataFrame) -> DataFrame:
 
 def numbered_versions(versions: DataFrame, by: str, order: str) -> DataFrame:
     """Versions numbered from 1 within a data set."""
-    return versions.withColumn("version_no", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return numbered(versions, [by], order, "version_no")
 
 
 def name_conflicts(rows: DataFrame, name: str) -> DataFrame:
