@@ -38,7 +38,7 @@ def vector_topk_lists_kb(spark, sf):
 
 
 #: Every vector is in one list, and blocks and lists count all of them.
-@query("SELECT count(*) AS vectors, count(*) AS in_blocks, count(*) AS in_lists, sum(vec_id) AS ids FROM embeddings WHERE embedding IS NOT NULL")
+@query("SELECT count(*) AS vectors, count(*) AS in_blocks, count(*) AS in_lists, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE embedding IS NOT NULL")
 def vector_index_counts(spark, sf):
     path = new_path(spark, "ann")
     ann.build(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path, DIMS)
