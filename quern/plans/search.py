@@ -202,19 +202,31 @@ def decision_invariant(spark, sf):
     return g.agg(F.count("*").alias("decisions"), F.count_if(F.col("degraded") != F.col("failure_type").isNotNull()).alias("errors"))
 
 
+def holding(docs, asked):
+    """docs (doc_id, text) with each query_id of asked (query_id, text) whose text they hold, and that text as passage.
+
+    A passage's longest inner word, with a blank or line feed on either side, is
+    a whole word of every text that holds it, so it is the key of a join. Words
+    at its ends are not: in a text they may go on. A passage without inner words
+    has the empty key, which all texts have.
+    """
+    pieces = F.split("text", r"[ \n]", -1)
+    inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda x: x != "")
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    keyed = asked.where("text is not null").select("query_id", F.col("text").alias("passage"), F.coalesce(longest, F.lit("")).alias("word"))
+    keys = sorted(r.word for r in keyed.select("word").distinct().collect())
+    words = F.array_union(F.array_intersect(pieces, F.array(*map(F.lit, keys)).cast("array<string>")), F.array(F.lit("")))
+    return docs.select("doc_id", "text", F.explode(words).alias("word")).where(F.col("word").isin(keys)).join(keyed, "word").where(F.contains("text", "passage"))
+
+
 @query(chain(*TO_FUSED) + ", e AS (SELECT b.item_id AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT e.query_id, e.id AS evidence_id, f.fused_rank FROM e LEFT JOIN fused f ON f.query_id = e.query_id AND f.id = e.id) SELECT query_id, evidence_id, fused_rank AS first_rank FROM m")
 def evidence_match(spark, sf):
     return _matched(spark, sf).select("query_id", "evidence_id", "first_rank")
 
 
 def _evidence(spark, sf):
-    """(query_id, evidence_id, anchors): documents that hold a question's text. Their words meet first, so texts are compared only where they may match."""
-    q, d = questions(spark, sf), table(spark, sf, "documents")
-    longest = F.element_at(F.array_sort(F.filter(F.split("text", " "), lambda x: x != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    keyed = q.select("query_id", F.col("text").alias("passage"), F.regexp_replace(longest, r"\n", " ").alias("k"))
-    keyed = keyed.select("query_id", "passage", F.explode(F.slice(F.split("k", " "), 1, 1)).alias("word"))
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("word")).join(keyed.select("word").distinct(), "word", "left_semi")
-    near = keyed.join(words, "word").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    """(query_id, evidence_id, anchors): documents that hold a question's text."""
+    near = holding(table(spark, sf, "documents").select("doc_id", "text"), questions(spark, sf))
     none = F.lit(None).cast("string")
     return near.select("query_id", F.col("doc_id").alias("evidence_id"), none.alias("content_hash"), F.col("doc_id").cast("string").alias("chunk_id"), none.alias("title_path"), none.alias("anchor_path"))
 
