@@ -23,6 +23,8 @@ CANDIDATES, RRF_K, TOP_K, MIN_SCORE, RERANK_CHARS = 30, 60, 6, 0.30, 800
 K1, B = 1.2, 0.75
 #: Queries that go to every task at once, at most; more are searched in blocks.
 QUERIES = 4096
+#: Words, scores, and pairs of a document's word and a query that are worked on at once, whatever a batch holds.
+WORDS, SCORES, PAIRS = 1 << 20, 1 << 20, 1 << 19
 
 
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -46,7 +48,7 @@ def index(docs: DataFrame, words: list[str], tokenizer: Tokenizer = tokens) -> D
 
     def run(batches):
         known = pa.array(words, pa.string())
-        for b in batches:
+        for b in (x for whole in batches for x in _slices(whole, np.diff(whole.column(1).offsets.to_numpy()), WORDS)):
             lists = b.column(1)
             length = np.diff(lists.offsets.to_numpy())
             coded = lists.flatten().dictionary_encode()
@@ -61,6 +63,15 @@ def index(docs: DataFrame, words: list[str], tokenizer: Tokenizer = tokens) -> D
     return docs.select("doc_id", tokenizer("text").alias("terms")).mapInArrow(run, f"doc_id {id_type}, length int, terms array<int>, tfs array<int>")
 
 
+def _slices(batch: pa.RecordBatch, cost: np.ndarray, most: int, rows: int = 1 << 31):
+    """A batch in runs of rows whose costs add up to `most`; a row that costs more is a run of its own."""
+    total, lo = np.append(0, np.cumsum(cost, dtype=np.int64)), 0
+    while lo < batch.num_rows:
+        hi = min(max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1), lo + rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def statistics(indexed: DataFrame, words: int) -> tuple[int, float, np.ndarray]:
     """Number of documents, mean length, and how many documents hold each of the words; one row a word comes to the driver."""
     n, mean = indexed.agg(F.count("*"), F.avg("length")).first()
@@ -94,9 +105,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenizer: To
 
     The texts are read once, into an index by document that is written down;
     statistics and scores come from it. Queries go to the tasks in blocks of a
-    fixed number, and each batch of documents keeps its k best of each query
-    before anything is shuffled, so a word that most documents have is no hot
-    key.
+    fixed number, and each task keeps its k best of each query before anything
+    is shuffled, so a word that most documents have is no hot key. What a task
+    works on at once is bounded, however many documents or words a batch has.
     """
     spark, id_type, q_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     words = vocabulary(queries, tokenizer)
@@ -114,10 +125,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenizer: To
         first, of = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1]
 
         def run(batches, names=names, first=first, of=of):
-            many = np.diff(first)
+            many, best = np.diff(first), Best(len(names), k)
             for whole in batches:
-                for lo in range(0, whole.num_rows, step := max(1, (1 << 21) // len(names))):
-                    b = whole.slice(lo, step)
+                at = whole.column(2).offsets.to_numpy()
+                total = np.append(0, np.cumsum(many[whole.column(2).flatten().to_numpy()]))
+                for b in _slices(whole, np.diff(total[at - at[0]]), PAIRS, max(1, SCORES // len(names))):
                     ids, length = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
                     row = np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy()))
                     term, tf = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
@@ -127,22 +139,45 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokenizer: To
                     q = of[first[term][owner] + np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(each))[:-1], each)]
                     cell = q * b.num_rows + row[owner]
                     score = np.bincount(cell, part[owner], len(names) * b.num_rows).round(6)
-                    hit = np.flatnonzero(np.bincount(cell, minlength=len(score)))
-                    yield _best(names[hit // b.num_rows], ids[hit % b.num_rows], score[hit], k)
+                    hit = np.flatnonzero((np.bincount(cell, minlength=len(score)) > 0) & (score >= np.repeat(best.least, b.num_rows)))
+                    best.add(hit // b.num_rows, ids[hit % b.num_rows], score[hit])
+            yield from best.batches(names)
 
         parts.append(indexed.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
     return _merged(spark, parts, q_type, id_type, k)
 
 
-def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best rows of each query, by score and id."""
-    order = np.lexsort((ids, -score, query))
-    query = query[order]
-    new = np.append(True, query[1:] != query[:-1]) if len(query) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    keep = np.arange(len(query)) - np.repeat(at, np.diff(np.append(at, len(query)))) < k
-    order = order[keep]
-    return pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(ids[order]), pa.array(score[order])], names=["query_id", "id", "score"])
+class Best:
+    """The k best rows of each query, numbered from 0, by score and id, of all that a task adds; no more than a few times their number is held."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.most, self.held, self.rows = k, max(1 << 16, 2 * queries * k), [], 0
+        #: Scores below a query's k-th so far are not needed.
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ids, score))
+        self.rows += len(query)
+        if self.rows > self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        many = np.bincount(query, minlength=len(self.least))
+        keep = np.arange(len(query)) - np.repeat(np.append(0, np.cumsum(many))[:-1], many) < self.k
+        order, query = order[keep], query[keep]
+        last = np.cumsum(np.minimum(many, self.k)) - 1
+        full = many >= self.k
+        self.least[full] = score[order][last[full]]
+        self.held, self.rows = [(query, ids[order], score[order])], len(query)
+
+    def batches(self, names: np.ndarray):
+        if self.held:
+            self._merge()
+            query, ids, score = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
 
 
 def _merged(spark, parts: list[DataFrame], q_type: str, id_type: str, k: int) -> DataFrame:
@@ -158,7 +193,7 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant:
     """The k nearest vectors (id, vector) of each query (query_id, vector) by (1 + cosine) / 2, exactly; with tenant only those of the query's kb_id.
 
     Queries go to the tasks in blocks of a fixed number; vectors are scored in
-    runs that bound the scores held at once, and each run keeps its k best of
+    runs that bound the scores held at once, and each task keeps its k best of
     each query before anything is shuffled. With tenant, vectors of tenants that
     no query of a block asks for are not read, and no query is multiplied with
     another tenant's vectors.
@@ -185,8 +220,9 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant:
         names, kb = np.array([r["query_id"] for r in block]), np.array([r["kb_id"] for r in block], object) if tenant else None
 
         def run(batches, q=q, names=names, kb=kb):
+            best = Best(len(names), k)
             for whole in batches:
-                for lo in range(0, whole.num_rows, step := max(1, (1 << 21) // len(names))):
+                for lo in range(0, whole.num_rows, step := max(1, SCORES // len(names))):
                     b = whole.slice(lo, step)
                     ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b, q.shape[1])
                     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -196,8 +232,9 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, tenant:
                         score = ((1 + q[mine] @ x[rows].T) / 2).round(6)
                         # Ties of the k-th score stay until the ids decide.
                         least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.zeros(len(mine))
-                        i, j = np.nonzero(score >= least[:, None])
-                        yield _best(names[mine[i]], ids[rows[j]], score[i, j], k)
+                        i, j = np.nonzero(score >= np.maximum(least, best.least[mine])[:, None])
+                        best.add(mine[i], ids[rows[j]], score[i, j])
+            yield from best.batches(names)
 
         here = source.where(F.col("kb_id").isin(sorted({r["kb_id"] for r in block} - {None}))) if tenant else source
         parts.append(here.mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"))
