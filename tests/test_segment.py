@@ -70,3 +70,21 @@ def test_large_dictionaries_are_refused(spark, monkeypatch):
     monkeypatch.setattr(segment, "DICTIONARY_BYTES", 10)
     with pytest.raises(ValueError, match="too large"):
         segment.segmenter(spark.range(100).select(F.col("id").cast("string")))
+
+
+def test_words_are_copied_as_bytes(monkeypatch):
+    import sys
+
+    made, texts = segment.Segmenter(["ab", "b", "ü中", "中"], r"\p{L}"), ["ab ü中x 12", "", "中" * 50_000, "\U0001f600ab"]
+    want, before = made.split(texts), sys.getallocatedblocks()
+    out = made.words(texts)
+    assert sys.getallocatedblocks() - before < 1000  # before, each of 50,000 words was an object
+    assert out.to_pylist() == want == [plain(t, ["ab", "b", "ü中", "中"], r"\p{L}") for t in texts]
+
+
+def test_texts_in_small_batches(spark, monkeypatch):
+    words = spark.createDataFrame([("ab",), ("b",)], "w string")
+    texts = spark.createDataFrame([(i, "abb" * (i % 7)) for i in range(50)] + [(50, None)], "i long, text string").coalesce(1)
+    want = [r.t for r in texts.select(segment.segmenter(words, r"\p{L}")("text").alias("t")).collect()]
+    monkeypatch.setattr(segment, "BATCH", 1)
+    assert [r.t for r in texts.select(segment.segmenter(words, r"\p{L}")("text").alias("t")).collect()] == want == [["ab", "b", "b"] * (i % 7) for i in range(50)] + [[]]
