@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import tokens
-from quern.operators.retrieval import CANDIDATES, K1, B, Tokenizer
+from quern.operators.retrieval import CANDIDATES, K1, B, Best, Tokenizer
 from quern.shared import cut
 
 #: Documents of a range; folders that words are dealt to by hash; ranges of the highest bounds that are scored first for each question.
 RANGE, BUCKETS, FIRST = 128, 64, 4
+#: Questions that meet a range at once.
+TOGETHER = 512
 #: Columns of the tables of an index, by its type of ids.
 TABLES = {
     "blocks": "term string, range long, ids array<{0}>, places array<int>, tfs array<int>, lengths array<int>, largest double, bucket int",
@@ -96,14 +99,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = CANDIDAT
     here = lambda name: _read(spark, path, name, stats.id_type).where(F.col("bucket").isin(buckets))
     idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = cut(words.join(here("terms"), "term").select("query_id", "term", idf.alias("idf")), "words")
-    blocks = here("blocks")
+    # Only the questions' words; they are no more than the questions have, and without them no posting of another word is moved.
+    blocks = here("blocks").join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     bounds = asked.join(blocks.select("term", "range", "largest"), "term").groupBy("query_id", "range").agg(F.sum(F.col("idf") * F.col("largest")).alias("bound"))
     bounds = cut(bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))), "bounds")
-    best = cut(_scored(bounds.where(F.col("place") <= first), asked, blocks, stats.mean), "scores")
+    start = bounds.where(F.col("place") <= first).select("query_id", "range", F.lit(None).cast("double").alias("least"))
+    best = cut(_scored(start, asked, blocks.join(F.broadcast(start.select("range").distinct()), "range", "left_semi"), stats, k), "scores")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     least = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
-    others = surviving(bounds, least, first)
-    found = best.union(_scored(others, asked, blocks, stats.mean))
+    others = surviving(bounds, least, first).join(least, "query_id", "left").select("query_id", "range", "least")
+    found = best.union(_scored(others, asked, blocks, stats, k))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -113,10 +118,43 @@ def surviving(bounds: DataFrame, least: DataFrame, first: int) -> DataFrame:
     return rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 2e-6)).select("query_id", "range", "bound", "place")
 
 
-def _scored(ranges: DataFrame, asked: DataFrame, blocks: DataFrame, mean: float) -> DataFrame:
-    """(query_id, id, score) of all documents of ranges (query_id, range) that have a word of the question."""
-    wanted = ranges.select("query_id", "range").join(asked, "query_id")
-    hits = wanted.join(blocks, ["term", "range"]).select("query_id", "range", "idf", F.explode(F.arrays_zip("ids", "places", "tfs", "lengths")).alias("p"))
-    part = F.col("idf") * F.col("p.tfs") / (F.col("p.tfs") + K1 * (1 - B + B * F.col("p.lengths") / F.lit(mean)))
-    sums = hits.groupBy("query_id", "range", F.col("p.places").alias("place"), F.col("p.ids").alias("id")).agg(F.sum(part).alias("score"))
-    return sums.select("query_id", "id", F.round("score", 6).alias("score"))
+def _scored(ranges: DataFrame, asked: DataFrame, blocks: DataFrame, stats, k: int) -> DataFrame:
+    """(query_id, id, score) of the documents of ranges (query_id, range, least) that have a word of the question: of each range the k best, none below
+    least. A range's blocks and its questions' words meet in one group of bounded size."""
+    q_type, mean = asked.schema["query_id"].dataType.simpleString(), stats.mean
+    parts = -(-asked.select("query_id").distinct().count() // TOGETHER) or 1
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    wanted = ranges.join(asked, "query_id").select("range", part, "query_id", "term", "idf", "least")
+    held = blocks.select("range", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "term", "ids", "places", "tfs", "lengths")
+
+    def score(here: pa.Table, theirs: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": theirs["query_id"].slice(0, 0), "id": pa.array([], here.schema.field("ids").type.value_type), "score": pa.array([], pa.float64())})
+        if not here.num_rows or not theirs.num_rows:
+            return empty
+        here, theirs = here.combine_chunks(), theirs.combine_chunks()
+        at = pc.index_in(theirs["term"], here["term"].combine_chunks())
+        theirs, at = theirs.filter(at.is_valid()).combine_chunks(), at.drop_null().to_numpy()
+        if not len(at):
+            return empty
+        lists = {c: here[c].combine_chunks() for c in ("ids", "places", "tfs", "lengths")}
+        start = lists["ids"].offsets.to_numpy()
+        start, many = start[at] - start[0], np.diff(start)[at]
+        ids, place, tf, length = (x.flatten().to_numpy(zero_copy_only=False) for x in lists.values())
+        asked = theirs["query_id"].combine_chunks().dictionary_encode()
+        names, q = asked.dictionary.to_numpy(zero_copy_only=False), asked.indices.to_numpy()
+        owner = np.repeat(np.arange(len(at)), many)
+        posting = start[owner] + np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(many))[:-1], many)
+        value = theirs["idf"].to_numpy()[owner] * tf[posting] / (tf[posting] + K1 * (1 - B + B * length[posting] / mean))
+        cell = q[owner].astype(np.int64) * RANGE + place[posting]
+        found = np.flatnonzero(np.bincount(cell))
+        points = np.bincount(cell, value)[found].round(6)
+        row = np.zeros(RANGE, np.int64)
+        row[place] = np.arange(len(place))
+        best = Best(len(names), k)
+        floor = theirs["least"].combine_chunks().fill_null(-np.inf).to_numpy()
+        best.least[q] = floor
+        good = points >= best.least[found // RANGE]
+        best.add(found[good] // RANGE, ids[row[found[good] % RANGE]], points[good])
+        return pa.Table.from_batches(list(best.batches(names))).cast(empty.schema)
+
+    return wanted.groupBy("range", "part").cogroup(held.groupBy("range", "part")).applyInArrow(lambda theirs, here: score(here, theirs), f"query_id {q_type}, id {stats.id_type}, score double")

@@ -82,3 +82,11 @@ def test_with_a_dictionary(spark, tmp_path):
     asked = spark.createDataFrame([(7, "持久化"), (8, "集群的状态")], "query_id long, text string")
     lexical.build(docs, f"file://{tmp_path}/z", split)
     assert key(lexical.search(spark, f"file://{tmp_path}/z", asked, tokenizer=split)) == key(retrieval.bm25(docs, asked, tokenizer=split)) != []
+
+
+def test_questions_meet_ranges_in_groups(spark, sf, tmp_path, monkeypatch):
+    docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as query_id", "text")
+    lexical.build(docs, str(tmp_path))
+    monkeypatch.setattr(lexical, "TOGETHER", 3)
+    got = lexical.search(spark, str(tmp_path), asked, first=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.bm25(docs, asked).collect()))
