@@ -22,7 +22,8 @@ def strip(c: str | Column) -> Column:
 
 
 def is_blank(c: str | Column) -> Column:
-    return F.coalesce(strip(c) == "", F.lit(True))
+    """Whether nothing is left of a text that is stripped; the search ends at its first sign."""
+    return F.coalesce(~F.rlike(col(c), F.lit(f"[^{SPACE[1:]}")), F.lit(True))
 
 
 def clean_text(c: str | Column) -> Column:

@@ -28,8 +28,9 @@ def config_error(strategy, max_length, overlap):
     )
 
 
-def length_overlap(docs: DataFrame, max_length: int = DEFAULT[0], overlap: int = DEFAULT[1]) -> DataFrame:
-    """Windows of max_length characters, each starting max_length - overlap after the last; the first that reaches the end is the last."""
+def length_overlap(docs: DataFrame, max_length: int = DEFAULT[0], overlap: int = DEFAULT[1], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of max_length characters, each starting max_length - overlap after the last; the first that reaches the end is the last. A chunk has the
+    columns `keep` of its document, too."""
     step = max_length - overlap
     if not 0 <= overlap < max_length:
         raise ValueError("overlap must be at least 0 and below the length")
@@ -38,7 +39,7 @@ def length_overlap(docs: DataFrame, max_length: int = DEFAULT[0], overlap: int =
         for at in range(0, max(1, len(text) - overlap), step):
             yield name, None, text[at : at + max_length]
 
-    return _cut(docs, windows)
+    return _cut(docs, windows, keep)
 
 
 _HEADING, _NUMBER = re.compile(HEADING), re.compile(HEADING_NUMBER)
@@ -151,7 +152,7 @@ def sheet_chunks(name: str, text: str, max_length: int) -> list[tuple]:
     return out
 
 
-def _cut(docs: DataFrame, cut: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+def _cut(docs: DataFrame, cut: Callable[[str, str], Iterable[tuple]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of each text that is not blank, in one pass over it. What follows a line depends on all lines before it, which is no window or join, so
     this runs on Arrow batches; few texts' chunks are held at once."""
 
@@ -159,14 +160,16 @@ def _cut(docs: DataFrame, cut: Callable[[str, str], Iterable[tuple]]) -> DataFra
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                rows = [(k, i, f"{doc}-c{i:04d}", t, p, len(c), c) for k, (doc, name, text) in enumerate(zip(*(x.to_pylist() for x in part.columns), strict=True)) for i, (t, p, c) in enumerate(cut(name, text))]
+                rows = [(k, i, f"{doc}-c{i:04d}", t, p, len(c), c) for k, (doc, name, text) in enumerate(zip(*(x.to_pylist() for x in part.columns[:3]), strict=True)) for i, (t, p, c) in enumerate(cut(name, text))]
                 owner, *columns = zip(*rows, strict=True) if rows else [()] * 7
                 types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
+                first, *rest = (part.column(i).take(pa.array(owner, pa.int64())) for i in (0, *range(3, part.num_columns)))
+                yield pa.RecordBatch.from_arrays([first, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)], *rest], names=names)
 
-    names = ["doc_id", "seq", "chunk_id", "title_path", "page", "char_count", "content"]
-    source = docs.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), "text").where(~is_blank("text"))
-    return source.mapInArrow(run, CHUNK.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    names = ["doc_id", "seq", "chunk_id", "title_path", "page", "char_count", "content", *keep]
+    source = docs.select("doc_id", F.coalesce("name", F.lit("")).alias("name"), "text", *keep).where(~is_blank("text"))
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, CHUNK.format(id=docs.schema["doc_id"].dataType.simpleString()) + kept)
 
 
 def structure(docs: DataFrame, max_length: int = DEFAULT[0], paged: bool = False) -> DataFrame:

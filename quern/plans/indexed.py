@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import lexical
+from quern.operators import chunking, lexical
 from quern.plans.base import _WORDS, DOCUMENTS, LEXICAL, documents, questions, table
-from quern.plans.library import _CHUNKS, _chunks
+from quern.plans.library import _CHUNKS
 from quern.shared import new_path
 from quern.sources import store
 
@@ -43,10 +43,10 @@ def index_terms(spark, sf):
 def _committed(spark, sf):
     """All chunks, then a commit that replaces every fourth document and deletes those of remainder three by ten."""
     path = new_path(spark, "store")
-    c = _chunks(spark, sf).join(documents(spark, sf).select("doc_id", "kb_id"), "doc_id").select("doc_id", "chunk_id", "seq", "kb_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
-    store.commit(c, path)
+    c = chunking.length_overlap(documents(spark, sf).where("doc_id is not null"), keep=("kb_id",))
+    store.commit(c.select("doc_id", "chunk_id", "seq", "kb_id", F.sha2(F.col("content").cast("binary"), 256).alias("sha")), path)
     gone = table(spark, sf, "documents").where("doc_id % 10 = 3").select("doc_id")
-    store.commit(c.where("doc_id % 4 = 0 and seq = 0").withColumn("sha", F.lit("new")), path, deleted=gone)
+    store.commit(store.read(spark, path).where("doc_id % 4 = 0 and seq = 0").withColumn("sha", F.lit("new")), path, deleted=gone)
     return path
 
 

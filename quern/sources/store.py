@@ -102,33 +102,38 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 def commit(chunks: DataFrame, path: str, dims: int | None = None, deleted: DataFrame | None = None, base: int | None = None, by: str = "kb_id") -> int:
     """Replace the documents that chunks (doc_id, chunk_id, ...) has, and delete the deleted (doc_id); the new version.
 
-    With dims each chunk needs a vector of so many numbers; otherwise, and where
-    a doc_id is null, the commit is Rejected before anything is written. base
-    is the version that the writer has seen, by default the last. If others have
+    Chunks are computed once, into a new segment, and the checks read that. With
+    dims each chunk needs a vector of so many numbers; otherwise, and where a
+    doc_id is null, the commit is Rejected and its segment goes before any version
+    has it. base is the version that the writer has seen, by default the last. If others have
     committed since, the commit goes on top of theirs, unless one of them has
     settled a document of its own: that is a Conflict. A document that is in
     both tables is replaced. Twice is the same as once. Rows of one segment lie
     in a folder for each value of `by`, so readers of a tenant read no other.
     """
     spark = chunks.sparkSession
-    if chunks.where("doc_id is null").limit(1).count():
-        raise Rejected("a chunk has no doc_id")
-    if dims is not None:
-        bad = index_errors(chunks, dims).orderBy("doc_id")
-        if named := bad.limit(NAMED).collect():
-            raise Rejected(f"{bad.count()} documents: " + ", ".join(f"{r.doc_id} {r.error}" for r in named))
     there = versions(spark, path)
     base = (there or [0])[-1] if base is None else base
     name, id_type = uuid.uuid4().hex, chunks.schema["doc_id"].dataType.simpleString()
     at = f"{path}/data/{name}"
+    schema = [f for f in chunks.schema.fields if f.name != by] + [chunks.schema[by]]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     chunks.write.partitionBy(by).parquet(f"{at}/rows")
-    ids = chunks.select("doc_id") if deleted is None else chunks.select("doc_id").union(deleted.where("doc_id is not null").select(F.col("doc_id").cast(id_type)))
+    rows = spark.read.schema(ddl).parquet(f"{at}/rows")
+    if rows.where("doc_id is null").limit(1).count():
+        _drop(spark, at)
+        raise Rejected("a chunk has no doc_id")
+    if dims is not None:
+        bad = index_errors(rows, dims).orderBy("doc_id")
+        if named := bad.limit(NAMED).collect():
+            message = f"{bad.count()} documents: " + ", ".join(f"{r.doc_id} {r.error}" for r in named)
+            _drop(spark, at)
+            raise Rejected(message)
+    ids = rows.select("doc_id") if deleted is None else rows.select("doc_id").union(deleted.where("doc_id is not null").select(F.col("doc_id").cast(id_type)))
     ids.distinct().write.parquet(f"{at}/docs")
     mine = spark.read.schema(f"doc_id {id_type}").parquet(f"{at}/docs")
     seen = manifest(spark, path, base)
     while True:
-        schema = [f for f in chunks.schema.fields if f.name != by] + [chunks.schema[by]]
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         if seen["schema"] not in (None, ddl):
             _drop(spark, at)
             raise Rejected(f"columns {ddl}, not {seen['schema']}")

@@ -145,3 +145,16 @@ def test_evaluation_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("question,category\nq,DIRECT\n")
     with pytest.raises(ValueError):
         files.read_eval_csv(spark, str(tmp_path / "c.csv"))
+
+
+def test_chunks_keep_columns_of_their_documents(spark):
+    d = spark.createDataFrame([(1, "n", "abcdefgh", "x", 3), (1, "n", "ab", None, 4), (2, "m", "\t \n", "y", 5)], "doc_id long, name string, text string, kb_id string, size int")
+    got = [tuple(r) for r in chunking.length_overlap(d, 5, 1, keep=("kb_id", "size")).select("chunk_id", "content", "kb_id", "size").collect()]
+    assert got == [("1-c0000", "abcde", "x", 3), ("1-c0001", "efgh", "x", 3), ("1-c0000", "ab", None, 4)]
+
+
+def test_blank_is_what_stripping_leaves_empty(spark):
+    texts = [None, "", " \t\r\n\x0b\x1c\x1f    　", " ", " ", "\u0085", " a ", "\n\nx", "﻿", "0", "\U0001f600 "]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.is_blank("t").alias("b"), F.coalesce(tx.strip("t") == "", F.lit(True)).alias("want"))
+    rows = d.collect()
+    assert all(r.b == r.want for r in rows) and sum(r.b for r in rows) == 3

@@ -110,3 +110,16 @@ def test_an_empty_commit_only_deletes(spark, path):
     store.commit(chunks(spark, (1, 0, "a", "k1"), (2, 0, "b", "k1")), path)
     store.commit(chunks(spark, (1, 0, "a", "k1")).limit(0), path, deleted=spark.createDataFrame([(1,)], "doc_id long"))
     assert content(store.read(spark, path)) == [(2, "b")]
+
+
+def test_chunks_are_computed_once(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    once = chunks(spark, (1, 0, "a", "k1"), (1, 1, "b", "k1"), (2, 0, "c", "k2")).mapInArrow(run, SCHEMA)
+    store.commit(once, path, dims=2)
+    assert seen.value == 3 and content(store.read(spark, path)) == [(1, "a"), (1, "b"), (2, "c")]
