@@ -22,6 +22,8 @@ from quern.shared import cut
 
 #: Documents of a range; folders that words are dealt to by hash; ranges of the highest bounds that are scored first for each question.
 RANGE, BUCKETS, FIRST = 128, 64, 4
+#: Words of documents that a task writes to a folder, about, if words are spread evenly over the folders.
+SHARE = 1 << 20
 #: Questions that meet a range at once.
 TOGETHER = 512
 #: Columns of the tables of an index, by its type of ids.
@@ -44,8 +46,8 @@ def build(docs: DataFrame, path: str, tokenizer: Tokenizer = tokens) -> None:
     """Write the index of docs (doc_id, text) to path.
 
     Texts are read and split once; a task packs the postings of its own ranges,
-    and only these are shuffled, by range of word, so a word that all documents
-    have is dealt out to many tasks. Null and empty texts count as documents
+    and only these are shuffled, by folder and shares of ranges, so a word that all
+    documents have is dealt out to many tasks. Null and empty texts count as documents
     of no words. Rows with equal or null ids are documents of their own. An
     empty table gives an index that finds nothing.
     """
@@ -78,10 +80,15 @@ def build(docs: DataFrame, path: str, tokenizer: Tokenizer = tokens) -> None:
     n, words = packed.agg(F.sum("docs"), F.sum("words")).first()
     mean = (words or 0) / n if n else 0.0
     spark.createDataFrame([(n or 0, mean, id_type)], TABLES["stats"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    part = F.zip_with("tfs", "lengths", lambda tf, length: tf / (tf + K1 * (1 - B + B * length / mean)))
-    blocks = packed.where("term is not null").select("term", "range", "ids", "places", "tfs", "lengths", F.array_max(part).alias("largest"), _bucket())
-    blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    df = packed.where("term is not null").groupBy("term").agg(F.sum(F.size("ids")).alias("df")).select("term", "df", _bucket())
+    part = lambda tf, length: tf / (tf + K1 * (1 - B + B * length / mean))
+    # Most blocks have one posting; they need no function of lists.
+    largest = F.when(F.size("tfs") == 1, part(F.get("tfs", F.lit(0)), F.get("lengths", F.lit(0)))).otherwise(F.array_max(F.zip_with("tfs", "lengths", part)))
+    # Shares of a folder are by hash of the range: nothing is sampled, so postings are read once.
+    share = F.pmod(F.xxhash64("range"), F.lit(max(1, -(-(words or 0) // (BUCKETS * SHARE)))))
+    blocks = packed.where("term is not null").select("term", "range", "ids", "places", "tfs", "lengths", _bucket()).repartition("bucket", share)
+    blocks = blocks.select("term", "range", "ids", "places", "tfs", "lengths", largest.alias("largest"), "bucket")
+    blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    df = packed.where("term is not null").groupBy("term").agg(F.sum(F.size("tfs")).alias("df")).select("term", "df", _bucket())
     df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 

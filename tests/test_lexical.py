@@ -90,3 +90,21 @@ def test_questions_meet_ranges_in_groups(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "TOGETHER", 3)
     got = lexical.search(spark, str(tmp_path), asked, first=1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, retrieval.bm25(docs, asked).collect()))
+
+
+def test_a_frequent_word_is_dealt_out_by_shares_of_ranges(spark, made, tmp_path, monkeypatch):
+    docs, asked, path = made
+    monkeypatch.setattr(lexical, "SHARE", 50, raising=False)
+    monkeypatch.setattr(lexical, "RANGE", 16)
+    kind = type(docs)
+    plans, repartition = [], kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: plans.append(a) or repartition(self, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    lexical.build(docs, f"file://{tmp_path}/i")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert not plans  # a sample would read all postings once more
+    blocks = [lexical._read(spark, p, "blocks") for p in (path, f"file://{tmp_path}/i")]
+    rows = [sorted((r.term, tuple(r.ids), r.largest, r.bucket) for r in b.collect()) for b in blocks]
+    assert rows[0] == rows[1]
+    assert blocks[1].where("term = 'common'").select(F.input_file_name()).distinct().count() > 1
+    assert key(lexical.search(spark, f"file://{tmp_path}/i", asked, 5)) == key(retrieval.bm25(docs, asked, 5))
