@@ -77,7 +77,7 @@ def pipe_line(cells: str | Column) -> Column:
 
 def tokens(c: str | Column) -> Column:
     """Words in lower case: runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def preview(c: str | Column, most: int) -> tuple[Column, Column]:
