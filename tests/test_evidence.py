@@ -31,7 +31,7 @@ def going_on(spark, tmp_path_factory):
     return at, con
 
 
-@pytest.mark.parametrize("name", ["evidence_mode_breakdown", "evidence_snapshot", "evidence_union", "rank_distribution"])
+@pytest.mark.parametrize("name", ["evidence_mode_breakdown", "evidence_snapshot", "evidence_union", "rank_distribution", "rerank_effect"])
 def test_words_that_go_on_in_a_document(spark, going_on, name):
     at, con = going_on
     got, want = plans.queries()[name](spark, at), con.sql(plans.oracle_sql()[name])
