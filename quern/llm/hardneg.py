@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import giving_back
-from quern.shared import cut
+from quern.shared import cut, new_path, release
 
 #: Anchors and rows of a block; dimensions of a chunk; blocks of each side that a cell of the grid multiplies.
 ANCHORS, ROWS, CHUNK, CELL = 128, 2048, 32, 4
+#: Bytes of partial tiles, at two a cell, that wait on disk at once, about.
+ROUND = 3 << 30
 #: A component takes part if its integer is no larger: products of two are then exact in 64 bits.
 LARGEST = 1 << 24
 BLOCK = "len int, label string, block long, chunk int, m int, ids binary, labels array<string>, x binary, size long, windows binary"
@@ -91,14 +93,22 @@ def product(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def narrow(tile: np.ndarray) -> bytes:
-    """Bytes of an integer tile in the fewest bits that hold it, for the way through a shuffle."""
-    most = int(np.abs(tile).max(initial=0))
-    return tile.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64).tobytes()
+    """Bytes of an int64 tile for the way through a shuffle: 16 bits a cell, then places and values of the few that need more; if these are many, the fewest bits that hold all."""
+    flat = tile.ravel()
+    large = np.flatnonzero((flat >= 1 << 15) | (flat < -(1 << 15)))
+    if 16 * len(large) < max(1, flat.size):
+        return flat.astype(np.int16).tobytes() + large.tobytes() + flat[large].tobytes()
+    return flat.astype(np.int32 if int(np.abs(flat).max()) < 1 << 31 else np.int64).tobytes()
 
 
 def wide(data: bytes, shape: tuple[int, int]) -> np.ndarray:
     cells = shape[0] * shape[1]
-    return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[len(data) // cells] if cells else np.int64).astype(np.int64).reshape(shape)
+    bits = {2: np.int16, 4: np.int32, 8: np.int64}[len(data) // cells] if cells else np.int64
+    tile = np.frombuffer(data, bits, cells).astype(np.int64)
+    if bits == np.int16 and len(data) > 2 * cells:
+        large = np.frombuffer(data, np.int64, offset=2 * cells).reshape(2, -1)
+        tile[large[0]] = large[1]
+    return tile.reshape(shape)
 
 
 def tiles(a: DataFrame, b: DataFrame, same_label: bool) -> DataFrame:
@@ -106,6 +116,8 @@ def tiles(a: DataFrame, b: DataFrame, same_label: bool) -> DataFrame:
 
     A block of rows goes to each column of the grid, one of anchors to each
     row of it, so that a cell's key is shared by a bounded number of blocks.
+    Spark takes a side for as large as its file, without the copies, and would
+    broadcast it through the driver; the hint has both sides shuffled.
     """
     n, m = (max(1, math.ceil(x.where("chunk = 0").count() / CELL)) for x in (a, b))
     cell = lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")
@@ -113,7 +125,7 @@ def tiles(a: DataFrame, b: DataFrame, same_label: bool) -> DataFrame:
     a = a.withColumn("col", cell(n)).withColumn("row", each(m)).select(*(F.col(c).alias(f"a_{c}") for c in a.columns), "col", "row")
     b = b.withColumn("row", cell(m)).withColumn("col", each(n)).select(*(F.col(c).alias(f"b_{c}") for c in b.columns), "col", "row")
     on = (a.a_len == b.b_len) & (a.a_chunk == b.b_chunk) & (a.col == b.col) & (a.row == b.row)
-    both = a.join(b, on & (a.a_label == b.b_label) if same_label else on).select("a_block", "b_block", "a_m", "b_m", "a_x", "b_x", F.col("a_size") * F.col("b_size"), "a_ids", "b_ids", "a_labels", "b_labels", "a_windows")
+    both = a.join(b.hint("merge"), on & (a.a_label == b.b_label) if same_label else on).select("a_block", "b_block", "a_m", "b_m", "a_x", "b_x", F.col("a_size") * F.col("b_size"), "a_ids", "b_ids", "a_labels", "b_labels", "a_windows")
 
     @giving_back
     def multiply(batches):
@@ -152,6 +164,22 @@ def reduced(partial: DataFrame, reduce, schema: str) -> DataFrame:
     return partial.repartition("a_block", "b_block").sortWithinPartitions("a_block", "b_block").mapInArrow(over, schema)
 
 
+def by_turns(a: DataFrame, b: DataFrame, same_label: bool, reduce, schema: str, first) -> DataFrame:
+    """What `first` keeps of the rows that `reduce` makes, written down; so many blocks of anchors at a time that their partial tiles take about ROUND bytes."""
+    spark, path, on = a.sparkSession, new_path(a.sparkSession, "turns"), ["len", "label"] if same_label else ["len"]
+    ours, theirs = a.groupBy(on).agg(F.sum("m").cast("double").alias("ours")), b.where("chunk = 0").groupBy(on).agg(F.sum("m").alias("theirs"))
+    turns = max(1, math.ceil(2 * (ours.join(theirs, on).agg(F.sum(F.col("ours") * F.col("theirs"))).first()[0] or 0) / ROUND))
+    for k in range(turns):
+        part = a.where(F.pmod(F.hash("block"), F.lit(turns)) == k) if turns > 1 else a
+        made = first(reduced(tiles(part, b, same_label), reduce, schema))
+        made.write.mode("append").option("compression", "zstd").parquet(path)
+        out = made.schema
+        del made
+        if turns > 1:
+            release(spark)
+    return spark.read.schema(out).parquet(path)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, of equal ones those of the smallest ids."""
     if len(scores) > k:
@@ -190,30 +218,30 @@ def hard_negatives(df: DataFrame, anchor: Column | str, id_col: str = "vec_id",
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["anchor_id", "positive_id", "positive_score"])
 
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
-    found = reduced(tiles(blocks(chosen, ANCHORS, True), blocks(rows, ROWS, True), True), first_positives, "anchor_id long, positive_id long, positive_score long")
-    found = cut(found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives).drop("place"), "positives")
+    highest = lambda found: found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives).drop("place")
+    found = by_turns(blocks(chosen, ANCHORS, True), blocks(rows, ROWS, True), True, first_positives, "anchor_id long, positive_id long, positive_score long", highest)
     # An anchor takes its windows along: its positives and their scores, at most twice `positives` numbers.
     own = found.groupBy(F.col("anchor_id").alias("id")).agg(F.flatten(F.collect_list(F.array("positive_id", "positive_score"))).alias("w"))
     pad = F.concat("w", F.array_repeat(F.lit(-1).cast("long"), 2 * positives - F.size("w")))
-    chosen = cut(chosen.join(own, "id").select("id", "label", "x", pad.alias("w")), "anchors")
+    chosen = cut(chosen.join(own.hint("merge"), "id").select("id", "label", "x", pad.alias("w")), "anchors")
 
     def first_negatives(ids, labels, windows, others, their_labels, scores):
-        windows = windows.reshape(len(ids), positives, 2)
+        bounds = [[(p, s, -(-low * s // 100), high * s // 100) for p, s in w if s >= 0] for w in windows.reshape(len(ids), positives, 2).tolist()]
+        least, most = np.array([min((x[2] for x in w), default=1) for w in bounds]), np.array([max((x[3] for x in w), default=0) for w in bounds])
         kinds = {x: n for n, x in enumerate(dict.fromkeys([*labels, *their_labels]))}
         mine, theirs = (np.array([kinds[x] for x in y]) for y in (labels, their_labels))
-        out = []
-        for k, i in enumerate(ids):
-            there = np.flatnonzero(theirs != mine[k])
+        out, any_window = [], (scores >= least[:, None]) & (scores <= most[:, None]) & (mine[:, None] != theirs)
+        for k in np.flatnonzero(any_window.any(1)):
+            there = np.flatnonzero(any_window[k])
             s = scores[k][there]
-            for positive, score in windows[k].tolist():
-                if score < 0:
-                    continue
-                inside = np.flatnonzero((s >= -(-low * score // 100)) & (s <= high * score // 100))
+            for positive, score, lowest, top in bounds[k]:
+                inside = np.flatnonzero((s >= lowest) & (s <= top))
                 at = inside[best(s[inside], others[there[inside]], negatives)]
-                out.append((np.full(len(at), i), np.full(len(at), positive), np.full(len(at), score), others[there[at]], s[at]))
+                out.append((np.full(len(at), ids[k]), np.full(len(at), positive), np.full(len(at), score), others[there[at]], s[at]))
         out.append(tuple(np.zeros(0, np.int64) for _ in range(5)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
-    made = reduced(tiles(blocks(chosen, ANCHORS, False), blocks(rows, ROWS, False), False), first_negatives, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
-    order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
-    return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    by_window = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
+    ranked = lambda made: made.withColumn("rank", F.row_number().over(by_window)).where(F.col("rank") <= negatives)
+    made = by_turns(blocks(chosen, ANCHORS, False), blocks(rows, ROWS, False), False, first_negatives, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long", ranked)
+    return made.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -68,3 +68,31 @@ def test_a_label_of_any_size_goes_to_many_tasks(spark, monkeypatch):
     rows = spark.range(400).selectExpr("id", "'a' as label", "array(1, 2) as x")
     made = hardneg.blocks(rows, 4, True).collect()
     assert sum(r.m for r in made) == 400 and max(r.m for r in made) == 4 and len({r.block >> 32 for r in made}) >= 20
+
+
+@pytest.mark.parametrize("same_label", [True, False])
+def test_no_side_goes_through_the_driver(spark, same_label):
+    """However small the files of both sides are, the copies of a block for each column or row of the grid are not."""
+    rows = spark.range(60).selectExpr("id", "'a' as label", "array(1, 2) as x")
+    made = hardneg.tiles(hardneg.blocks(rows, 4, same_label), hardneg.blocks(rows, 4, same_label), same_label)
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.a_m * r.b_m for r in made.select("a_m", "b_m").collect()) == 3600
+
+
+def test_anchors_by_turns(spark, monkeypatch):
+    for name, value in (("ANCHORS", 2), ("ROWS", 16), ("ROUND", 400)):
+        monkeypatch.setattr(hardneg, name, value)
+    begun, whole = [], hardneg.tiles
+    monkeypatch.setattr(hardneg, "tiles", lambda *a: begun.append(1) or whole(*a))
+    rng = np.random.default_rng(5)
+    rows = [(i * 10, [float(c) for c in rng.normal(size=4)], int(i % 3)) for i in range(60)]
+    assert sorted(map(tuple, hardneg.hard_negatives(frame(spark, rows), "vec_id % 50 = 0").collect())) == plain(rows)
+    assert len(begun) >= 4
+
+
+def test_a_tile_takes_16_bits_a_cell():
+    """A few cells that need more, of near copies, go beside it."""
+    tile = np.random.default_rng(2).integers(-(1 << 15), 1 << 15, (20, 50))
+    assert len(hardneg.narrow(tile)) == 2000
+    tile[3, 7], tile[19, 49] = 1 << 40, -(1 << 15) - 1
+    assert len(hardneg.narrow(tile)) == 2032 and (hardneg.wide(hardneg.narrow(tile), tile.shape) == tile).all()
