@@ -18,7 +18,12 @@ def col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return strip_of(c, SPACE)
+
+
+def strip_of(c: str | Column, space: str) -> Column:
+    """A text without what a class of characters has at its ends. A dollar would also hold before a last line end outside the class, and without the look behind a run inside a text were searched from each of its places."""
+    return F.regexp_replace(col(c), rf"^{space}+|(?<!{space}){space}+\z", "")
 
 
 def is_blank(c: str | Column) -> Column:
@@ -34,9 +39,13 @@ def clean_text(c: str | Column) -> Column:
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
-def content_hash(c: str | Column) -> Column:
-    """The first 16 hexadecimal digits of the SHA-256 of the stripped text with runs of white space as one blank; null for a blank text."""
-    return F.when(~is_blank(c), F.substring(F.sha2(F.regexp_replace(strip(c), r"\s+", " ").cast("binary"), 256), 1, 16))
+def content_hash(c: str | Column, edge: str = SPACE, inner: str = r"\s", of_blank: bool = False) -> Column:
+    """The first 16 hexadecimal digits of the SHA-256 of the stripped text with runs of white space as one blank; null for a blank text, unless told to hash it.
+
+    edge and inner are the classes of what is stripped and of what makes such a run.
+    """
+    digits = F.substring(F.sha2(F.regexp_replace(strip_of(c, edge), f"{inner}+", " ").cast("binary"), 256), 1, 16)
+    return digits if of_blank else F.when(~is_blank(c), digits)
 
 
 def strip_heading_number(c: str | Column) -> Column:

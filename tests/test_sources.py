@@ -4,9 +4,11 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quern import plans
 from quern.functions import text as tx
 from quern.operators import chunking
 from quern.operators.evaluation import item_errors
@@ -60,6 +62,25 @@ def test_text_functions(spark):
     assert one(spark, tx.extension(F.lit("a.B.MD"))) == "md" and one(spark, tx.extension(F.lit("x"))) == ""
 
 
+def test_content_hash_of_odd_texts_against_its_sql(spark, tmp_path):
+    signs = [chr(c) for c in (0, 9, 10, 11, 12, 13, 0x1C, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2007, 0x200B, 0x2028, 0x2029, 0x3000, 0xFEFF)]
+    texts = [None, "", " ", "\n\t \x0b\f\r", "a", "\x0b a\x0b\x0bb \x0b c \x0b", "a\r\n\r\nb \n", "𝒳 \n é"]
+    texts += [form.format(x) for x in signs for form in ("{0}", "a{0}b", "{0}a", "a{0}", "a {0}", "{0} {0} a{0} {0}b {0} {0}")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.sql(plans.oracle_sql()["content_hash"]).fetchall())
+    assert dict(map(tuple, plans.queries()["content_hash"](spark, str(tmp_path)).collect())) == want
+    assert len(want) == len(texts) and want[0] is None and want[1] == "e3b0c44298fc1c14"
+
+
+def test_strip(spark):
+    """Only what the class has goes, before any last line end; the time is in proportion to the text."""
+    assert one(spark, tx.strip(F.lit(" a \x85"))) == "a \x85" and one(spark, tx.strip(F.lit("\u3000 a \u2028\n"))) == "a"
+    long = "a" + " " * 1_000_000 + "b"
+    assert spark.createDataFrame([(f" {long} ",)], "t string").select(tx.strip("t").alias("x")).first().x == long
+
+
 def test_csv():
     assert files.parse_csv('﻿a,b\n"x, ""y""",p|q\n\n1'.encode()) == '| a | b |\n| --- | --- |\n| x, "y" | p/q |\n| 1 |  |'
     # Only line feeds end lines, and only the CSV reader rewrites bars.
